@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, language_id, line_dedup, mixing, quality, secret_scan
+from plumbline.llm import byte_bpe, embedding_dedup, language_id, line_dedup, mixing, permutation_index, quality, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,6 +69,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe(table(spark, sf_dir, "documents"), ranks_path(), full=False)
 
 
+@query
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op7_embedding_dedup"] = embedding_dedup.ORACLE
+
+
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -83,3 +91,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = language_id.learn(docs, F.coalesce(remainder("doc_id", 3) != 1, F.lit(False)))
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out")
     return language_id.language_id(docs, samples).select("doc_id", held_out, "lang_pred", "score")
+
+
+@query
+def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +26,77 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Up to so many links one task finishes the components; more are first contracted by rounds of joins.
+ONE_TASK_LINKS = 500_000
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the links and the smallest node of its component."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, label[left], low)
+        np.minimum.at(new, label[right], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch's links (a, b) a star by component: as connected, at most one link a node."""
+    for batch in batches:
+        nodes, roots = _forest(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        links = nodes != roots
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[links]), pa.array(roots[links])], ["a", "b"])
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if parts:
+        nodes, roots = _forest(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "root"])
+
+
+def components(links: DataFrame, name: str, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """(node, root) for every node of the links (a, b: long); root is the component's smallest node.
+
+    Rounds of hooking to the smallest neighbour and of pointer jumping, each
+    written to the shared folder, until no label changes.  When the links that
+    still join different labels are few, one task finishes them; that changes
+    the time, not the result.
+    """
+    star = stored(links.select("a", "b").where("a <> b").mapInArrow(spanning, "a bigint, b bigint"), name + "/links")
+    if star.count() <= one_task:
+        return stored(star.coalesce(1).mapInArrow(_finish, "node bigint, root bigint"), name + "/components")
+    both = stored(star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name + "/both")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), name + "/labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        hooked = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
+        onto = hooked.groupBy(F.col("root").alias("at")).agg(F.min("new").alias("to"))  # a root hooks as its lowest member does
+        jumped = hooked.join(onto, F.col("new") == F.col("at"), "left").select("node", "root", F.least("new", F.coalesce("to", "new")).alias("new"))
+        step = stored(jumped, name + "/labels")
+        if step.where("new <> root").isEmpty():
+            return step.select("node", F.col("new").alias("root"))
+        labels = step.select("node", F.col("new").alias("root"))
+
+
+def block_pairs(rows: DataFrame, group: list[str], member: str, size: int) -> DataFrame:
+    """``rows`` with (block, other): every two rows of a group meet under one such pair; a pair has about ``2 * size`` rows.
+
+    A group of n rows has ceil(n / size) blocks, so that even a huge one is
+    never in one task; each row goes to as many pairs as there are blocks.
+    """
+    counts = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("__blocks")).select(*[F.col(g).alias(f"__{g}") for g in group], "__blocks")
+    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group]
+    joined = rows.join(counts, same).drop(*[f"__{g}" for g in group])
+    mine = F.pmod(F.xxhash64(F.lit(5), F.col(member)), F.col("__blocks")).cast("int")
+    every = joined.withColumn("__mine", mine).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    return every.withColumns({"block": F.least("__mine", "__other"), "other": F.greatest("__mine", "__other"), "low": F.col("__mine") <= F.col("__other")}).drop("__blocks", "__mine", "__other")
