@@ -88,15 +88,17 @@ def components(links: DataFrame, name: str, one_task: int = ONE_TASK_LINKS) -> D
         labels = step.select("node", F.col("new").alias("root"))
 
 
-def block_pairs(rows: DataFrame, group: list[str], member: str, size: int) -> DataFrame:
-    """``rows`` with (block, other): every two rows of a group meet under one such pair; a pair has about ``2 * size`` rows.
+def block_pairs(rows: DataFrame, group: list[str], member: str, size: int, blocks: DataFrame | None = None) -> DataFrame:
+    """``rows`` with (blocks, block, other, low): every two rows of a group meet under one pair (block, other); in a pair of two blocks ``low`` tells them apart.
 
-    A group of n rows has ceil(n / size) blocks, so that even a huge one is
-    never in one task; each row goes to as many pairs as there are blocks.
+    A group of n rows has ceil(n / size) blocks, or as many as ``blocks`` says,
+    so that even a huge one is never in one task; each row goes to as many
+    pairs as there are blocks.
     """
-    counts = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("__blocks")).select(*[F.col(g).alias(f"__{g}") for g in group], "__blocks")
+    counts = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks")) if blocks is None else blocks
+    counts = counts.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("blocks").alias("__blocks"))
     same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group]
     joined = rows.join(counts, same).drop(*[f"__{g}" for g in group])
     mine = F.pmod(F.xxhash64(F.lit(5), F.col(member)), F.col("__blocks")).cast("int")
     every = joined.withColumn("__mine", mine).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-    return every.withColumns({"block": F.least("__mine", "__other"), "other": F.greatest("__mine", "__other"), "low": F.col("__mine") <= F.col("__other")}).drop("__blocks", "__mine", "__other")
+    return every.withColumns({"block": F.least("__mine", "__other"), "other": F.greatest("__mine", "__other"), "low": F.col("__mine") <= F.col("__other"), "blocks": F.col("__blocks")}).drop("__blocks", "__mine", "__other")
