@@ -204,8 +204,8 @@ def verified(table: pa.Table) -> pa.Table:
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str = "chosen_path") -> DataFrame:
-    """Per row: ``key``, ``n_links`` (other rows linked directly), ``class_id`` (smallest id reachable by links), ``kept`` (is it that row), ``root`` (names the class, also where ids are null)."""
-    source = docs.select(docs[key].alias("id"), docs[text].alias("text"))
+    """Per row: ``key``, ``n_links`` (other rows linked directly), ``class_id`` (smallest id reachable by links), ``kept`` (is it that row), ``root`` (names the class, also where ids are null), ``text_hash``."""
+    source = docs.select(docs[key].alias("id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_hash"))
     kind = source.schema["id"].dataType.simpleString()
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,11 +215,11 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", name:
                 none = np.diff(bounds) == 0
                 own = embedded(sets, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(fingerprints(sets, bounds).view(np.int64), mask=none), pa.array(np.diff(bounds), pa.int64()), pa.array([None if n else x.tobytes() for x, n in zip(own, none, strict=True)], pa.binary())],
-                    ["id", "node", "size", "coordinates"],
+                    [rows.column(0), rows.column(2), pa.array(fingerprints(sets, bounds).view(np.int64), mask=none), pa.array(np.diff(bounds), pa.int64()), pa.array([None if n else x.tobytes() for x, n in zip(own, none, strict=True)], pa.binary())],
+                    ["id", "text_hash", "node", "size", "coordinates"],
                 )
 
-    rows = stored(source.mapInArrow(reduced, f"id {kind}, node bigint, size bigint, coordinates binary"), name + "/rows")
+    rows = stored(source.mapInArrow(reduced, f"id {kind}, text_hash bigint, node bigint, size bigint, coordinates binary"), name + "/rows")
     grouped = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("coordinates").alias("coordinates"))
     nodes = stored(grouped, name + "/nodes")
 
@@ -272,6 +272,22 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", name:
     info = stored(info.select("node", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), name + "/info")
     least = info.groupBy("root").agg(F.min("first").alias("class"))
     each = info.join(least, "root").select(F.col("node").alias("at"), "n_links", "class", "root")
-    joined = rows.select("id", "node").join(each, F.col("node") == F.col("at"), "left")
+    joined = rows.select("id", "text_hash", "node").join(each, F.col("node") == F.col("at"), "left")
     own = F.coalesce("class", "id")
-    return joined.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("class_id"), F.col("id").eqNullSafe(own).alias("kept"), "root")
+    return joined.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("class_id"), F.col("id").eqNullSafe(own).alias("kept"), "root", "text_hash")
+
+
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str = "chosen_path") -> DataFrame:
+    """``docs`` with one row of each class: of those with the smallest id the one with the smallest hash of its text."""
+    state = stored(jaccard_join(docs, text, key, name).where("root is not null"), name + "/state")
+    best = state.where("kept").groupBy("root").agg(F.min("text_hash").alias("best"))
+    rows = state.groupBy("root", F.col(key).alias("id"), "text_hash").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    marked = stored(rows.join(best, "root").select("id", "text_hash", (F.col("kept") & (F.col("text_hash") == F.col("best"))).alias("stays"), "rows"), name + "/marked")
+    same = lambda other: docs[key].eqNullSafe(other["id"]) & (F.xxhash64(docs[text]) == other["text_hash"])
+    repeats = marked.where("stays and rows > 1")
+    losers = marked.where("not stays or rows > 1")
+    out = docs.join(losers, same(losers), "left_anti")
+    if repeats.isEmpty():
+        return out
+    again = docs.join(repeats, same(repeats), "left_semi").withColumns({"__id": F.col(key), "__hash": F.xxhash64(F.col(text))})
+    return out.union(again.dropDuplicates(["__id", "__hash"]).drop("__id", "__hash"))

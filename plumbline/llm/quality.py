@@ -122,21 +122,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", k
     return np.frombuffer(bytes(found[0][0]), np.float32) if found else np.zeros((1 << s.bits) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = (), settings: Settings = Settings()) -> DataFrame:
-    """Per row: ``key``, the columns ``keep``, and ``score`` from 0 to 1."""
+def score_of(docs: DataFrame, weights: np.ndarray, text: str = "text", settings: Settings = Settings()) -> Column:
+    """The score, 0 to 1, of each row of ``docs`` as a column; the text goes to Python and only the score comes back."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     bits = settings.bits
-    source = docs.select(docs[text].alias("__text"), docs[key].alias("__key"), *[docs[c] for c in keep])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(texts: pa.Array) -> pa.Array:
         w = shared.value.astype(np.float64)
-        for batch in batches:
-            for part, data, offsets in tb.chunks(batch, "__text"):
-                slots, values, by_text = features(data, offsets, bits)
-                doc = np.repeat(np.arange(part.num_rows), np.diff(by_text))
-                total = np.bincount(doc, values * w[slots], part.num_rows) + w[-1]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))), pa.float64())], [*part.schema.names[1:], "__score"])
-
-    fields = source.schema.fields[1:]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["__score double"])
-    return source.mapInArrow(run, schema).withColumnsRenamed({"__key": key, "__score": "score"})
+        out = [np.zeros(0)]
+        for part, data, offsets in tb.chunks(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+            slots, values, by_text = features(data, offsets, bits)
+            doc = np.repeat(np.arange(part.num_rows), np.diff(by_text))
+            out.append(np.bincount(doc, values * w[slots], part.num_rows) + w[-1])
+        return pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(out), -35, 35))), pa.float64())
+
+    scored.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(scored, "double")(docs[text])

@@ -95,7 +95,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights = quality.fit(docs, table(spark, sf_dir, "labels"), F.coalesce(remainder("doc_id", 5) != 0, F.lit(False)))
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
-    return quality.score(docs, weights).select("doc_id", held_out, "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+    scored = docs.select("doc_id", held_out, quality.score_of(docs, weights).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= QUALITY_LEAST).cast("int"))
 
 
 @query
