@@ -40,6 +40,8 @@ MIN_WORDS = 3
 EDIT_WORDS = 8
 #: Bits of the filter of half keys, in words of 64; its size doesn't depend on the data.
 BLOOM_WORDS = 1 << 17
+#: Lines whose variants a task is meant to hold at a time.
+BUCKET_LINES = 4000
 _R = pow(0x9E3779B97F4A7C15 | 1, 3, 1 << 64)
 
 
@@ -175,6 +177,8 @@ def dropped_lines(docs: DataFrame, text: str, key: str, name: str = "line_dedup"
     found = source.mapInArrow(neighbours, f"id {kind}, text_hash bigint, number int, h1 bigint, h2 bigint, line string")
     near = stored(found.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("line").alias("line")), name + "/near")
 
+    buckets = max(8, near.count() // BUCKET_LINES)
+
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in tb.chunks(batch, "line"):
@@ -186,14 +190,26 @@ def dropped_lines(docs: DataFrame, text: str, key: str, name: str = "line_dedup"
                 full = tb.mix(own.whole() + size) ^ np.uint64(3)
                 keys = np.concatenate([sub, cut, full])
                 role = np.repeat(np.array([0, 1, 2], np.int8), [len(sub), len(cut), len(full)])
-                doc = own.doc[np.concatenate([line, line, np.arange(len(size))])]
-                once = np.unique(np.column_stack([keys, role.astype(np.uint64), doc.astype(np.uint64)]), axis=0, return_index=True)[1] if len(keys) else np.zeros(0, np.int64)
-                take = pa.array(doc[once])
-                yield pa.RecordBatch.from_arrays([_signed(keys[once]), pa.array(role[once], pa.int8()), *[rows.column(c).take(take) for c in (0, 1, 2)]], ["key", "role", "h1", "h2", "place"])
-
-    whole = near.select("h1", "h2", "place", "line")
-    place_kind = whole.schema["place"].dataType.simpleString()
-    entries = stored(whole.mapInArrow(variants, f"key bigint, role tinyint, h1 bigint, h2 bigint, place {place_kind}"), name + "/variants")
+                of = rows.column(0).to_numpy()[own.doc[np.concatenate([line, line, np.arange(len(size))])]]
+                bucket = (keys % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                parts = [(p, order[edges[p] : edges[p + 1]]) for p in np.flatnonzero(np.diff(edges)).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int32()), *[pa.array([x[at].tobytes() for _, at in parts], pa.binary()) for x in (keys, role, of)]], ["bucket", "keys", "roles", "lines"])
+
+    def met(table: pa.Table) -> pa.Table:
+        """Of a bucket's variants those whose key different lines have."""
+        keys, roles, of = (np.frombuffer(b"".join(table[c].to_pylist()), k) for c, k in (("keys", np.uint64), ("roles", np.int8), ("lines", np.int64)))
+        order = np.lexsort((of, keys))
+        keys, roles, of = keys[order], roles[order], of[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(keys)) - 1
+        more = np.repeat(of[first] != of[last], last - first + 1) if len(keys) else np.zeros(0, bool)
+        return pa.table({"key": keys[more].view(np.int64), "role": roles[more], "h1": of[more]})
+
+    packed = near.select("h1", "line").mapInArrow(variants, "bucket int, keys binary, roles binary, lines binary")
+    entries = packed.groupBy("bucket").applyInArrow(met, "key bigint, role tinyint, h1 bigint").distinct()
+    entries = stored(entries.join(near.select("h1", "h2", "place"), "h1"), name + "/variants")
     line = F.struct("place", "h1", "h2")
     earliest = entries.groupBy("key").agg(
         F.min("h1").alias("a"), F.max("h1").alias("b"),
