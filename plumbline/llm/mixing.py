@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PART = 64.0
+#: A table of so many sources at most, each of under 2 kB, is sent to all tasks; a longer one is joined by shuffle.
+BROADCAST_SOURCES = 4096
 
 
 def uniform(*parts: Column) -> Column:
@@ -51,11 +53,12 @@ def rates(docs: DataFrame, source: str, weights: DataFrame | None, size: float)
     else:
         w = weights.groupBy(F.col("source").alias("w_source")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
         weighed = counts.join(w, F.col("source").eqNullSafe(F.col("w_source"))).drop("w_source").where("weight > 0")
-    sums = weighed.agg(F.sum("rows"), F.sum("weight")).first()
+    sums = weighed.agg(F.sum("rows"), F.sum("weight"), F.count(F.lit(1))).first()
     rows, weight = float(sums[0] or 0), float(sums[1] or 1)
     rate = F.lit(rows * size) / F.lit(weight) * F.col("weight") / F.col("rows")
     parts = F.greatest(F.lit(1), F.ceil(rate / PART)).cast("int")
-    return weighed.select("source", parts.alias("parts"), (rate / parts).alias("mean")).select("source", "parts", distribution(F.col("mean")).alias("cdf"))
+    table = weighed.select("source", parts.alias("parts"), (rate / parts).alias("mean")).select("source", "parts", distribution(F.col("mean")).alias("cdf"))
+    return F.broadcast(table) if sums[2] <= BROADCAST_SOURCES else table
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", key: str = "doc_id", size: float = 1.0, seed: int = 2024) -> DataFrame:
