@@ -98,15 +98,34 @@ def embedded(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         good = full[rows, source]
         out[rows[good], columns[good]] = out[rows[good], source[good]]
         filled[rows[good], columns[good]] = True
-    return (tb.mix(out) & np.uint64(0xFFFF)).astype(np.uint16)
+    return tb.mix(out)
+
+
+def root_paths(coordinates: np.ndarray) -> np.ndarray:
+    """Each set's paths after one split of every run's root, by whole coordinates."""
+    parts = []
+    for run in range(RUNS):
+        path = tb.mix(np.array([run + 1], np.uint64))
+        spots = np.flatnonzero(_sampled(path)[0])
+        parts.append(_child(path[0], spots[None, :], coordinates[:, spots]))
+    return np.concatenate(parts, 1)
+
+
+SPOTS = tb.mix(np.arange(COORDINATES).astype(np.uint64) + np.uint64(1))
+
+
+def _sampled(paths: np.ndarray) -> np.ndarray:
+    return tb.mix(paths[:, None] ^ SPOTS[None, :]) < np.uint64(int(2**64 / SIMILARITY / COORDINATES))
+
+
+def _child(path: np.ndarray, spot: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return tb.mix(tb.mix(path + SPOTS[spot]) ^ (value.astype(np.uint64) + np.uint64(1)))
 
 
 def split(paths: np.ndarray, coordinates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Children of each path: (row, path)."""
-    spots = tb.mix(np.arange(COORDINATES).astype(np.uint64) + np.uint64(1))
-    sampled = tb.mix(paths[:, None] ^ spots[None, :]) < np.uint64(int(2**64 / SIMILARITY / COORDINATES))
-    row, spot = np.nonzero(sampled)
-    return row, tb.mix(tb.mix(paths[row] + spots[spot]) ^ (coordinates[row, spot].astype(np.uint64) + np.uint64(1)))
+    """Children of each path by the low bits of the coordinates, enough among sets that share a path: (row, path)."""
+    row, spot = np.nonzero(_sampled(paths))
+    return row, _child(paths[row], spot, coordinates[row, spot])
 
 
 def _coordinates(column: pa.Array) -> np.ndarray:
@@ -117,14 +136,6 @@ def _paths(node: np.ndarray, path: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(node)], ["path", "node"])
 
 
-def from_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        node, own = batch.column(0).to_numpy(), _coordinates(batch.column(1))
-        for run in range(RUNS):
-            row, path = split(np.full(len(node), tb.mix(np.array([run + 1], np.uint64))[0]), own)
-            yield _paths(node[row], path)
-
-
 def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
@@ -214,18 +225,19 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", name:
                 sets, bounds = text_sets(data, offsets)
                 none = np.diff(bounds) == 0
                 own = embedded(sets, bounds)
+                paths, low = root_paths(own).view(np.int64), (own & np.uint64(0xFFFF)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(2), pa.array(fingerprints(sets, bounds).view(np.int64), mask=none), pa.array(np.diff(bounds), pa.int64()), pa.array([None if n else x.tobytes() for x, n in zip(own, none, strict=True)], pa.binary())],
-                    ["id", "text_hash", "node", "size", "coordinates"],
+                    [rows.column(0), rows.column(2), pa.array(fingerprints(sets, bounds).view(np.int64), mask=none), pa.array(np.diff(bounds), pa.int64()), pa.array([None if n else x.tobytes() for x, n in zip(low, none, strict=True)], pa.binary()), pa.array(list(paths), pa.list_(pa.int64()))],
+                    ["id", "text_hash", "node", "size", "coordinates", "paths"],
                 )
 
-    rows = stored(source.mapInArrow(reduced, f"id {kind}, text_hash bigint, node bigint, size bigint, coordinates binary"), name + "/rows")
-    grouped = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("coordinates").alias("coordinates"))
+    rows = stored(source.mapInArrow(reduced, f"id {kind}, text_hash bigint, node bigint, size bigint, coordinates binary, paths array<bigint>"), name + "/rows")
+    grouped = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("coordinates").alias("coordinates"), F.first("paths").alias("paths"))
     nodes = stored(grouped, name + "/nodes")
 
     # paths, until each is small or deep enough
     pairs = []
-    level = stored(nodes.select("node", "coordinates").mapInArrow(from_roots, "path bigint, node bigint"), name + "/paths")
+    level = nodes.select(F.explode("paths").alias("path"), "node")
     for depth in range(1, DEPTH + 1):
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = stored(level.join(sizes, "path"), name + "/paths")

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Text bytes that one numpy pass works on; bounds a worker's memory.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _MULT = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, U64)
 _inverse = np.ones(1, U64)
