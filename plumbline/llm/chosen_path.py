@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import textbatch as tb
 from plumbline.llm.embedding_dedup import _tree
-from plumbline.llm.shared import block_pairs, components, stored
+from plumbline.llm.shared import block_pairs, bloom, components, maybe_in, stored
 
 WIDTH, SIMILARITY = 5, 0.8
 COORDINATES, RECALL, DEPTH = 128, 0.99, 3
@@ -193,8 +193,9 @@ def verified(table: pa.Table) -> pa.Table:
         by_token = np.argsort(token, kind="stable")
         row, token = row[by_token], token[by_token]
         common = np.zeros((len(own), len(own)), np.float32)
-        width = max(64, (8 << 20) // len(own))
-        for a in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+        shared = int(token[-1]) + 1 if len(token) else 0
+        width = max(1, min(shared, (4 << 20) // len(own)))
+        for a in range(0, shared, width):
             s = slice(*np.searchsorted(token, [a, a + width]))
             grid = np.zeros((len(own), width), np.float32)
             grid[row[s], token[s] - a] = 1
@@ -270,7 +271,8 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", name:
                 tokens = pa.array([sets[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*rows.columns[1:], tokens], [*rows.schema.names[1:], "tokens"]).filter(right)
 
-    fetched = source.join(members, source["id"].eqNullSafe(members["first"])).select("text", "node", "cluster", "copies", "size")
+    texts = maybe_in(source, F.xxhash64("id"), bloom(members.select(F.xxhash64("first").alias("k"))))
+    fetched = texts.join(members, F.col("id").eqNullSafe(F.col("first"))).select("text", "node", "cluster", "copies", "size")
     loaded = fetched.mapInArrow(with_sets, "node bigint, cluster bigint, copies bigint, size bigint, tokens binary")
     weight = F.greatest(F.col("size"), F.lit(BLOCK_TOKENS // BLOCK))
     heavy = members.groupBy("cluster").agg(F.sum(weight).alias("weight")).withColumn("blocks", F.ceil(F.col("weight") / BLOCK_TOKENS).cast("int"))

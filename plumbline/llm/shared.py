@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -102,3 +102,27 @@ def block_pairs(rows: DataFrame, group: list[str], member: str, size: int, block
     mine = F.pmod(F.xxhash64(F.lit(5), F.col(member)), F.col("__blocks")).cast("int")
     every = joined.withColumn("__mine", mine).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     return every.withColumns({"block": F.least("__mine", "__other"), "other": F.greatest("__mine", "__other"), "low": F.col("__mine") <= F.col("__other"), "blocks": F.col("__blocks")}).drop("__blocks", "__mine", "__other")
+
+
+#: 64-bit words of a Bloom filter; its size doesn't depend on the data.
+BLOOM_WORDS = 1 << 17
+
+
+def _spots(key: Column) -> list[Column]:
+    return [F.pmod(k, F.lit(BLOOM_WORDS * 64)) for k in (key, F.shiftrightunsigned(key, 32))]
+
+
+def bloom(keys: DataFrame) -> DataFrame:
+    """A filter of the hashes ``k``: (word, bits), of ``BLOOM_WORDS`` rows of 16 bytes at most."""
+    spots = keys.select(F.explode(F.array(*_spots(F.col("k")))).alias("spot"))
+    return spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
+
+
+def maybe_in(df: DataFrame, key: Column, table: DataFrame) -> DataFrame:
+    """Rows whose hash is in the filter: none of those that were put in is lost, and few others stay until the filter fills up."""
+    out = df
+    for n, spot in enumerate(_spots(key)):
+        words = F.broadcast(table.select(F.col("word").alias(f"__w{n}"), F.col("bits").alias(f"__b{n}")))
+        out = out.withColumn(f"__s{n}", spot).join(words, F.shiftright(F.col(f"__s{n}"), 6) == F.col(f"__w{n}"))
+        out = out.where(F.expr(f"shiftrightunsigned(__b{n}, cast(__s{n} & 63 as int)) & 1") == 1)
+    return out.select(*df.columns)
