@@ -110,15 +110,15 @@ def _fields(line: Column, sep: str) -> Column:
 
 @reader("readers.text")
 def read_text(spark: SparkSession, path: str, columns: str | Sequence[str] | None = None, separator: str | None = None, skip: int | None = None) -> DataFrame:
-    """Delimited numbers; layout by the first lines where it isn't given.  ``pid`` is the place by file and line."""
+    """Delimited numbers; layout by the first lines where it isn't given.  ``pid`` grows with the place in the files."""
     found = text_layout(peek(spark, path))
     names = columns.split() if isinstance(columns, str) else list(columns or found["columns"])
     sep = separator or found["sep"]
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select("value", (F.monotonically_increasing_id() + 1).alias("pid"))
     parts = _fields(F.col("value"), sep)
     numbers = [F.try_element_at(parts, F.lit(k + 1)).try_cast("double").alias(n) for k, n in enumerate(names)]
-    rows = lines.where(~F.col("value").startswith("#")).select("f", "n", *numbers).where(F.col(names[0]).isNotNull() & F.col(names[min(2, len(names) - 1)]).isNotNull())
-    return rows.withColumn("pid", F.col("n") + 1).drop("f", "n")
+    rows = lines.where(~F.col("value").startswith("#")).select("pid", *numbers).where(F.col(names[0]).isNotNull() & F.col(names[min(2, len(names) - 1)]).isNotNull())
+    return rows
 
 
 @reader("readers.pts")
