@@ -83,22 +83,24 @@ class CrossParser:
         self.of_byte = np.zeros(256, np.int64)  # class 0: not in the sample
         self.of_byte[seen] = np.arange(1, len(seen) + 1)
         size = len(seen) + 1
-        table = np.full((len(nexts), size), -1, np.int64)
+        between = len(nexts)  # after a byte that never occurs, and before the text: whatever comes is a new phrase
+        table = np.full((between + 1, size), -1, np.int64)
         for s, moves in enumerate(nexts):
             for c, t in moves.items():
                 table[s, self.of_byte[c]] = t
-        root = np.where(table[0] < 0, 0, table[0])  # a byte that never occurs is a phrase of its own
+        root = np.where(table[0] < 0, between, table[0])
         missing = table < 0
         moved = np.where(missing, root[None, :], table)
         #: Twice the next state's row, and 1 where a new phrase begins.
         self.table = (moved * size * 2 + missing).astype(np.int32).ravel()
+        self.start = between * size
         self.cost = np.log2(max(2, len(sample)))
 
     def phrases(self, grid: np.ndarray, active: np.ndarray) -> np.ndarray:
         """Phrases of each lane of ``grid`` (steps by lanes of bytes); the first ``active[k]`` lanes go on at step k."""
         kinds = self.of_byte.astype(np.int32)
-        row = np.zeros(grid.shape[1], np.int32)
-        count = np.ones(grid.shape[1], np.int64)
+        row = np.full(grid.shape[1], self.start, np.int32)
+        count = np.zeros(grid.shape[1], np.int64)
         for k, m in enumerate(active.tolist()):
             move = self.table[row[:m] + kinds[grid[k, :m]]]
             count[:m] += move & 1
