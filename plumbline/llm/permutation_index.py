@@ -5,8 +5,9 @@ by its ``PREFIX`` nearest pivots in order.  In a block of the index each pivot
 has an inverted file of (row, place).  For prefixes of length m the induced
 footrule distance of two vectors is a constant less twice the sum of m -
 max(place, place') over the pivots they share, so walking the files of the
-queries' pivots ranks a block's rows.  The nearest ``SHARE`` of a block, with
-all ties at the border, are reranked by the inner product.
+queries' pivots ranks a block's rows.  The nearest ``SHARE`` of a block (``LEAST``
+times the wanted neighbours, if that's more), with all ties at the border, are
+reranked by the inner product.
 
 Queries are a stated set of rows; blocks of queries meet blocks of the index,
 and a block gives ``k`` rows a query at most.
@@ -32,6 +33,8 @@ from plumbline.llm.shared import stored
 
 PIVOTS, PREFIX, SHARE = 512, 64, 0.1
 INDEX_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Rows of a block that are reranked at least, by wanted neighbours.
+LEAST = 40
 
 
 def footrule_scores(queries: np.ndarray, rows: np.ndarray, pivots: int) -> np.ndarray:
@@ -86,7 +89,7 @@ def search(queries: DataFrame, index: DataFrame, pivots: np.ndarray, k: int, sha
         out: list[list] = [[], [], []]
         if qid and xid:
             ids = np.array(xid)
-            keep = min(len(ids), max(4 * k, int(np.ceil(share * len(ids)))))
+            keep = min(len(ids), max(LEAST * k, int(np.ceil(share * len(ids)))))
             scores = footrule_scores(qp, xp, len(shared.value))
             for i, own in enumerate(qid):
                 least = np.partition(scores[i], len(ids) - keep)[len(ids) - keep]
