@@ -120,8 +120,8 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def _bloom_bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (keys % np.uint64(BLOOM_WORDS * 64)).astype(np.int64), ((keys >> np.uint64(32)) % np.uint64(BLOOM_WORDS * 64)).astype(np.int64)
+def _bloom_bits(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    return (keys % np.uint64(words * 64)).astype(np.int64), ((keys >> np.uint64(32)) % np.uint64(words * 64)).astype(np.int64)
 
 
 def dropped_lines(docs: DataFrame, text: str, key: str, name: str = "line_dedup") -> DataFrame:
@@ -162,7 +162,7 @@ def dropped_lines(docs: DataFrame, text: str, key: str, name: str = "line_dedup"
                 own = Lines(data, offsets)
                 keys, of = own.halves()
                 hit = np.ones(len(keys), bool)
-                for spot in _bloom_bits(keys):
+                for spot in _bloom_bits(keys, len(bits)):
                     hit &= (bits[spot >> 6] >> (spot & 63)) & 1 == 1
                 chosen = np.zeros(len(own.size), bool)
                 chosen[of[hit]] = True
