@@ -7,6 +7,8 @@ filter by and are put back after (``where_merge`` false leaves them out).
 from __future__ import annotations
 
 import json
+import threading
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -174,17 +176,55 @@ def convert(spark: SparkSession, source: str, target: str, options: ConvertOptio
     stages = [Stage(read.type, {"filename": source, **read.options}), *filters, Stage(write.type, {"filename": target, **extras})]
     if options.on_progress and options.on_progress(0.0 if options.point_total_hint else None) is False:
         raise Cancelled(source)
+    watch = _Progress(spark, options.on_progress)
     try:
-        result = Pipeline(stages).execute(spark)
+        with watch:
+            result = Pipeline(stages).execute(spark)
     except ConvertError:
         raise
     except Exception as e:
-        raise PipelineFailed(str(e)) from e
+        raise (Cancelled(source) if watch.cancelled else PipelineFailed(str(e))) from e
     if options.on_progress:
         options.on_progress(1.0)
     return result
 
 
+class _Progress:
+    """Tells the share of tasks done while jobs run; a callback that returns False cancels them."""
+
+    def __init__(self, spark: SparkSession, callback: Callable[[float | None], bool | None] | None, every: float = 0.2) -> None:
+        self.context, self.callback, self.every = spark.sparkContext, callback, every
+        self.group, self.cancelled, self.over = f"convert-{uuid.uuid4().hex}", False, threading.Event()
+
+    def __enter__(self) -> _Progress:
+        if self.callback:
+            self.context.setJobGroup(self.group, "convert", interruptOnCancel=True)
+            self.thread = threading.Thread(target=self.watch, daemon=True)
+            self.thread.start()
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        if self.callback:
+            self.over.set()
+            self.thread.join()
+            self.context.setLocalProperty("spark.jobGroup.id", None)
+
+    def watch(self) -> None:
+        tracker, last = self.context.statusTracker(), None
+        while not self.over.wait(self.every):
+            if self.cancelled:  # jobs that began since then, too
+                self.context.cancelJobGroup(self.group)
+                continue
+            stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(self.group) for s in (tracker.getJobInfo(j).stageIds if tracker.getJobInfo(j) else ())]
+            total = sum(s.numTasks for s in stages if s)
+            share = min(0.99, sum(s.numCompletedTasks for s in stages if s) / total) if total else None
+            if share != last:
+                last = share
+                if self.callback(share) is False:
+                    self.cancelled = True
+                    self.context.cancelJobGroup(self.group)
+
+
 @dataclass
 class PointFrame:
     """Points with their spatial reference."""

@@ -518,6 +518,21 @@ def test_convert(spark, tmp_path):
         convert(spark, str(tmp_path / "a.xyz"), str(tmp_path / "c.parquet"), ConvertOptions(on_progress=lambda _: False))
 
 
+def test_cancel_while_it_runs(spark, tmp_path):
+    import time
+
+    (tmp_path / "a.xyz").write_text("\n".join(f"{i} {2 * i} {3 * i}" for i in range(500)))
+
+    def slow(columns):
+        time.sleep(20)
+
+    calls = []
+    options = ConvertOptions(filters=[Stage("filters.streamcallback", {"function": slow})], on_progress=lambda p: calls.append(p) or len(calls) < 2)
+    with pytest.raises(Cancelled):
+        convert(spark, str(tmp_path / "a.xyz"), str(tmp_path / "b.parquet"), options)
+    assert spark.range(3).count() == 3
+
+
 def test_filters_reach_the_scan(spark, cloud, tmp_path):
     cloud.write.parquet(str(tmp_path / "p"))
     df = filters.keep_ranges(spark.read.parquet(str(tmp_path / "p")), "X[1:2]").select("Z")
