@@ -31,9 +31,11 @@ from plumbline.llm import textbatch as tb
 
 NONE = np.int32(2**31 - 1)
 #: Distinct pieces that a task remembers between batches.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Text bytes of one replay; more share the passes over the ranks, but take more memory.
-CORPUS_BYTES = 12 << 20
+CORPUS_BYTES = 6 << 20
+#: Text bytes that are split into pieces at a time.
+PIECE_BYTES = 1 << 20
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
@@ -114,11 +116,13 @@ class Ranks:
 def char_classes() -> np.ndarray:
     """LETTER, NUMBER, SPACE or OTHER by code point, as the pattern's \\p{L}, \\p{N} and \\s have it."""
     out = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-    for kind, found in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(found, every):
-            for at, last in ((ord(m[0][0]), ord(m[0][-1])),):
-                out[at : last + 1] = kind
+    for block in range(0, 0x110000, 0x800):
+        if 0xD800 <= block < 0xE000:  # surrogates aren't characters
+            continue
+        every = "".join(map(chr, range(block, block + 0x800)))
+        for kind, found in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
+            for m in regex.finditer(found, every):
+                out[block + m.start() : block + m.end()] = kind
     return out
 
 
@@ -262,27 +266,51 @@ class Encoder:
     def forget(self) -> None:
         self.hashes, self.tokens, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all texts end to end, and len+1 offsets into them by text."""
-        starts, ends, by_text = pieces(data, offsets)
-        if not len(starts):
-            return np.zeros(0, np.int32), by_text
-        hashes, first, inverse = np.unique(tb.hash_ranges(data, starts, ends), return_index=True, return_inverse=True)
-        known = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
-        new = self.hashes[known] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
-        tokens, bounds = replay(self.ranks, data, starts[first[new]], ends[first[new]])
-        order = np.argsort(np.concatenate([self.hashes, hashes[new]]), kind="stable")
-        self.hashes = np.concatenate([self.hashes, hashes[new]])[order]
-        self.starts = np.concatenate([self.starts, bounds[:-1] + len(self.tokens)])[order]
-        self.sizes = np.concatenate([self.sizes, np.diff(bounds)])[order]
+    def parts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, end row, their tokens end to end, offsets into these by text) for row ranges of some MB.
+
+        All new pieces are replayed together before; only their bytes and
+        every piece's number are kept meanwhile.
+        """
+        waiting, fresh, plain = [], [], []
+        i, n = 0, len(offsets) - 1
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE_BYTES, "right")) - 1)
+            own = data[offsets[i] : offsets[j]]
+            starts, ends, by_text = pieces(own, offsets[i : j + 1] - offsets[i])
+            hashes, first, inverse = np.unique(tb.hash_ranges(own, starts, ends), return_index=True, return_inverse=True)
+            known = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+            new = first[self.hashes[known] != hashes] if len(self.hashes) else first
+            fresh.append((tb.hash_ranges(own, starts[new], ends[new]), ends[new] - starts[new]))
+            plain.append(gather(own, starts[new], ends[new] - starts[new]))
+            waiting.append((i, j, hashes, inverse.astype(np.int32), by_text))
+            i = j
+        if not waiting:
+            return
+        hashes, sizes = (np.concatenate(x) for x in zip(*fresh, strict=True))
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        hashes, first = np.unique(hashes, return_index=True)
+        tokens, cuts = replay(self.ranks, np.concatenate(plain), bounds[:-1][first], bounds[1:][first])
+        del plain, fresh
+        order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
+        self.hashes = np.concatenate([self.hashes, hashes])[order]
+        self.starts = np.concatenate([self.starts, cuts[:-1] + len(self.tokens)])[order]
+        self.sizes = np.concatenate([self.sizes, np.diff(cuts)])[order]
         self.tokens = np.concatenate([self.tokens, tokens])
-        at = np.searchsorted(self.hashes, hashes)[inverse]
-        sizes = self.sizes[at]
-        ids = gather(self.tokens, self.starts[at], sizes)
-        by_text = np.concatenate([[0], np.cumsum(sizes)])[by_text]
+        for i, j, hashes, inverse, by_text in waiting:
+            at = np.searchsorted(self.hashes, hashes)
+            sizes = self.sizes[at][inverse]
+            yield i, j, gather(self.tokens, self.starts[at][inverse], sizes), np.concatenate([[0], np.cumsum(sizes)])[by_text]
         if len(self.hashes) > REMEMBERED:
             self.forget()
-        return ids, by_text
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all texts end to end, and len+1 offsets into them by text."""
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for _, _, own, by_text in self.parts(data, offsets):
+            ids.append(own)
+            sizes.append(np.diff(by_text))
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
     def decode(self, ids: np.ndarray, by_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all texts end to end, and len+1 offsets into them by text."""
@@ -317,17 +345,18 @@ def byte_bpe(docs: DataFrame, ranks_path: str, text: str = "text", key: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
         for batch in batches:
-            for rows, data, offsets in tb.chunks(batch, "text", CORPUS_BYTES):
-                ids, by_text = own.encode(data, offsets)
-                decoded, ends = own.decode(ids, by_text)
-                raw, plain, n = ids.astype("<u4").tobytes(), decoded.tobytes(), rows.num_rows
-                out = [
-                    rows.column(0), pa.array(np.diff(by_text), pa.int64()),
-                    pa.array([hashlib.sha256(raw[4 * by_text[i] : 4 * by_text[i + 1]]).hexdigest() for i in range(n)], pa.string()),
-                    pa.array([hashlib.sha256(plain[ends[i] : ends[i + 1]]).hexdigest() for i in range(n)], pa.string()),
-                ]
-                if full:
-                    out += [pa.ListArray.from_arrays(pa.array(by_text, pa.int32()), pa.array(ids, pa.int32())), pa.array([plain[ends[i] : ends[i + 1]] for i in range(n)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, ["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(out)])
+            for chunk, data, offsets in tb.chunks(batch, "text", CORPUS_BYTES):
+                for i, j, ids, by_text in own.parts(data, offsets):
+                    rows, n = chunk.slice(i, j - i), j - i
+                    decoded, ends = own.decode(ids, by_text)
+                    raw, plain = ids.astype("<u4").tobytes(), decoded.tobytes()
+                    out = [
+                        rows.column(0), pa.array(np.diff(by_text), pa.int64()),
+                        pa.array([hashlib.sha256(raw[4 * by_text[i] : 4 * by_text[i + 1]]).hexdigest() for i in range(n)], pa.string()),
+                        pa.array([hashlib.sha256(plain[ends[i] : ends[i + 1]]).hexdigest() for i in range(n)], pa.string()),
+                    ]
+                    if full:
+                        out += [pa.ListArray.from_arrays(pa.array(by_text, pa.int32()), pa.array(ids, pa.int32())), pa.array([plain[ends[i] : ends[i + 1]] for i in range(n)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(out, ["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(out)])
 
     return source.mapInArrow(run, schema).withColumnRenamed("key", key)
