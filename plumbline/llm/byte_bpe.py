@@ -31,7 +31,7 @@ from plumbline.llm import textbatch as tb
 
 NONE = np.int32(2**31 - 1)
 #: Distinct pieces that a task remembers between batches.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Text bytes of one replay; more share the passes over the ranks, but take more memory.
 CORPUS_BYTES = 6 << 20
 #: Text bytes that are split into pieces at a time.

@@ -6,11 +6,18 @@ batch costs a few numpy passes instead of a Python loop over words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+try:  # arrays of over 256 kB go back to the system when they are freed, so that idle workers stay small
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 1 << 18)
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
 U64 = np.uint64
 #: Text bytes that one numpy pass works on; bounds a worker's memory.
 CHUNK_BYTES = 2 << 20
@@ -19,6 +26,13 @@ _powers = np.ones(1, U64)
 _inverse = np.ones(1, U64)
 
 
+def release() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit over 64 bits."""
     x = x.astype(U64, copy=True)
@@ -49,6 +63,7 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    release()
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
