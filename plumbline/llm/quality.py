@@ -84,7 +84,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> np.nda
     for _ in range(s.epochs):
         for i in order.permutation(len(rows)):
             slots, values, label = rows[i]
-            at, x = np.append(slots, size - 1), np.append(values, 1.0)
+            at, x = np.append(slots, size - 1), np.append(values.astype(np.float64), 1.0)
             w = weights(at)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / s.alpha * w
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", k
         rows = []
         for batch in batches:
             for i, label, slots, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                rows.append((i, np.asarray(slots.values, np.int64), np.asarray(values.values, np.float64), label))
+                rows.append((i, slots.values.to_numpy(), values.values.to_numpy(), label))
         rows.sort(key=lambda r: (str(r[0]), len(r[1]), r[1].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([train([r[1:] for r in rows], s).tobytes()], pa.binary())], ["weights"])
 

@@ -300,9 +300,9 @@ def leftmost_start(automaton: Automaton, kinds: bytes, begin: int, end: int) ->
     return found
 
 
-def scan_texts(data: np.ndarray, offsets: np.ndarray, rules: tuple[Rule, ...] = RULES) -> dict[int, list[tuple[int, int, int]]]:
+def scan_texts(data: np.ndarray, offsets: np.ndarray, rules: tuple[Rule, ...] = RULES, compiled: tuple[Automaton, list[Automaton]] | None = None) -> dict[int, list[tuple[int, int, int]]]:
     """By text, its (start, rule, end) in code points, sorted; texts without a match are left out."""
-    search, backward = automata(rules)
+    search, backward = compiled or automata(rules)
     joined = np.insert(search.of_byte[data], offsets[1:-1], search.classes - 1)
     bases = offsets[:-1] + np.arange(len(offsets) - 1)
     states = end_states(search, joined) // search.classes if len(joined) else joined
@@ -333,13 +333,17 @@ def scan_texts(data: np.ndarray, offsets: np.ndarray, rules: tuple[Rule, ...] =
 
 
 def secret_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Per row: ``key`` and ``spans``, an array of (kind, start, end) by start, then kind as listed."""
+    """Per row: ``key`` and ``spans``, an array of (kind, start, end) by start, then kind as listed.
+
+    The automata are compiled on the driver and broadcast; their size depends on the rules alone.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(automata(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for rows, data, offsets in tb.chunks(batch, "text"):
-                found = scan_texts(data, offsets, rules)
+                found = scan_texts(data, offsets, rules, shared.value)
                 spans = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in found.get(d, ())] for d in range(rows.num_rows)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(spans, kind)], ["key", "spans"])
 

@@ -20,7 +20,7 @@ except (OSError, AttributeError):  # another C library
 
 U64 = np.uint64
 #: Text bytes that one numpy pass works on; bounds a worker's memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _MULT = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, U64)
 _inverse = np.ones(1, U64)
