@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", k
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     sample = rows.mapInArrow(hashed, f"doc_id {kind}, label int, slots array<int>, values array<float>")
-    found = sample.coalesce(1).mapInArrow(learned, "weights binary").collect() if settings.sample_rows else []
+    found = sample.repartition(1).mapInArrow(learned, "weights binary").collect() if settings.sample_rows else []
     return np.frombuffer(bytes(found[0][0]), np.float32) if found else np.zeros((1 << s.bits) + 1, np.float32)
 
 
