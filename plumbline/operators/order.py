@@ -15,32 +15,39 @@ PID = "pid"
 BUCKET = 1 << 16
 
 
-def ordinal(df: DataFrame, *order: str, name: str = "rn", width: int = BUCKET, lead: Column | None = None) -> DataFrame:
-    """``df`` with ``name``, from 0: the row's place by the columns of ``order`` (by pid without any)."""
+def bucket(column: str, width: int) -> Column:
+    """The bucket of a value; of null, one before all others."""
+    return F.coalesce(F.floor(F.col(column) / F.lit(width)), F.lit(-(1 << 62)))
+
+
+def ordinal(df: DataFrame, *order: str, name: str = "rn", width: int = BUCKET, keep: bool = False) -> DataFrame:
+    """``df`` with ``name``, from 0: the row's place by the columns of ``order`` (by pid without any).
+
+    With ``keep`` the column ``__bucket`` stays, by which the rows are partitioned.
+    """
     order = order or (PID,)
-    lead = F.col(order[0]) if lead is None else lead
-    bucketed = df.withColumn("__bucket", F.floor(lead / F.lit(width)))
+    bucketed = df.withColumn("__bucket", bucket(order[0], width))
     counts = bucketed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(F.col("__bucket").alias("__b"), F.coalesce(before, F.lit(0)).alias("__before"))  # a row a bucket
     place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)) - 1
-    numbered = bucketed.withColumn("__place", place).join(offsets, F.col("__bucket").eqNullSafe(F.col("__b")))
-    return numbered.withColumn(name, F.col("__place") + F.col("__before")).drop("__bucket", "__b", "__place", "__before")
+    numbered = bucketed.withColumn("__place", place).join(offsets, F.col("__bucket") == F.col("__b"))
+    return numbered.withColumn(name, F.col("__place") + F.col("__before")).drop("__b", "__place", "__before", *([] if keep else ["__bucket"]))
 
 
-def with_pid(df: DataFrame, *order: str, width: int = BUCKET) -> DataFrame:
+def with_pid(df: DataFrame, *order: str, width: int = BUCKET, keep: bool = False) -> DataFrame:
     """``df`` with ``pid``, from 1, by a total order."""
-    return ordinal(df, *order, name="__rn", width=width).withColumn(PID, (F.col("__rn") + 1).cast("long")).drop("__rn")
+    return ordinal(df, *order, name="__rn", width=width, keep=keep).withColumn(PID, (F.col("__rn") + 1).cast("long")).drop("__rn")
 
 
 def running(df: DataFrame, value: Column, name: str, width: int = BUCKET, order: str = PID) -> DataFrame:
     """``df`` with the running sum of ``value`` in input order, by the same two passes."""
-    bucketed = df.withColumns({"__bucket": F.floor(F.col(order) / F.lit(width)), "__v": value})
+    bucketed = df.withColumns({"__bucket": bucket(order, width), "__v": value})
     sums = bucketed.groupBy("__bucket").agg(F.sum("__v").alias("__s"))
     before = F.sum("__s").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select(F.col("__bucket").alias("__b"), F.coalesce(before, F.lit(0)).alias("__before"))
     here = F.sum("__v").over(Window.partitionBy("__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    joined = bucketed.withColumn("__here", here).join(offsets, F.col("__bucket").eqNullSafe(F.col("__b")))
+    joined = bucketed.withColumn("__here", here).join(offsets, F.col("__bucket") == F.col("__b"))
     return joined.withColumn(name, F.col("__here") + F.col("__before")).drop("__bucket", "__b", "__v", "__here", "__before")
 
 
@@ -49,11 +56,11 @@ def previous(df: DataFrame, column: str, name: str, width: int = BUCKET, order:
 
     A bucket's first row takes it from the last row of the bucket before that has rows.
     """
-    bucketed = df.withColumn("__bucket", F.floor(F.col(order) / F.lit(width)))
+    bucketed = df.withColumn("__bucket", bucket(order, width))
     last = bucketed.groupBy("__bucket").agg(F.max_by(column, order).alias("__last"))
     ends = last.select(F.col("__bucket").alias("__b"), F.lag("__last").over(Window.orderBy("__bucket")).alias("__end"))
     w = Window.partitionBy("__bucket").orderBy(order)
-    joined = bucketed.withColumns({"__lag": F.lag(column).over(w), "__n": F.row_number().over(w)}).join(ends, F.col("__bucket").eqNullSafe(F.col("__b")))
+    joined = bucketed.withColumns({"__lag": F.lag(column).over(w), "__n": F.row_number().over(w)}).join(ends, F.col("__bucket") == F.col("__b"))
     return joined.withColumn(name, F.when(F.col("__n") == 1, F.col("__end")).otherwise(F.col("__lag"))).drop("__bucket", "__b", "__end", "__lag", "__n")
 
 

@@ -66,7 +66,7 @@ def _sql(body: str, columns: list[tuple[str, bool]]) -> str:
     own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?(.*?)\s*;;\s*(.*)", body, re.S)
     parts = [COMMON[n] for n in wanted] + ([own[2]] if own else [])
     main = own[3] if own else body
-    shown = ", ".join(f'round("{c}", 6) AS "{c}"' if r else f'"{c}"' for c, r in columns)
+    shown = ", ".join(f'round("{c}"::DOUBLE, 6) AS "{c}"' if r else f'"{c}"' for c, r in columns)
     return ("WITH " + ("RECURSIVE " if own and own[1] else "") + ",\n".join(parts) + "\n" if parts else "") + f"SELECT {shown} FROM ({main}) AS t"
 
 
@@ -92,8 +92,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = with_pid(table(spark, sf_dir, "lineitem"), *ORDER, width=1024)
-    order = Window.partitionBy("l_orderkey")
+    df = with_pid(table(spark, sf_dir, "lineitem"), *ORDER, width=1024, keep=True)
+    order = Window.partitionBy("__bucket", "l_orderkey")  # a bucket holds whole orders
     return df.select(
         PID, F.col("l_orderkey").alias("line"), F.col("l_quantity").alias("X"), (F.col("l_extendedprice") / 1000).alias("Y"), F.round(F.col("l_discount") * 100, 6).alias("Z"), F.col("l_tax").alias("Intensity"),
         F.when(F.col("l_returnflag") == "A", 2).when(F.col("l_returnflag") == "N", 1).otherwise(6).alias("Classification"), F.row_number().over(order.orderBy(PID)).cast("long").alias("ReturnNumber"), F.count(F.lit(1)).over(order).alias("NumberOfReturns"),
