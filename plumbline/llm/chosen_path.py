@@ -240,7 +240,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", name:
     pairs = []
     level = nodes.select(F.explode("paths").alias("path"), "node")
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sizes = stored(level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), name + "/sizes")  # by itself, so that the join can be split at large paths
         shared = stored(level.join(sizes, "path"), name + "/paths")
         large = F.col("n") > FEW
         pairs.append(shared if depth == DEPTH else shared.where(~large))

@@ -93,12 +93,14 @@ def block_pairs(rows: DataFrame, group: list[str], member: str, size: int, block
 
     A group of n rows has ceil(n / size) blocks, or as many as ``blocks`` says,
     so that even a huge one is never in one task; each row goes to as many
-    pairs as there are blocks.
+    pairs as there are blocks.  The numbers of groups with several blocks, few
+    and small, are written first: the join with them can then be a broadcast or,
+    where they are many, be split at large groups.
     """
     counts = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks")) if blocks is None else blocks
-    counts = counts.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("blocks").alias("__blocks"))
+    counts = stored(counts.where("blocks > 1").select(*[F.col(g).alias(f"__{g}") for g in group], F.col("blocks").alias("__n")), "blocks")
     same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group]
-    joined = rows.join(counts, same).drop(*[f"__{g}" for g in group])
+    joined = rows.join(counts, same, "left").withColumn("__blocks", F.coalesce("__n", F.lit(1))).drop("__n", *[f"__{g}" for g in group])
     mine = F.pmod(F.xxhash64(F.lit(5), F.col(member)), F.col("__blocks")).cast("int")
     every = joined.withColumn("__mine", mine).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     return every.withColumns({"block": F.least("__mine", "__other"), "other": F.greatest("__mine", "__other"), "low": F.col("__mine") <= F.col("__other"), "blocks": F.col("__blocks")}).drop("__blocks", "__mine", "__other")
