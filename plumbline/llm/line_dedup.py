@@ -234,6 +234,7 @@ def dropped_lines(docs: DataFrame, text: str, key: str, name: str = "line_dedup"
     # 4. places of lines that go
     repeated = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     known = repeated.join(gone, ["h1", "h2"], "left").where("n > 1 or gone").select("h1", "h2", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    known = stored(known, name + "/known")  # by itself, so that the join can be split at frequent lines
     out = lines.join(known, ["h1", "h2"]).where(F.col("gone") | (place > F.col("first")))
     return out.groupBy("id", "text_hash").agg(F.collect_set("number").alias("drops"))
 
