@@ -6,10 +6,13 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 XYZ = ("X", "Y", "Z")
+#: Edges or triangles that are written out as an expression; more go to numpy, behind the same test of a box.
+MOST_TERMS = 200
 
 
 def distance2(a: str, b: str, dims: Sequence[str] = XYZ) -> Column:
@@ -70,12 +73,30 @@ def polygon_contains(ring: Sequence[Sequence[float]], x: Column, y: Column) -> C
     if pts[0] == pts[-1]:
         pts = pts[:-1]
     xs, ys = [p[0] for p in pts], [p[1] for p in pts]
+    box = x.between(min(xs), max(xs)) & y.between(min(ys), max(ys))
+    if len(pts) > MOST_TERMS:
+        return box & F.coalesce(F.when(box, _polygon_udf(pts)(x.cast("double"), y.cast("double"))), F.lit(False))
     crossings = []
     for (x1, y1), (x2, y2) in zip(pts, pts[1:] + pts[:1], strict=True):
         if y1 != y2:
             crossings.append((((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)).cast("int"))
     inside = reduce(lambda a, b: a + b, crossings) % 2 == 1
-    return x.between(min(xs), max(xs)) & y.between(min(ys), max(ys)) & inside
+    return box & inside
+
+
+def _polygon_udf(pts: list[tuple[float, float]]):
+    """The same rule in numpy, an edge at a time over a batch."""
+
+    def inside(x: pa.Array, y: pa.Array) -> pa.Array:
+        px, py = (np.nan_to_num(c.to_numpy(zero_copy_only=False).astype(float), nan=np.inf) for c in (x, y))
+        odd = np.zeros(len(px), bool)
+        for (x1, y1), (x2, y2) in zip(pts, pts[1:] + pts[:1], strict=True):
+            if y1 != y2:
+                odd ^= ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
+        return pa.array(odd)
+
+    inside.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
+    return F.arrow_udf(inside, "boolean")
 
 
 def segment_distance(x: Column, y: Column, ax: float, ay: float, bx: float, by: float) -> Column:

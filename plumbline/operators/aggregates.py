@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import expression as ex
 from plumbline.functions.geometry import XYZ
-from plumbline.operators.order import PID, ordinal, running, with_one
+from plumbline.operators.order import PID, ordinal, quantiles, running, with_one
 from plumbline.plans.registry import stage
 from plumbline.types import schema_summary
 
@@ -44,16 +44,17 @@ def statistics(df: DataFrame, dims: Sequence[str], advanced: bool = False, robus
         parts = [F.lit(k).alias("position"), F.lit(d).alias("name"), F.count(v).alias("count"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.avg(v).alias("average"), F.stddev_samp(v).alias("stddev"), F.var_samp(v).alias("variance")]
         if advanced:
             parts += [sample_skewness(v).alias("skewness"), sample_kurtosis(v).alias("kurtosis")]
-        if robust:
-            parts += [F.median(v).alias("median")]
         rows.append(F.struct(*parts).alias(f"s{k}"))
     out = df.agg(*rows).select(F.explode(F.array(*[f"s{k}" for k in range(len(dims))])).alias("s")).select("s.*")
     if not robust:
         return out
-    middles = out.groupBy().pivot("name", list(dims)).agg(F.first("median"))
-    off = with_one(df, middles.select(*[F.col(f"`{d}`").alias(f"__m{d}") for d in dims]))
-    mads = off.agg(F.array(*[F.median(F.abs(F.col(d) - F.col(f"__m{d}"))) for d in dims]).alias("__mads"))
-    return with_one(out, mads).withColumn("mad", F.element_at("__mads", F.col("position") + 1)).drop("__mads")
+    found = []
+    for d in dims:
+        middle = quantiles(df, d, [0.5])[0]
+        mad = None if middle is None else quantiles(df.select(F.abs(F.col(d) - middle).alias("off")), "off", [0.5])[0]
+        found.append((d, middle, mad))
+    robust_ = df.sparkSession.createDataFrame(found, "name string, median double, mad double")  # a row a dimension
+    return out.join(F.broadcast(robust_), "name", "left")
 
 
 def enumerate_values(df: DataFrame, dimension: str) -> DataFrame:
@@ -193,9 +194,9 @@ def chip(df: DataFrame, capacity: int = 5000) -> DataFrame:
             return out
         joined = out.join(sizes, F.col("chip") == F.col("__c"), "left")
         v = F.when(F.col("__wide"), F.col("X")).otherwise(F.col("Y"))
-        cuts = joined.where("__c is not null").groupBy(F.col("chip").alias("__k")).agg(F.percentile(v, F.lit(0.5)).alias("__cut"))
+        cuts = joined.where("__c is not null").groupBy(F.col("chip").alias("__k")).agg(F.percentile_approx(v, 0.5).alias("__cut"))
         placed = joined.join(cuts, F.col("chip") == F.col("__k"), "left").withColumn("__v", v)
-        ties = placed.where(F.col("__v") == F.col("__cut")).groupBy(F.col("chip").alias("__t")).agg(F.percentile(PID, F.lit(0.5)).alias("__pid"), F.count(F.lit(1)).alias("__same"))
+        ties = placed.where(F.col("__v") == F.col("__cut")).groupBy(F.col("chip").alias("__t")).agg(F.percentile_approx(PID, 0.5).alias("__pid"))
         placed = placed.join(ties, F.col("chip") == F.col("__t"), "left")
         upper = (F.col("__v") > F.col("__cut")) | ((F.col("__v") == F.col("__cut")) & (F.col(PID) > F.col("__pid")))
         renamed = F.when(F.col("__cut").isNull(), F.col("chip")).otherwise(F.col("chip") * 2 + upper.cast("long"))

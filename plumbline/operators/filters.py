@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import expression as ex
 from plumbline.functions.geometry import box_contains, polygon_contains
-from plumbline.operators.order import PID, ordinal, with_one
+from plumbline.operators.order import PID, ordinal, quantiles, with_one
 from plumbline.plans.registry import stage
 
 
@@ -64,18 +64,20 @@ def split_returns(df: DataFrame, groups: Sequence[str] = ("first", "last", "inte
 @stage("filters.iqr")
 def keep_iqr(df: DataFrame, dimension: str, k: float = 1.5) -> DataFrame:
     """Points within k interquartile ranges of the quartiles (linear interpolation)."""
-    quartiles = df.agg(F.percentile(dimension, F.lit(0.25)).alias("__q1"), F.percentile(dimension, F.lit(0.75)).alias("__q3"))
-    spread = F.lit(float(k)) * (F.col("__q3") - F.col("__q1"))
-    return with_one(df, quartiles).where(F.col(dimension).between(F.col("__q1") - spread, F.col("__q3") + spread)).drop("__q1", "__q3")
+    q1, q3 = quantiles(df, dimension, [0.25, 0.75])
+    if q1 is None:
+        return df.where("false")
+    return df.where(F.col(dimension).between(q1 - k * (q3 - q1), q3 + k * (q3 - q1)))
 
 
 @stage("filters.mad")
 def keep_mad(df: DataFrame, dimension: str, k: float = 2.0, mad_multiplier: float = 1.4826) -> DataFrame:
     """Points within k scaled median absolute deviations of the median."""
-    with_median = with_one(df, df.agg(F.median(dimension).alias("__med")))
-    off = F.abs(F.col(dimension) - F.col("__med"))
-    mad = with_median.agg(F.median(off).alias("__mad"))
-    return with_one(with_median, mad).where(off <= F.lit(k * mad_multiplier) * F.col("__mad")).drop("__med", "__mad")
+    middle = quantiles(df, dimension, [0.5])[0]
+    if middle is None:
+        return df.where("false")
+    off = F.abs(F.col(dimension) - middle)
+    return df.where(off <= k * mad_multiplier * quantiles(df.select(off.alias("off")), "off", [0.5])[0])
 
 
 @stage("filters.locate")

@@ -67,3 +67,49 @@ def previous(df: DataFrame, column: str, name: str, width: int = BUCKET, order:
 def with_one(df: DataFrame, one: DataFrame) -> DataFrame:
     """``df`` with the columns of a table of exactly one row."""
     return df.join(F.broadcast(one.withColumn("__one", F.lit(True))), F.lit(True)).drop("__one")
+
+
+#: Rows of which one aggregate may hold all distinct values.
+EXACT_ROWS = 5_000_000
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float], exact_rows: int = EXACT_ROWS) -> list[float | None]:
+    """Exact quantiles with linear interpolation, NaN and null left out.
+
+    Beyond ``exact_rows`` rows an approximate quantile gives an interval that
+    holds the wanted order statistics; only its rows go on, until few are left.
+    """
+    v = F.col(column).cast("double")
+    rows = df.select(v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
+    n = rows.count()
+    if not n:
+        return [None for _ in shares]
+    if n <= exact_rows:
+        return list(rows.agg(F.percentile("v", F.array(*map(F.lit, shares)))).first()[0])
+    return [_refined(rows, n, s, exact_rows) for s in shares]
+
+
+def _refined(rows: DataFrame, n: int, share: float, exact_rows: int) -> float:
+    place = share * (n - 1)
+    low = int(place)
+    below, size, inner, error = 0, n, rows, 0.001
+    while size > max(exact_rows, 1000):
+        at = (low - below) / max(size - 1, 1)
+        a, b = inner.approxQuantile("v", [max(0.0, at - 2 * error), min(1.0, at + 2 * error)], error)
+        counts = inner.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v") <= b)).first()
+        if counts[0] > low - below or counts[1] <= low - below or counts[1] - counts[0] >= size:
+            break  # equal values fill the interval
+        below, size, inner = below + counts[0], counts[1] - counts[0], inner.where(F.col("v").between(a, b))
+    ranked = inner.groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v")
+    need, seen, found = [low - below, low - below + 1], 0, []
+    for r in ranked.toLocalIterator():  # distinct values, from the smallest on
+        seen += r.n
+        while len(found) < 2 and seen > need[len(found)]:
+            found.append(r.v)
+        if len(found) == 2:
+            break
+    if len(found) < 2:
+        above = rows.where(F.col("v") > found[0]).agg(F.min("v")).first()[0] if found and low + 1 < n else None
+        found.append(found[0] if above is None else above)
+    part = place - low
+    return found[0] * (1 - part) + found[1] * part

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import geometry
 from plumbline.functions.geometry import XYZ
 
 from plumbline.operators.materialise import stored
@@ -313,6 +314,9 @@ def inside_mesh(mesh: dict, origin: Sequence[float] = (0.0, 0.0, 0.0)) -> Column
     """Whether a point is in a closed mesh: within its box, an odd number of triangles on its way in +X (Möller and Trumbore 1997)."""
     verts = np.array(mesh["verts"], float) + np.array(origin, float)
     box = reduce(lambda a, b: a & b, [F.col(d).between(float(verts[:, k].min()), float(verts[:, k].max())) for k, d in enumerate(XYZ)])
+    if len(mesh_triangles(mesh)) > geometry.MOST_TERMS:
+        tri = np.array(mesh_triangles(mesh), float) + np.array(origin, float)
+        return box & F.coalesce(F.when(box, _mesh_udf(tri)(*[F.col(d).cast("double") for d in XYZ])), F.lit(False))
     eps, hits = 1e-9, []
     for a, b, c in (np.array(t, float) + np.array(origin, float) for t in mesh_triangles(mesh)):
         e1, e2 = b - a, c - a
@@ -337,16 +341,13 @@ def carve(df: DataFrame, meshes: Sequence[dict], origin: Sequence[float] = (0.0,
     return df.where(test & ~reduce(lambda a, b: a | b, drop, F.lit(False)))
 
 
-def carve_arrow(df: DataFrame, mesh: dict, origin: Sequence[float] = (0.0, 0.0, 0.0)) -> DataFrame:
-    """``inside`` for meshes of many triangles: the same test in numpy, behind the box."""
-    tri = np.array(mesh_triangles(mesh), float) + np.array(origin, float)
-    shared = df.sparkSession.sparkContext.broadcast(tri)
+def _mesh_udf(tri: np.ndarray):
+    """The same test in numpy, a triangle at a time over a batch."""
 
-    def test(x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
-        t = shared.value
-        p = np.column_stack([c.to_numpy(zero_copy_only=False) for c in (x, y, z)])
+    def inside(x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
+        p = np.column_stack([np.nan_to_num(c.to_numpy(zero_copy_only=False).astype(float), nan=1e300) for c in (x, y, z)])
         odd = np.zeros(len(p), bool)
-        for a, b, c in t:
+        for a, b, c in tri:
             e1, e2 = b - a, c - a
             w = np.array([0.0, -e2[2], e2[1]])
             det = e1 @ w
@@ -359,7 +360,5 @@ def carve_arrow(df: DataFrame, mesh: dict, origin: Sequence[float] = (0.0, 0.0,
             odd ^= (u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1) & (q @ e2 / det > 1e-9)
         return pa.array(odd)
 
-    test.__annotations__ = {"x": pa.Array, "y": pa.Array, "z": pa.Array, "return": pa.Array}
-    low, high = tri.min((0, 1)), tri.max((0, 1))
-    box = reduce(lambda a, b: a & b, [F.col(d).between(float(low[k]), float(high[k])) for k, d in enumerate(XYZ)])
-    return df.withColumn("inside", F.when(box, F.arrow_udf(test, "boolean")(*[F.col(d).cast("double") for d in XYZ])).otherwise(False))
+    inside.__annotations__ = {"x": pa.Array, "y": pa.Array, "z": pa.Array, "return": pa.Array}
+    return F.arrow_udf(inside, "boolean")
