@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from plumbline.llm import textbatch as tb
+from plumbline.llm.shared import small_batches
 
 NONE = np.int32(2**31 - 1)
 #: Distinct pieces that a task remembers between batches.
@@ -339,12 +340,12 @@ def byte_bpe(docs: DataFrame, ranks_path: str, text: str = "text", key: str = "d
 
     with open(ranks_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    source = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    source = small_batches(docs.select(docs[key].alias("key"), docs[text].alias("text")))
     schema = f"key {source.schema['key'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * full
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
-        for batch in batches:
+        for batch in tb.gathered(batches, CORPUS_BYTES):
             for chunk, data, offsets in tb.chunks(batch, "text", CORPUS_BYTES):
                 for i, j, ids, by_text in own.parts(data, offsets):
                     rows, n = chunk.slice(i, j - i), j - i

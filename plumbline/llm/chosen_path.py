@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import textbatch as tb
 from plumbline.llm.embedding_dedup import _tree
-from plumbline.llm.shared import block_pairs, bloom, components, maybe_in, stored
+from plumbline.llm.shared import block_pairs, bloom, components, maybe_in, small_batches, stored
 
 WIDTH, SIMILARITY = 5, 0.8
 COORDINATES, RECALL, DEPTH = 128, 0.99, 3
@@ -217,7 +217,7 @@ def verified(table: pa.Table) -> pa.Table:
 
 def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str = "chosen_path") -> DataFrame:
     """Per row: ``key``, ``n_links`` (other rows linked directly), ``class_id`` (smallest id reachable by links), ``kept`` (is it that row), ``root`` (names the class, also where ids are null), ``text_hash``."""
-    source = docs.select(docs[key].alias("id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_hash"))
+    source = small_batches(docs.select(docs[key].alias("id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_hash")))
     kind = source.schema["id"].dataType.simpleString()
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

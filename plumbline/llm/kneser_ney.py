@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import textbatch as tb
-from plumbline.llm.shared import shared_folder, stored
+from plumbline.llm.shared import shared_folder, small_batches, stored
 
 END = np.uint64(0x5EED0FE27D0C0DE5)
 #: Tokens to learn from that a range of bigrams is meant to hold; text bytes a task sums before it sends.
@@ -224,7 +224,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], counted, cuts: np.ndarray) -> I
 def train(docs: DataFrame, text: str = "text", name: str = "kneser_ney") -> Model:
     """Counts the model over all rows of ``docs``."""
     spark = docs.sparkSession
-    source = docs.select(docs[text].alias("text"))
+    source = small_batches(docs.select(docs[text].alias("text")))
     model = Model(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
     model.bits = max(3, int(np.ceil(np.log2(max(1, source.rdd.getNumPartitions())))))
     uri, shards = model.uri, 1 << model.bits
@@ -397,7 +397,7 @@ def _range(model: Model, part: int, what: str, kind: type) -> np.ndarray:
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: ``key``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    source = small_batches(docs.select(docs[key].alias("key"), docs[text].alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import textbatch as tb
+from plumbline.llm.shared import small_batches
 
 SEGMENT = 8192
 SAMPLE_BYTES = 24_000
@@ -191,7 +192,7 @@ def learn(docs: DataFrame, training: Column, text: str = "text", lang: str = "la
 def language_id(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: ``key``, ``lang_pred`` and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(samples)
-    source = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    source = small_batches(docs.select(docs[key].alias("key"), docs[text].alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = parsers(shared.value)

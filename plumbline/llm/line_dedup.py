@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import textbatch as tb
-from plumbline.llm.shared import stored
+from plumbline.llm.shared import small_batches, stored
 
 MIN_WORDS = 3
 EDIT_WORDS = 8
@@ -127,7 +127,7 @@ def _bloom_bits(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
 def dropped_lines(docs: DataFrame, text: str, key: str, name: str = "line_dedup") -> DataFrame:
     """(id, text_hash, drops): the numbers, from 0, of the lines that go, for rows that have such."""
     spark = docs.sparkSession
-    source = docs.select(docs[key].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
+    source = small_batches(docs.select(docs[key].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text")))
     kind = source.schema["id"].dataType.simpleString()
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

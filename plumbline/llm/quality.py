@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import textbatch as tb
+from plumbline.llm.shared import small_batches
 
 
 @dataclass(frozen=True)
@@ -99,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", k
     count = max(1, known.count())
     part = min(1.0, s.sample_rows / count)
     known = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(s.seed)), F.lit(1 << 20)) < int(part * (1 << 20)))
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(known, "doc_id").select("doc_id", "text", "label")
+    rows = small_batches(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(known, "doc_id").select("doc_id", "text", "label"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", k
 
 def score_of(docs: DataFrame, weights: np.ndarray, text: str = "text", settings: Settings = Settings()) -> Column:
     """The score, 0 to 1, of each row of ``docs`` as a column; the text goes to Python and only the score comes back."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(weights)
     bits = settings.bits
 
     def scored(texts: pa.Array) -> pa.Array:

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from plumbline.llm import textbatch as tb
+from plumbline.llm.shared import small_batches
 
 
 @dataclass(frozen=True)
@@ -347,7 +348,7 @@ def secret_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", rules:
                 spans = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in found.get(d, ())] for d in range(rows.num_rows)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(spans, kind)], ["key", "spans"])
 
-    source = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    source = small_batches(docs.select(docs[key].alias("key"), docs[text].alias("text")))
     return source.mapInArrow(run, f"key {source.schema['key'].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int>>").withColumnRenamed("key", key)
 
 

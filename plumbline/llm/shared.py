@@ -21,6 +21,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bytes of a batch that goes to Python.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends Python batches of at most ``BATCH_BYTES`` from now on: rows are whole texts here."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = str(df.sparkSession.conf.get(name)).rstrip("bB")
+    if not given.isdigit() or int(given) > BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there, and lost executors don't cost it."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

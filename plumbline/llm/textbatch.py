@@ -26,6 +26,19 @@ _powers = np.ones(1, U64)
 _inverse = np.ones(1, U64)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they have at least so many bytes."""
+    waiting, size = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        size += batch.nbytes
+        if size >= least and batch.num_rows:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting, size = [], 0
+    if sum(b.num_rows for b in waiting):
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
 def release() -> None:
     """Gives freed memory back to the system."""
     pa.default_memory_pool().release_unused()
