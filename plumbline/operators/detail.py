@@ -305,9 +305,21 @@ class Residency:
     resident: dict[int, int] = field(default_factory=dict)  # id -> ticks since it was wanted
     held: list[int] = field(default_factory=list)  # decoded, waiting for a parent
     undrained: list[tuple[str, int]] = field(default_factory=list)
+    chunks: int = 0  # decoded so far
+    points: int = 0
 
-    def tick(self, nodes: dict[int, dict], wanted: Sequence[int], pinned: Sequence[int] = (), max_in_flight: int = 4, delay: int = 5, hierarchy: bool = True) -> tuple[list[int], list[int], bool]:
-        """(added, removed, settled) of a tick: evictions leaf first, then loads, published after their parents."""
+    def undrained_bytes(self, nodes: dict[int, dict], extra_dims: int = 0) -> int:
+        return sum(nodes[i]["points"] for action, i in self.undrained if action == "added") * (POINT_BYTES + DIMENSION_BYTES * extra_dims)
+
+    def stats(self, wanted: Sequence[int]) -> dict:
+        """Chunks still to load and waiting for a parent, and what was decoded so far."""
+        return {"pending": sum(i not in self.resident and i not in self.held for i in wanted), "in_flight": len(self.held), "chunks": self.chunks, "points": self.points}
+
+    def tick(self, nodes: dict[int, dict], wanted: Sequence[int], pinned: Sequence[int] = (), max_in_flight: int = 4, delay: int = 5, hierarchy: bool = True, backlog: int | None = None) -> tuple[list[int], list[int], bool]:
+        """(added, removed, settled) of a tick: evictions leaf first, then loads, published after their parents.
+
+        Nothing is loaded while ``backlog`` bytes or more weren't drained.
+        """
         want = set(wanted)
         for i in self.resident:
             self.resident[i] = 0 if i in want or i in pinned else self.resident[i] + 1
@@ -322,7 +334,12 @@ class Residency:
         self.held = [i for i in self.held if i in want]
         loads = [i for i in wanted if i not in self.resident and i not in self.held]
         free = [i for i in loads if node_slots(nodes[i]["points"]) == 0]
-        self.held += free + [i for i in loads if i not in free][:max_in_flight]
+        if backlog is not None and self.undrained_bytes(nodes) >= backlog:
+            max_in_flight = 0
+        taken = free + [i for i in loads if i not in free][:max_in_flight]
+        self.held += taken
+        self.chunks += len(taken)
+        self.points += sum(nodes[i]["points"] for i in taken)
         added: list[int] = []
         moved = True
         while moved:

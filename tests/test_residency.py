@@ -91,6 +91,16 @@ def test_undrained_pairs_vanish():
     assert state.drain() == [("added", 2)] and state.drain() == []
 
 
+def test_backlog_and_counters():
+    state, wanted = detail.Residency(), [i for i, _, _ in TREE]
+    added, _, _ = state.tick(nodes(), wanted, max_in_flight=2)
+    state.publish(added, [])
+    assert state.stats(wanted) == {"pending": 7, "in_flight": 0, "chunks": 2, "points": 200}
+    assert state.tick(nodes(), wanted, backlog=200 * 17)[0] == []
+    state.drain()
+    assert len(state.tick(nodes(), wanted, backlog=200 * 17)[0]) > 0 and state.chunks == 6
+
+
 def test_partial_batch_is_a_slot():
     assert detail.node_slots(1) == detail.node_slots(10_240) == 1 and detail.node_slots(10_241) == 2 and detail.node_slots(0) == 0
 
