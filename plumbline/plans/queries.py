@@ -9,12 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import bits
-from plumbline.functions import expression as ex
 from plumbline.functions import geometry as geo
 from plumbline.operators import aggregates as agg
 from plumbline.operators import clusters, detail, filters, neighbours, sorting, surfaces
