@@ -39,7 +39,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from plumbline.llm import textbatch as tb
 from plumbline.llm.shared import shared_folder, small_batches, stored

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.embedding_dedup import matrix, usable
+from plumbline.llm.embedding_dedup import usable
 from plumbline.llm.shared import stored
 
 PIVOTS, PREFIX, SHARE = 512, 64, 0.1
