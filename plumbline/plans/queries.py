@@ -294,9 +294,6 @@ def center_position(spark: SparkSession, d: str) -> DataFrame:
     return tr.centred(points(spark, d)).select(PID, *[F.element_at("position", k + 1).alias(n) for k, n in enumerate(("px", "py", "pz"))])
 
 
-_RGB = 'c AS (SELECT pid, "PointSourceId" * 7 % 4000 AS r, ("X" * 100)::BIGINT AS g, ("Y" * 10)::BIGINT AS b FROM p)'
-
-
 def coloured(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).withColumns({"Red": F.col("PointSourceId") * 7 % 4000, "Green": F.rint(F.col("X") * 100).cast("long"), "Blue": F.floor(F.col("Y") * 10).cast("long")})
 
@@ -808,9 +805,6 @@ def optimal_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
 
 # --- clusters ----------------------------------------------------------------------------
 
-_REACH = """l AS (SELECT a.pid AS a, b.pid AS b FROM e a JOIN e b ON (a."X" - b."X") * (a."X" - b."X") + (a."Y" - b."Y") * (a."Y" - b."Y") + (a."Z" - b."Z") * (a."Z" - b."Z") <= {r} * {r}), w(a, b) AS (SELECT a, b FROM l WHERE a <= b UNION SELECT w.a, l.b FROM w JOIN l ON l.a = w.b WHERE w.a <= l.b)"""
-
-
 @query("pid ClusterID", "WITH RECURSIVE l AS (SELECT a.pid AS a, b.pid AS b FROM e a JOIN e b ON (a.\"X\" - b.\"X\") * (a.\"X\" - b.\"X\") + (a.\"Y\" - b.\"Y\") * (a.\"Y\" - b.\"Y\") + (a.\"Z\" - b.\"Z\") * (a.\"Z\" - b.\"Z\") <= 0.04 * 0.04), w(a, b) AS (SELECT pid, pid FROM e UNION SELECT w.a, l.b FROM w JOIN l ON l.a = w.b), c AS (SELECT a AS pid, min(b) AS root FROM w GROUP BY a), s AS (SELECT root, row_number() OVER (ORDER BY root) AS id FROM c GROUP BY root HAVING count(*) >= 2) ;; SELECT pid, coalesce(id, 0)::BIGINT AS \"ClusterID\" FROM c LEFT JOIN s USING (root) /* FROM e */")
 def cluster(spark: SparkSession, d: str) -> DataFrame:
     return clusters.euclidean(cloud(spark, d), 0.04, 2)
