@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import expression as ex
 from plumbline.functions.geometry import XYZ
-from plumbline.operators.order import PID, ordinal, quantiles, running, with_one
+from plumbline.operators.order import PID, medians, ordinal, running, with_one
 from plumbline.plans.registry import stage
 from plumbline.types import schema_summary
 
@@ -48,11 +48,9 @@ def statistics(df: DataFrame, dims: Sequence[str], advanced: bool = False, robus
     out = df.agg(*rows).select(F.explode(F.array(*[f"s{k}" for k in range(len(dims))])).alias("s")).select("s.*")
     if not robust:
         return out
-    found = []
-    for d in dims:
-        middle = quantiles(df, d, [0.5])[0]
-        mad = None if middle is None else quantiles(df.select(F.abs(F.col(d) - middle).alias("off")), "off", [0.5])[0]
-        found.append((d, middle, mad))
+    middles = medians(df, list(dims))
+    mads = medians(df.select(*[F.abs(F.col(d) - m).alias(d) for d, m in zip(dims, middles, strict=True)]), list(dims))
+    found = list(zip(dims, middles, mads, strict=True))
     robust_ = df.sparkSession.createDataFrame(found, "name string, median double, mad double")  # a row a dimension
     return out.join(F.broadcast(robust_), "name", "left")
 
