@@ -40,7 +40,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, with digests of ids and of the bytes they decode to."""
-    return byte_bpe.byte_bpe(docs, ranks_path()).drop("decoded")
+    return byte_bpe.byte_bpe(docs, ranks_path(), outputs=("ids",))
 
 
 STAGES = [

@@ -34,7 +34,7 @@ NONE = np.int32(2**31 - 1)
 #: Distinct pieces that a task remembers between batches.
 REMEMBERED = 300_000
 #: Text bytes of one replay; more share the passes over the ranks, but take more memory.
-CORPUS_BYTES = 6 << 20
+CORPUS_BYTES = 4 << 20
 #: Text bytes that are split into pieces at a time.
 PIECE_BYTES = 1 << 20
 
@@ -331,8 +331,8 @@ def encoder(lines: bytes) -> Encoder:
     return _loaded[key]
 
 
-def byte_bpe(docs: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_id", full: bool = True) -> DataFrame:
-    """Per row: ``key``, ``n_tokens``, the digests of ids and of decoded bytes; with ``full`` also ``ids`` and the decoded ``bytes``.
+def byte_bpe(docs: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_id", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """Per row: ``key``, ``n_tokens``, the digests of ids and of decoded bytes, and of ``ids`` and ``decoded`` (bytes) what ``outputs`` names.
 
     The rank file is read on the driver and broadcast; a vocabulary's size doesn't depend on the data.
     """
@@ -341,7 +341,8 @@ def byte_bpe(docs: DataFrame, ranks_path: str, text: str = "text", key: str = "d
     with open(ranks_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     source = small_batches(docs.select(docs[key].alias("key"), docs[text].alias("text")))
-    schema = f"key {source.schema['key'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * full
+    kinds = {"ids": "array<int>", "decoded": "binary"}
+    schema = f"key {source.schema['key'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + "".join(f", {c} {kinds[c]}" for c in outputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
@@ -356,8 +357,11 @@ def byte_bpe(docs: DataFrame, ranks_path: str, text: str = "text", key: str = "d
                         pa.array([hashlib.sha256(raw[4 * by_text[i] : 4 * by_text[i + 1]]).hexdigest() for i in range(n)], pa.string()),
                         pa.array([hashlib.sha256(plain[ends[i] : ends[i + 1]]).hexdigest() for i in range(n)], pa.string()),
                     ]
-                    if full:
-                        out += [pa.ListArray.from_arrays(pa.array(by_text, pa.int32()), pa.array(ids, pa.int32())), pa.array([plain[ends[i] : ends[i + 1]] for i in range(n)], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(out, ["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(out)])
+                    made = {
+                        "ids": lambda: pa.ListArray.from_arrays(pa.array(by_text, pa.int32()), pa.array(ids, pa.int32())),  # noqa: B023
+                        "decoded": lambda: pa.array([plain[ends[i] : ends[i + 1]] for i in range(n)], pa.binary()),  # noqa: B023
+                    }
+                    out += [made[c]() for c in outputs]
+                    yield pa.RecordBatch.from_arrays(out, ["key", "n_tokens", "ids_sha256", "decoded_sha256", *outputs])
 
     return source.mapInArrow(run, schema).withColumnRenamed("key", key)

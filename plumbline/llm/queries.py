@@ -79,7 +79,7 @@ ORACLES["op5_line_dedup"] = line_dedup.ORACLE
 
 @query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.byte_bpe(table(spark, sf_dir, "documents"), ranks_path(), full=False)
+    return byte_bpe.byte_bpe(table(spark, sf_dir, "documents"), ranks_path(), outputs=())
 
 
 @query
