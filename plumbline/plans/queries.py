@@ -348,7 +348,7 @@ def gps_time(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "pid GpsTime*",
-    """WITH s AS (SELECT event_id AS pid, epoch(ts)::BIGINT % 604800 AS w FROM events), l AS (SELECT *, lag(w) OVER (ORDER BY pid) AS before FROM s) ;;
+    """WITH s AS (SELECT event_id AS pid, floor(epoch(ts))::BIGINT % 604800 AS w FROM events), l AS (SELECT *, lag(w) OVER (ORDER BY pid) AS before FROM s) ;;
 SELECT pid, w + 604800.0 * sum(CASE WHEN before - w > 1 THEN 1 ELSE 0 END) OVER (ORDER BY pid) AS "GpsTime" FROM l""",
 )
 def gps_unwrap(spark: SparkSession, d: str) -> DataFrame:
