@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join.
 
 A line is its words (lower case in A-Z, runs without white space).  Lines with
-fewer than ``MIN_WORDS`` words always stay.  Two lines are equal if their words
+fewer than ``min_words`` words always stay: ``MIN_WORDS`` unless told, none but
+white lines with 1, which text without spaces needs.  Two lines are equal if their words
 are; lines of at least ``EDIT_WORDS`` words are also near if one word
 substituted, inserted or deleted makes them equal.  A line goes if an equal or
 near line stands earlier, in the order of (id, hash of the text, line number).
@@ -48,7 +49,7 @@ _R = pow(0x9E3779B97F4A7C15 | 1, 3, 1 << 64)
 class Lines:
     """The comparable lines of a chunk: text, number within it, word hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_words: int = 1) -> None:
         low = tb.lower_ascii(data)
         starts, ends = tb.runs(~tb.is_space(data), offsets)
         cut = np.zeros(len(data) + 1, bool)
@@ -60,7 +61,7 @@ class Lines:
         sizes = np.diff(bounds)
         doc = np.searchsorted(offsets, edges[:-1], "right") - 1
         first = np.searchsorted(edges, offsets[:-1])[doc]
-        keep = np.flatnonzero(sizes >= MIN_WORDS)
+        keep = np.flatnonzero(sizes >= max(min_words, 1))
         self.doc, self.number, self.size = doc[keep], (np.arange(len(sizes)) - first)[keep], sizes[keep]
         self.begin, self.end = edges[:-1][keep], edges[1:][keep]
         self.at = bounds[:-1][keep]
@@ -124,7 +125,7 @@ def _bloom_bits(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     return (keys % np.uint64(words * 64)).astype(np.int64), ((keys >> np.uint64(32)) % np.uint64(words * 64)).astype(np.int64)
 
 
-def dropped_lines(docs: DataFrame, text: str, key: str, name: str = "line_dedup") -> DataFrame:
+def dropped_lines(docs: DataFrame, text: str, key: str, name: str = "line_dedup", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, text_hash, drops): the numbers, from 0, of the lines that go, for rows that have such."""
     spark = docs.sparkSession
     source = small_batches(docs.select(docs[key].alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text")))
@@ -133,7 +134,7 @@ def dropped_lines(docs: DataFrame, text: str, key: str, name: str = "line_dedup"
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in tb.chunks(batch, "text"):
-                own = Lines(data, offsets)
+                own = Lines(data, offsets, min_words)
                 keys, of = own.halves()
                 order = np.argsort(of, kind="stable")
                 bounds = np.searchsorted(of[order], np.arange(len(own.size) + 1))
@@ -159,7 +160,7 @@ def dropped_lines(docs: DataFrame, text: str, key: str, name: str = "line_dedup"
         bits = shared.value
         for batch in batches:
             for rows, data, offsets in tb.chunks(batch, "text"):
-                own = Lines(data, offsets)
+                own = Lines(data, offsets, min_words)
                 keys, of = own.halves()
                 hit = np.ones(len(keys), bool)
                 for spot in _bloom_bits(keys, len(bits)):
@@ -249,9 +250,9 @@ def one_edit(a: list[str], b: list[str]) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str = "line_dedup") -> DataFrame:
+def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str = "line_dedup", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the lines that go left out of ``text``, and ``n_lines``, ``n_dropped`` (such columns of the input are replaced)."""
-    drops = dropped_lines(docs, text, key, name)
+    drops = dropped_lines(docs, text, key, name, min_words)
     mine = {"n_lines", "n_dropped"}
     row = docs.select(F.struct(*[docs[c] for c in docs.columns if c.lower() not in mine]).alias("row"), docs[key].alias("own"), F.xxhash64(docs[text]).alias("own_hash"))
     joined = row.join(drops, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")), "left")
@@ -280,3 +281,6 @@ t AS (SELECT l.doc_id, count(*) AS n_lines, count(z.num) AS n_dropped, string_ag
       FROM l LEFT JOIN z ON z.doc_id = l.doc_id AND z.num = l.num GROUP BY l.doc_id)
 SELECT doc_id, coalesce(text, '') AS text, n_lines::INTEGER AS n_lines, n_dropped::INTEGER AS n_dropped FROM t
 """
+
+#: The same for ``min_words`` = 1.
+ORACLE_ALL = ORACLE.replace("WHERE len(ws) >= 3", "WHERE len(ws) >= 1")

@@ -322,6 +322,12 @@ def test_lines_with_a_full_filter(spark, monkeypatch):
     assert got == surviving(rows)
 
 
+def test_short_lines_go_with_min_words_1(spark):
+    rows = [(1, "Sports\n\n\u65e5\u672c\u8a9e\u306e\u6bb5\u843d\u3067\u3059\u3002\nread more"), (2, "sports\n \n\u65e5\u672c\u8a9e\u306e\u6bb5\u843d\u3067\u3059\u3002\nother\nRead  more"), (3, "read more\nread")]
+    got = [x.text for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=1).orderBy("doc_id").collect()]
+    assert got == [rows[0][1], " \nother", "read"]
+
+
 # --- 6 byte-level BPE --------------------------------------------------------------------------------
 
 
