@@ -266,20 +266,97 @@ def triangles(points: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+#: Points of unsettled stars that one task triangulates; more go to larger tiles.
+REST_POINTS = 5000
+
+
 @stage("filters.delaunay")
 def delaunay(df: DataFrame, tile: float | None = None) -> DataFrame:
-    """Faces (a, b, c) of pids, counterclockwise; with ``tile`` each square by itself, in its own task."""
+    """Faces (a, b, c) of pids, counterclockwise from the smallest; of equal points the one of the smallest pid takes part.
+
+    With ``tile`` each square is triangulated with a tile's width around it.  A
+    face is certain if no other point is in or on its circle and the circle is
+    in view.  Points whose faces aren't all certain (at the hull, in gaps, on
+    circles of four) are triangulated together; of these faces, those stay
+    whose circles are empty of all points.
+    """
+    flat = df.select(PID, *[F.col(d).cast("double").alias(d) for d in XYZ[:2]])
+    if tile is None:
+        return _meshed(flat)
+    return _tiled_mesh(stored(flat.groupBy("X", "Y").agg(F.min(PID).alias(PID)), "delaunay_points"), tile)
+
+
+def _meshed(flat: DataFrame) -> DataFrame:
+    """Faces of all points, in one task."""
 
     def run(table: pa.Table) -> pa.Table:
-        pid = table[PID].to_numpy()
-        order = np.argsort(pid)
-        pid = pid[order]
-        faces = np.array(triangles(np.column_stack([table["X"].to_numpy(), table["Y"].to_numpy()])[order]), np.int64).reshape(-1, 3)
+        pid, _, faces = _faces(table)
         return pa.table({n: pid[faces[:, k]] for k, n in enumerate("abc")})
 
-    keys = [F.floor(F.col(d) / tile) if tile else F.lit(0) for d in XYZ[:2]]
-    flat = df.select(PID, *[F.col(d).cast("double").alias(d) for d in XYZ[:2]], *[k.alias(f"__{d}") for k, d in zip(keys, "ij", strict=True)])
-    return flat.groupBy("__i", "__j").applyInArrow(run, "a long, b long, c long")
+    return flat.withColumn("__i", F.lit(0)).groupBy("__i").applyInArrow(run, "a long, b long, c long")
+
+
+def _faces(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pids in ascending order, their rows in the table, and faces as places in that order."""
+    pid = table[PID].to_numpy()
+    order = np.argsort(pid)
+    p = np.column_stack([table["X"].to_numpy(), table["Y"].to_numpy()])[order]
+    return pid[order], order, np.array(triangles(p), np.int64).reshape(-1, 3)
+
+
+def _tiled_mesh(flat: DataFrame, tile: float) -> DataFrame:
+    """The same in tiles; ``flat`` is stored and has no equal points."""
+    from plumbline.operators.clusters import tiled
+
+    box = flat.agg(*[f(d).alias(n + d) for d in XYZ[:2] for n, f in (("low", F.min), ("high", F.max))]).first()
+    if box.lowX is None or max(box.highX - box.lowX, box.highY - box.lowY) <= tile:
+        return _meshed(flat)
+    bounds = np.array([[box.lowX, box.lowY], [box.highX, box.highY]])
+
+    def run(table: pa.Table) -> pa.Table:
+        pid, order, faces = _faces(table)
+        inner = table["inner"].to_numpy(zero_copy_only=False).astype(bool)[order]
+        corner = np.array([table["__tx"][0].as_py(), table["__ty"][0].as_py()]) * tile
+        p = np.column_stack([table["X"].to_numpy(), table["Y"].to_numpy()])[order] - corner
+        low, high = np.full(2, -tile * (1 - 1e-9)), np.full(2, 2 * tile * (1 - 1e-9))
+        low[bounds[0] - corner >= low], high[bounds[1] - corner <= high] = -np.inf, np.inf
+        u, v = p[faces[:, 1]] - p[faces[:, 0]], p[faces[:, 2]] - p[faces[:, 0]]
+        det = 2 * (u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0])
+        uu, vv = (u * u).sum(1), (v * v).sum(1)
+        centre = p[faces[:, 0]] + np.column_stack([v[:, 1] * uu - u[:, 1] * vv, u[:, 0] * vv - v[:, 0] * uu]) / det[:, None]
+        r2 = ((centre - p[faces[:, 0]]) ** 2).sum(1)
+        r = np.sqrt(r2)[:, None] * (1 + 1e-9)
+        sure = ((centre - r >= low) & (centre + r <= high)).all(1)
+        for k in np.flatnonzero(sure):
+            sure[k] = (((p - centre[k]) ** 2).sum(1) <= r2[k] * (1 + 1e-9)).sum() == 3
+        # a star is closed if it has as many faces as neighbours
+        spokes = np.concatenate([faces[:, [i, j]] for i in range(3) for j in range(3) if i != j])
+        around = np.bincount(np.unique(spokes, axis=0)[:, 0], minlength=len(pid)) if len(faces) else np.zeros(len(pid), int)
+        settled = (np.bincount(faces[sure].ravel(), minlength=len(pid)) == around) & (around > 0)
+        mine = faces[sure & inner[faces].any(1)]
+        rest = pid[inner & ~settled]
+        none = lambda n: pa.nulls(n, pa.int64())
+        return pa.table({n: pa.chunked_array([pa.array(pid[mine[:, k]], pa.int64()), pa.array(rest, pa.int64()) if k == 0 else none(len(rest))]) for k, n in enumerate("abc")})
+
+    found = stored(tiled(flat, tile, tile, run, "a long, b long, c long"), "delaunay_tiles")
+    known = found.where("b IS NOT NULL").distinct()
+    rest = stored(flat.join(found.where("b IS NULL").select(F.col("a").alias(PID)), PID), "delaunay_rest")
+    n = rest.count()
+    if not n:
+        return known
+    more = (_meshed(rest) if n <= REST_POINTS else _tiled_mesh(rest, 4 * tile)).join(known, ["a", "b", "c"], "left_anti")
+    for k in "abc":
+        more = more.join(rest.select(F.col(PID).alias(k), F.col("X").alias(f"{k}X"), F.col("Y").alias(f"{k}Y")), k)
+    more = stored(more, "delaunay_more")
+    # inside a circle: the sign of the determinant of the corners as seen from the point (Guibas and Stolfi 1985)
+    at = {(k, d): F.col(f"{k}{d}") - F.col(d) for k in "abc" for d in XYZ[:2]}
+    terms = []
+    for k, m, o in ("abc", "bca", "cab"):
+        square = at[k, "X"] * at[k, "X"] + at[k, "Y"] * at[k, "Y"]
+        terms += [square * at[m, "X"] * at[o, "Y"], -square * at[o, "X"] * at[m, "Y"]]
+    within = reduce(lambda x, y: x + y, terms) > 1e-12 * reduce(lambda x, y: x + y, map(F.abs, terms))
+    empty = F.broadcast(more).join(flat, (F.col(PID) != F.col("a")) & (F.col(PID) != F.col("b")) & (F.col(PID) != F.col("c")) & within, "left_anti")
+    return known.unionByName(empty.select("a", "b", "c"))
 
 
 @stage("filters.faceraster")

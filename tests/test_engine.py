@@ -311,6 +311,29 @@ def test_delaunay_circles_are_empty():
         assert (((p - p[a] - centre) ** 2).sum(1) >= r * (1 - 1e-9)).all()
 
 
+def mesh(faces):
+    return sorted((r.a, r.b, r.c) for r in faces.collect())
+
+
+@pytest.mark.parametrize("kind", ["random", "gap", "grid"])
+def test_delaunay_in_tiles_is_the_whole_mesh(spark, kind):
+    p = np.random.default_rng(4).random((300, 2)) * 4
+    if kind == "gap":
+        p = p[np.abs(p[:, 0] - 2) > 1.2]
+    if kind == "grid":
+        p = np.argwhere(np.ones((9, 9))) / 2.0
+    df = spark.createDataFrame([(k, *map(float, v), 0.0) for k, v in enumerate(p)], "pid long, X double, Y double, Z double")
+    got = mesh(surfaces.delaunay(df, 0.5))
+    assert got == mesh(surfaces.delaunay(df)) and len(got) == len(set(got)) > len(p)
+
+
+def test_delaunay_rest_in_larger_tiles(spark, monkeypatch):
+    monkeypatch.setattr(surfaces, "REST_POINTS", 10)
+    p = np.random.default_rng(5).random((200, 2)) * 4
+    df = spark.createDataFrame([(k, *map(float, v), 0.0) for k, v in enumerate(p)], "pid long, X double, Y double, Z double")
+    assert mesh(surfaces.delaunay(df, 0.5)) == mesh(surfaces.delaunay(df))
+
+
 def test_ground_filters(spark):
     rows = []
     for x in range(30):
