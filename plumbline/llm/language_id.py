@@ -12,7 +12,8 @@ part of a letter as one space.  A text longer than ``SEGMENT`` bytes is parsed
 in segments of that size (all of them); a phrase never crosses a border.
 
 Learning: per language the training rows with the smallest hashes of their id,
-``sample_bytes`` of text at most.
+``sample_bytes`` of text at most, shared out over their distinct texts: each
+gives its head up to one bound for all.
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0,
 as do all texts where nothing could be learned; rows without a language are
@@ -183,12 +184,26 @@ def learn(docs: DataFrame, training: Column, text: str = "text", lang: str = "la
         samples.setdefault(r.lang, []).append(r.text)
     out = []
     for k, texts in sorted(samples.items()):
-        data, _ = normal(pa.array(texts))
-        if len(data):
-            out.append((k, data[:sample_bytes].tobytes()))
+        data, offsets = normal(pa.array(texts))
+        whole = data.tobytes()
+        distinct = list(dict.fromkeys(t for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) if (t := whole[a:b].rstrip(b" "))))
+        most = share([len(t) + 1 for t in distinct], sample_bytes)
+        sample = b" ".join(t[: max(most - 1, 0)] for t in distinct)[:sample_bytes]
+        if sample.strip():
+            out.append((k, sample))
     return tuple(out)
 
 
+def share(sizes: list[int], total: int) -> int:
+    """The largest bound under which the sizes, each cut at it, sum up to ``total`` at most."""
+    left = total
+    for k, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - k) > left:
+            return left // (len(sizes) - k)
+        left -= size
+    return max(sizes, default=0)
+
+
 def language_id(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: ``key``, ``lang_pred`` and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(samples)

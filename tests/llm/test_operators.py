@@ -559,6 +559,14 @@ def test_languages_on_held_out_rows(spark):
     assert got.where("lang = lang_pred").count() / got.count() > 0.97
 
 
+def test_language_sample_is_of_all_documents(spark):
+    word = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3))
+    rows = [(k, f"{word(k)} " * (20_000 if k == 7 else 30), "x") for k in range(60)] + [(k, "copied text " * 9, "x") for k in range(60, 90)]
+    ((_, sample),) = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(sample) <= language_id.SAMPLE_BYTES and sample.count(b"copied text") <= 9
+    assert all(word(k).encode() in sample.split() for k in range(60))
+
+
 # --- odd inputs ----------------------------------------------------------------------------------------------------
 
 
