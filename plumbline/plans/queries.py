@@ -17,6 +17,7 @@ from plumbline.functions import geometry as geo
 from plumbline.operators import aggregates as agg
 from plumbline.operators import clusters, detail, filters, neighbours, sorting, surfaces
 from plumbline.operators import transforms as tr
+from plumbline.operators.materialise import stored
 from plumbline.operators.order import PID, with_pid
 from plumbline.plans import kernels
 from plumbline.plans.pipeline import Pipeline
@@ -530,6 +531,16 @@ def sort_multi(spark: SparkSession, d: str) -> DataFrame:
     return sorting.sort(points(spark, d), "Z DESC, Y").limit(500)
 
 
+@query("pid ordinal", 'SELECT pid, row_number() OVER (ORDER BY "Z" DESC, "Y", pid) - 1 AS ordinal FROM p')
+def sort_all(spark: SparkSession, d: str) -> DataFrame:
+    """The place of each row in the whole sorted frame: rows of the partitions before its own, and those before it there."""
+    placed = stored(sorting.sort(points(spark, d), "Z DESC, Y").select(PID, F.monotonically_increasing_id().alias("at")), "sort_all")
+    part = F.shiftright("at", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row a partition
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(before), part == F.col("part")).select(PID, (F.col("at") - F.shiftleft("part", 33) + F.col("before")).alias("ordinal"))
+
+
 @query("n pids", 'SELECT count(*) AS n, count(DISTINCT pid) AS pids FROM (SELECT pid FROM p WHERE "X" > 20 UNION ALL SELECT pid FROM p WHERE "Y" > 50)')
 def merge_bag(spark: SparkSession, d: str) -> DataFrame:
     df = points(spark, d)
