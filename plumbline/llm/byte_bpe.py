@@ -12,7 +12,8 @@ own merges.
 
 Defined cases: a null or empty text has no tokens and decodes to nothing;
 repeated rows give repeated results; long texts are encoded whole, in memory
-proportional to their length.
+proportional to their length; an empty table gives an empty one; other columns
+of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ CORPUS_BYTES = 4 << 20
 #: Text bytes that are split into pieces at a time.
 PIECE_BYTES = 1 << 20
 
+#: Fixed value: the pattern that ``pieces`` follows.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
 
@@ -257,8 +261,25 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return flat[np.arange(out[-1]) + np.repeat(starts - out[:-1], sizes)]
 
 
+def differ(a: np.ndarray, a_starts: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
+    """Whether each byte range of ``a`` is another text than that of ``b``."""
+    out = a_sizes != b_sizes
+    same = np.flatnonzero(~out)
+    for k in range(0, len(same), 1 << 17):
+        rows = same[k : k + (1 << 17)]
+        sizes = a_sizes[rows]
+        unlike = gather(a, a_starts[rows], sizes) != gather(b, b_starts[rows], sizes)
+        if unlike.any():
+            out[rows[np.unique(np.repeat(np.arange(len(rows)), sizes)[unlike])]] = True
+    return out
+
+
 class Encoder:
-    """Encodes batches; remembers distinct pieces by hash up to a bound."""
+    """Encodes batches; remembers distinct pieces by hash up to a bound.
+
+    A hash only finds a piece: its bytes are compared with the piece's own, and
+    where they differ the piece is encoded alone.
+    """
 
     def __init__(self, ranks: Ranks) -> None:
         self.ranks = ranks
@@ -266,6 +287,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.hashes, self.tokens, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.plain, self.plain_starts, self.plain_sizes = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def parts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, their tokens end to end, offsets into these by text) for row ranges of some MB.
@@ -279,29 +301,47 @@ class Encoder:
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE_BYTES, "right")) - 1)
             own = data[offsets[i] : offsets[j]]
             starts, ends, by_text = pieces(own, offsets[i : j + 1] - offsets[i])
+            sizes = ends - starts
             hashes, first, inverse = np.unique(tb.hash_ranges(own, starts, ends), return_index=True, return_inverse=True)
+            other = np.flatnonzero(differ(own, starts, sizes, own, starts[first][inverse], sizes[first][inverse]))
             known = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
             new = first[self.hashes[known] != hashes] if len(self.hashes) else first
-            fresh.append((tb.hash_ranges(own, starts[new], ends[new]), ends[new] - starts[new]))
-            plain.append(gather(own, starts[new], ends[new] - starts[new]))
-            waiting.append((i, j, hashes, inverse.astype(np.int32), by_text))
+            fresh.append((tb.hash_ranges(own, starts[new], ends[new]), sizes[new]))
+            plain.append(gather(own, starts[new], sizes[new]))
+            waiting.append((i, j, hashes, inverse.astype(np.int32), by_text, offsets[i] + starts[first], sizes[first], [(int(k), own[starts[k] : ends[k]].tobytes()) for k in other]))
             i = j
         if not waiting:
             return
         hashes, sizes = (np.concatenate(x) for x in zip(*fresh, strict=True))
+        flat = np.concatenate(plain)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         hashes, first = np.unique(hashes, return_index=True)
-        tokens, cuts = replay(self.ranks, np.concatenate(plain), bounds[:-1][first], bounds[1:][first])
-        del plain, fresh
+        tokens, cuts = replay(self.ranks, flat, bounds[:-1][first], bounds[1:][first])
         order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
         self.hashes = np.concatenate([self.hashes, hashes])[order]
         self.starts = np.concatenate([self.starts, cuts[:-1] + len(self.tokens)])[order]
         self.sizes = np.concatenate([self.sizes, np.diff(cuts)])[order]
         self.tokens = np.concatenate([self.tokens, tokens])
-        for i, j, hashes, inverse, by_text in waiting:
+        self.plain_starts = np.concatenate([self.plain_starts, bounds[:-1][first] + len(self.plain)])[order]
+        self.plain_sizes = np.concatenate([self.plain_sizes, sizes[first]])[order]
+        self.plain = np.concatenate([self.plain, flat])
+        del plain, fresh, flat
+        for i, j, hashes, inverse, by_text, starts, sizes, other in waiting:
             at = np.searchsorted(self.hashes, hashes)
-            sizes = self.sizes[at][inverse]
-            yield i, j, gather(self.tokens, self.starts[at][inverse], sizes), np.concatenate([[0], np.cumsum(sizes)])[by_text]
+            wrong = differ(data, starts, sizes, self.plain, self.plain_starts[at], self.plain_sizes[at])
+            if wrong.any():
+                taken = {k for k, _ in other}
+                other += [(int(k), data[starts[p] : starts[p] + sizes[p]].tobytes()) for p in np.flatnonzero(wrong) for k in np.flatnonzero(inverse == p) if k not in taken]
+            counts = self.sizes[at][inverse]
+            ids = gather(self.tokens, self.starts[at][inverse], counts)
+            if other:
+                cuts = np.cumsum(counts)[:-1]
+                every = np.split(ids, cuts)
+                for k, piece in other:
+                    every[k] = np.array(self.ranks.alone(piece), np.int32)
+                    counts[k] = len(every[k])
+                ids = np.concatenate(every)
+            yield i, j, ids, np.concatenate([[0], np.cumsum(counts)])[by_text]
         if len(self.hashes) > REMEMBERED:
             self.forget()
 
@@ -331,13 +371,15 @@ def encoder(lines: bytes) -> Encoder:
     return _loaded[key]
 
 
-def byte_bpe(docs: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_id", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+def byte_bpe(docs: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_id", outputs: tuple[str, ...] = ("ids", "decoded"), pattern: str = PATTERN) -> DataFrame:
     """Per row: ``key``, ``n_tokens``, the digests of ids and of decoded bytes, and of ``ids`` and ``decoded`` (bytes) what ``outputs`` names.
 
     The rank file is read on the driver and broadcast; a vocabulary's size doesn't depend on the data.
     """
     import hashlib
 
+    if pattern != PATTERN:
+        raise ValueError("texts are split by one pattern only: " + PATTERN)
     with open(ranks_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     source = small_batches(docs.select(docs[key].alias("key"), docs[text].alias("text")))

@@ -87,7 +87,9 @@ ORACLES["op5_line_dedup_all"] = line_dedup.ORACLE_ALL
 
 @query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.byte_bpe(table(spark, sf_dir, "documents"), ranks_path(), outputs=())
+    import public_tokenizers
+
+    return byte_bpe.byte_bpe(table(spark, sf_dir, "documents"), ranks_path(), outputs=(), pattern=public_tokenizers.PATTERN)
 
 
 @query

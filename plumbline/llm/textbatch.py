@@ -21,11 +21,6 @@ except (OSError, AttributeError):  # another C library
 U64 = np.uint64
 #: Text bytes that one numpy pass works on; bounds a worker's memory.
 CHUNK_BYTES = 1 << 20
-_MULT = 0x9E3779B97F4A7C15 | 1
-_powers = np.ones(1, U64)
-_inverse = np.ones(1, U64)
-
-
 def gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Batches joined until they have at least so many bytes."""
     waiting, size = [], 0
@@ -83,23 +78,35 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, 1 << 20)
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate([np.ones(1, U64), np.full(size, _MULT, U64)]))
-            _inverse = np.cumprod(np.concatenate([np.ones(1, U64), np.full(size, pow(_MULT, -1, 1 << 64), U64)]))
-    return _powers, _inverse
+#: Masks of the first 0 to 8 bytes of a block.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def _salts(nth: np.ndarray, seed: int) -> np.ndarray:
+    return mix(nth.astype(U64) * U64(0x9E3779B97F4A7C15) + U64((seed * 0xD6E8FEB86659FD93 + 0x632BE59BD9B4E019) % 2**64))
+
 
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each byte range, equal for equal bytes wherever they stand.
 
-def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range, equal for equal bytes wherever they stand."""
-    powers, inverse = _tables(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * powers[: len(data)], out=prefix[1:])
-    value = (prefix[ends] - prefix[starts]) * inverse[starts]
-    return mix(value ^ ((ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
+    A range is cut into blocks of eight bytes; every block is mixed with its
+    place before the blocks are summed, so no relation between the bytes of two
+    ranges that is linear modulo 2**64 makes their hashes equal.  Different
+    seeds give independent hashes.
+    """
+    starts, sizes = np.asarray(starts, np.int64), np.asarray(ends, np.int64) - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    block = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    total = mix((block[starts] & _MASKS[np.minimum(sizes, 8)]) ^ _salts(np.zeros(1, np.int64), seed))
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        more = (sizes[long] - 1) >> 3
+        first = np.cumsum(more) - more
+        of = np.repeat(np.arange(len(long)), more)
+        nth = np.arange(len(of)) - first[of] + 1
+        own = block[starts[long][of] + 8 * nth] & _MASKS[np.minimum(sizes[long][of] - 8 * nth, 8)]
+        total[long] += np.add.reduceat(mix(own ^ _salts(np.arange(int(more.max()) + 1), seed)[nth]), first)
+    return mix(total ^ mix(sizes.astype(U64) + U64(seed)))
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

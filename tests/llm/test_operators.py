@@ -56,6 +56,22 @@ def test_words_and_shingles(texts):
         assert cuts[k + 1] - cuts[k] == len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ())
 
 
+def thue_morse(n=11):
+    """Two texts of 2**n letters that every polynomial hash modulo 2**64 with an odd base takes for one."""
+    signs = [bin(k).count("1") % 2 for k in range(2**n)]
+    return "".join("ab"[s] for s in signs), "".join("ba"[s] for s in signs)
+
+
+def test_hashes_tell_texts_apart():
+    texts = [*thue_morse(), *(f"{'x' * k}{c}{'x' * (40 - k)}" for k in range(41) for c in "yz"), *("0" * k for k in range(60))]
+    data, offsets = tb.text_bytes(pa.array(texts))
+    for seed in (0, 1):
+        assert len(set(tb.hash_ranges(data, offsets[:-1], offsets[1:], seed).tolist())) == len(texts)
+    assert not np.intersect1d(tb.hash_ranges(data, offsets[:-1], offsets[1:], 0), tb.hash_ranges(data, offsets[:-1], offsets[1:], 1)).size
+    shifted = tb.text_bytes(pa.array(["abc", *texts]))
+    assert (tb.hash_ranges(shifted[0], shifted[1][1:-1], shifted[1][2:]) == tb.hash_ranges(data, offsets[:-1], offsets[1:])).all()
+
+
 def test_chunks_cover_all(spark):
     batch = pa.RecordBatch.from_pydict({"text": ["a" * n for n in (0, 5, 100, 3, 0, 7)]})
     parts = list(tb.chunks(batch, "text", 10))
@@ -365,6 +381,21 @@ def test_any_text(encoder, library, text):
     same_tokens(encoder, library, [text.encode("utf-8", "replace").decode()])
 
 
+def test_tokens_of_texts_that_hash_alike(encoder, library, monkeypatch):
+    same_tokens(encoder, library, list(thue_morse()))
+    with monkeypatch.context() as m:
+        m.setattr(tb, "hash_ranges", lambda data, a, b, seed=0: (np.asarray(b) - a).astype(np.uint64) % np.uint64(3))
+        m.setattr(byte_bpe, "PIECE_BYTES", 60)
+        own = byte_bpe.Encoder(encoder.ranks)
+        for texts in (["some words of like sizes", "and more, of the same", *thue_morse(5)], ["other words here", "of, same 漢 é", "some"]):
+            same_tokens(own, library, texts * 3)
+
+
+def test_another_pattern_is_refused(docs):
+    with pytest.raises(ValueError):
+        byte_bpe.byte_bpe(docs, ranks_path(), pattern=r"\S+|\s+")
+
+
 def test_documents(spark, docs, rows, library):
     got = {r.doc_id: r for r in byte_bpe.byte_bpe(docs, ranks_path()).collect()}
     for i, t in rows:
