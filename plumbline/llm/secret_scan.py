@@ -15,7 +15,7 @@ patterns this gives the leftmost, longest, non-overlapping matches.
 
 Defined cases: a null text counts as empty and gives no spans; repeated rows
 give repeated results; very long texts are scanned whole; other columns of the
-input are ignored; an empty table gives an empty table.
+input, whatever their names, are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ BASE = ("assign", "access", "hex")
 RULES = (
     Rule("assign", f"({_KEYS}){_GAP}[A-Za-z0-9+/_.=-]+", 1, f"(?:{_KEYS}){_GAP}([A-Za-z0-9+/_.=-]+)", 6),
     Rule("access", "AKIA[A-Z0-9]+", 20),
-    Rule("hex", "[0-9a-f]{24,}", 24),
+    Rule("hex", "[0-9a-f]+", 24),
     Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("hosted_git", "gh[opsu]_[A-Za-z0-9]+", 40),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]+", 15),
@@ -148,6 +148,23 @@ def reverse(tree: tuple) -> tuple:
     return (kind, *map(reverse, rest if kind == "alt" else rest[::-1]))
 
 
+def longest(tree: tuple) -> float:
+    """The most bytes that a match can have."""
+    kind, *rest = tree
+    if kind == "set":
+        return 1
+    if kind == "rep":
+        return float("inf") if rest[2] is None else rest[2] * longest(rest[0])
+    return (max if kind == "alt" else sum)(map(longest, rest))
+
+
+def lead(rule: Rule) -> float:
+    """The most bytes of a match before its last repeated class; no bound where it doesn't end with one."""
+    tree = parse(rule.pattern)
+    last = tree[-1]
+    return sum(map(longest, tree[1:-1])) if tree[0] == "cat" and last[0] == "rep" and last[1][0] == "set" and last[2] <= 1 else float("inf")
+
+
 @dataclass
 class Automaton:
     """``table[state * classes + class]`` is the next state times ``classes``; ``accepts`` has a bit for each rule."""
@@ -312,7 +329,10 @@ def scan_texts(data: np.ndarray, offsets: np.ndarray, rules: tuple[Rule, ...] =
     found: dict[int, list] = {}
     for k, rule in enumerate(rules):
         at = hits[(bits >> np.uint32(k)) & np.uint32(1) == 1]
-        at = at[np.append(at[1:] != at[:-1] + 1, True)] if len(at) else at
+        last = np.append(at[1:] != at[:-1] + 1, True) if len(at) else np.zeros(0, bool)
+        first = at[np.append(True, last[:-1])] if len(at) else at
+        at = at[last]
+        at = at[at - first + 1 + lead(rule) >= rule.least]  # the others are too short
         value = re.compile(rule.value) if rule.value else None
         doc, free = -1, 0
         for end, d in zip((at + 1).tolist(), (np.searchsorted(bases, at, "right") - 1).tolist(), strict=True):
