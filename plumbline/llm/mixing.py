@@ -2,18 +2,25 @@
 
 A source with ``c`` rows and the share ``w`` of the target gets the repetition
 rate ``w * total / c``.  Each document's count is the inverse of the Poisson
-distribution with that mean at a uniform number hashed from seed and id, so
-that it doesn't depend on partitions, retries or other documents.  Rows are
-repeated by their counts and dealt out by a hash of id and copy.
+distribution with that mean at a uniform number hashed from seed, id, text and
+the row's number among equal rows, so that it doesn't depend on partitions,
+retries or other documents.  Rows are repeated by their counts and dealt out
+by a hash of row, number and copy.
+
+Equal rows are found by counts of 128-bit hashes, summed before the shuffle;
+each set of them is then held as one row with its count and unfolded again in
+steps of ``STEP`` numbers that are dealt to all tasks, so a row that is there
+a billion times takes no task of its own.
 
 A rate above ``PART`` is made up of several independent draws of smaller rates
 (sums of Poisson numbers are Poisson), so a source's table of the distribution
 function stays short at any rate.
 
 Defined cases: a null source is a source of its own; a source without a weight
-in ``weights`` gets none and its rows go; rows that share an id get the same
-count; a null id hashes as an empty text; an empty table gives an empty one; a
-column ``copy`` of the input is replaced.
+in ``weights`` gets none and its rows go; rows that share an id, or have none,
+and equal rows too, are drawn independently; a null id or text hashes as an
+empty one; an empty table gives an empty one; a column ``copy`` of the input is
+replaced, other columns keep their names and values.
 """
 
 from __future__ import annotations
@@ -21,6 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.shared import stored
+
+#: Equal rows that are drawn in one place.
+STEP = 1000
 PART = 64.0
 #: A table of so many sources at most, each of under 2 kB, is sent to all tasks; a longer one is joined by shuffle.
 BROADCAST_SOURCES = 4096
@@ -28,7 +39,7 @@ BROADCAST_SOURCES = 4096
 
 def uniform(*parts: Column) -> Column:
     """A number within (0, 1) from the first 52 bits of the parts' MD5."""
-    text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    text = F.concat_ws(":", *parts)
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
@@ -61,21 +72,37 @@ def rates(docs: DataFrame, source: str, weights: DataFrame | None, size: float)
     return F.broadcast(table) if sums[2] <= BROADCAST_SOURCES else table
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", key: str = "doc_id", size: float = 1.0, seed: int = 2024) -> DataFrame:
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``number``, from 1, among those of equal hashes h1, h2."""
+    equal = stored(rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), name + "/equal")
+    if equal.isEmpty():
+        return rows.withColumn("number", F.lit(1).cast("long"))
+    single = rows.join(equal, ["h1", "h2"], "left_anti").withColumn("number", F.lit(1).cast("long"))
+    others = [c for c in rows.columns if c not in ("h1", "h2")]
+    sets = rows.join(equal, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in others])
+    steps = sets.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("times") - 1) / STEP).cast("long")))).repartition("h1", "h2", "step")
+    number = F.explode(F.sequence(F.col("step") * STEP + 1, F.least(F.col("times"), (F.col("step") + 1) * STEP)))
+    return single.unionByName(steps.withColumn("number", number).select(*rows.columns, "number"))
+
+
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", key: str = "doc_id", size: float = 1.0, seed: int = 2024, text: str = "text", name: str = "mixing") -> DataFrame:
     """``docs`` with each row repeated, and ``copy`` (from 1), in a global random order.
 
     ``weights`` (source, weight) are targets by rows; without them all sources weigh the same.
     """
     table = rates(docs, source, weights, size)
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns if c.lower() != "copy"]).alias("row"), docs[source].alias("own"), docs[key].alias("id"))
-    joined = row.join(table, F.col("own").eqNullSafe(F.col("source")))
+    columns = [docs[c] for c in docs.columns if c.lower() != "copy"]
+    whole = F.struct(*columns)
+    id_text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(docs[key].cast("string"), F.lit("")), F.md5(F.coalesce(docs[text].cast("string"), F.lit(""))))
+    rows = docs.select(whole.alias("row"), docs[source].alias("own"), id_text.alias("id_text"), F.xxhash64(F.lit(1), whole).alias("h1"), F.xxhash64(F.lit(2), whole).alias("h2"))
+    joined = numbered(rows, name).join(table, F.col("own").eqNullSafe(F.col("source")))
     draws = F.transform(
         F.sequence(F.lit(1), F.col("parts")),
-        lambda part: F.size(F.filter("cdf", lambda p: p < uniform(F.lit(seed), F.col("id"), part))),
+        lambda part: F.size(F.filter("cdf", lambda p: p < uniform(F.col("id_text"), F.col("number"), part))),
     )
-    counted = joined.select("row", "id", F.aggregate(draws, F.lit(0), lambda a, b: a + b).alias("copies")).where("copies > 0")
-    spread = counted.select("row", "id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    order = F.xxhash64(F.lit(seed + 1), F.col("id"), F.col("copy"))
+    counted = joined.select("row", "h1", "h2", "number", F.aggregate(draws, F.lit(0), lambda a, b: a + b).alias("copies")).where("copies > 0")
+    spread = counted.select("row", "h1", "h2", "number", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    order = F.xxhash64(F.lit(seed + 1), F.col("h1"), F.col("h2"), F.col("number"), F.col("copy"))
     return spread.withColumn("order", order).repartition("order").sortWithinPartitions("order").select("row.*", "copy")
 
 
@@ -86,8 +113,9 @@ p AS (SELECT source, greatest(1, ceil(rate / 64)) AS parts, rate / greatest(1, c
 k AS (SELECT source, mean, unnest(range(0, (ceil(mean + 12 * sqrt(mean) + 30))::BIGINT + 1)) AS k FROM p),
 l AS (SELECT source, k, sum(CASE WHEN k = 0 THEN -mean ELSE ln(mean) - ln(k) END) OVER (PARTITION BY source ORDER BY k) AS lp FROM k),
 c AS (SELECT source, list(cdf ORDER BY k) AS cdf FROM (SELECT source, k, sum(exp(lp)) OVER (PARTITION BY source ORDER BY k) AS cdf FROM l) GROUP BY source),
-d AS (SELECT documents.*, unnest(range(1, parts::BIGINT + 1)) AS part, cdf FROM documents JOIN p USING (source) JOIN c USING (source)),
-u AS (SELECT doc_id, text, lang, source, n_chars, cdf, (('0x' || substr(md5('2024:' || doc_id || ':' || part), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM d),
-m AS (SELECT doc_id, text, lang, source, n_chars, sum(len(list_filter(cdf, lambda x: x < u))) AS copies FROM u GROUP BY ALL)
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, lang, source, n_chars) AS number FROM documents),
+d AS (SELECT o.*, unnest(range(1, parts::BIGINT + 1)) AS part, cdf FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source JOIN c ON o.source IS NOT DISTINCT FROM c.source),
+u AS (SELECT doc_id, text, lang, source, n_chars, number, cdf, (('0x' || substr(md5('2024:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':' || number || ':' || part), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM d),
+m AS (SELECT doc_id, text, lang, source, n_chars, number, sum(len(list_filter(cdf, lambda x: x < u))) AS copies FROM u GROUP BY ALL)
 SELECT doc_id, text, lang, source, n_chars, unnest(range(1, copies::BIGINT + 1))::INTEGER AS copy FROM m WHERE copies > 0
 """

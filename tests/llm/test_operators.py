@@ -252,22 +252,41 @@ def uniform(*parts):
     return (int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
 
 
+def draw(mean, key, text, number=1, part=1):
+    return poisson_copies(mean, uniform(2024, "" if key is None else key, hashlib.md5((text or "").encode()).hexdigest(), number, part))
+
+
 def test_mixing(spark):
     rows = [(k, f"text {k}", "big" if k % 3 else "small" if k % 2 else None) for k in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     weights = spark.createDataFrame([("big", 1.0), ("small", 2.0), (None, 1.0)], "source string, weight double")
     got = collections.Counter(r.doc_id for r in mixing.mix_sources(df, weights, size=1.5).collect())
     rate = {"big": 4500 / 4 / 2000, "small": 4500 / 2 / 500, None: 4500 / 4 / 500}
-    assert got == {k: n for k, _, s in rows if (n := poisson_copies(rate[s], uniform(2024, k, 1)))}
+    assert got == {k: n for k, t, s in rows if (n := draw(rate[s], k, t))}
     assert sum(got[k] for k, _, s in rows if s == "small") == pytest.approx(2250, rel=0.08)
 
 
+def test_mixing_draws_every_row(spark, monkeypatch):
+    """Rows without id, rows that share one, and equal rows: each has a count of its own."""
+    monkeypatch.setattr(mixing, "STEP", 7)
+    rows = [(None, f"text {k}", "a") for k in range(400)] + [(1, "the same", "a")] * 300 + [(None, None, "a")] * 200 + [(2, f"other {k}", "b") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = collections.Counter((r.doc_id, r.text, r.source) for r in mixing.mix_sources(df).collect())
+    rate = {"a": 600 / 900, "b": 600 / 300}
+    seen, want = collections.Counter(), collections.Counter()
+    for r in rows:
+        seen[r] += 1
+        want[r] += draw(rate[r[2]], r[0], r[1], seen[r])
+    assert got == +want
+    assert 150 < got[1, "the same", "a"] < 250 and 90 < got[None, None, "a"] < 180
+
+
 def test_mixing_at_high_rates(spark):
-    df = spark.createDataFrame([(1, "rare")] + [(k, "common") for k in range(2, 2002)], "doc_id long, source string")
+    df = spark.createDataFrame([(1, "t", "rare")] + [(k, "t", "common") for k in range(2, 2002)], "doc_id long, text string, source string")
     got = collections.Counter(r.source for r in mixing.mix_sources(df).select("source").collect())
     mean = 2001 / 2
     parts = math.ceil(mean / 64)
-    assert got["rare"] == sum(poisson_copies(mean / parts, uniform(2024, 1, p)) for p in range(1, parts + 1))
+    assert got["rare"] == sum(draw(mean / parts, 1, "t", 1, p) for p in range(1, parts + 1))
 
 
 def test_mixing_is_native_and_repeatable(spark, docs):
