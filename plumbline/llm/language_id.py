@@ -8,17 +8,23 @@ language with the least wins.  The automaton with its failing transitions
 turned into "new phrase" moves is a flat table, so many texts advance in step.
 
 Texts are first brought to lower case, with every run of bytes that can't be
-part of a letter as one space.  A text longer than ``SEGMENT`` bytes is parsed
-in segments of that size (all of them); a phrase never crosses a border.
+part of a letter as one space.  Segments of a text longer than ``SEGMENT`` bytes
+are parsed side by side, each as if a phrase began with it; then each is run
+again from the true state at its begin until both runs are in the same state,
+so the phrases are those of one pass over the whole text.
 
-Learning: per language the training rows with the smallest hashes of their id,
-``sample_bytes`` of text at most, shared out over their distinct texts: each
-gives its head up to one bound for all.
+Learning: per language about ``SAMPLE_ROWS`` training rows by a hash of their
+id, of those with ``ROW_CHARS`` characters at most; their distinct texts are
+taken whole, in the order of the hash, as long as they fit into
+``SAMPLE_BYTES``.  A language that has only longer texts is learned from the
+shortest of them.
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0,
 as do all texts where nothing could be learned; rows without a language are
-not learned from; repeated rows give repeated results; ties go to the language
-that sorts first.  The score is the winner's margin turned into a share.
+not learned from; repeated rows give repeated results; very long texts are
+parsed whole; ties go to the language that sorts first; an empty table gives an
+empty one; other columns of the input, whatever their names, are ignored.  The
+score is the winner's margin turned into a share.
 """
 
 from __future__ import annotations
@@ -36,9 +42,10 @@ from plumbline.llm import textbatch as tb
 from plumbline.llm.shared import small_batches
 
 SEGMENT = 8192
-SAMPLE_BYTES = 24_000
-#: Learned documents a language may have in the sample before its bytes are cut.
-SAMPLE_ROWS = 200
+#: Steps after which two runs from different states are compared.
+SYNC = 256
+#: Bounds of a language's sample: rows, characters of a row, bytes of all that are taken.
+SAMPLE_ROWS, ROW_CHARS, SAMPLE_BYTES = 200, 2000, 48_000
 
 
 def normal(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,16 +105,16 @@ class CrossParser:
         self.start = between * size
         self.cost = np.log2(max(2, len(sample)))
 
-    def phrases(self, grid: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """Phrases of each lane of ``grid`` (steps by lanes of bytes); the first ``active[k]`` lanes go on at step k."""
+    def phrases(self, grid: np.ndarray, active: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of each lane of ``grid`` (steps by lanes of bytes) from the rows ``start``, and the rows at the end; the first ``active[k]`` lanes go on at step k."""
         kinds = self.of_byte.astype(np.int32)
-        row = np.full(grid.shape[1], self.start, np.int32)
+        row = np.full(grid.shape[1], self.start, np.int32) if start is None else start.copy()
         count = np.zeros(grid.shape[1], np.int64)
         for k, m in enumerate(active.tolist()):
             move = self.table[row[:m] + kinds[grid[k, :m]]]
             count[:m] += move & 1
             row[:m] = move >> 1
-        return count
+        return count, row
 
 
 _parsers: dict[tuple, list] = {}
@@ -121,6 +128,26 @@ def parsers(samples: tuple[tuple[str, bytes], ...]) -> list[tuple[str, CrossPars
     return _parsers[key]
 
 
+def lanes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(lanes, grid, active) for groups of byte ranges of like length, the longest first."""
+    order = np.argsort(-size, kind="stable")
+    at = 0
+    while at < len(order):
+        most = int(size[order[at]])
+        own = order[at : at + max(64, (8 << 20) // max(most, 1))]
+        grid = data[np.minimum(begin[own][None, :] + np.arange(most)[:, None], len(data) - 1)]
+        yield own, grid, np.searchsorted(-size[own], -np.arange(1, most + 1), "right")
+        at += len(own)
+
+
+def parsed(parser: CrossParser, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases and last rows of byte ranges, each parsed by itself."""
+    count, row = np.zeros(len(size), np.int64), np.zeros(len(size), np.int32)
+    for own, grid, active in lanes(data, begin, size):
+        count[own], row[own] = parser.phrases(grid, active)
+    return count, row
+
+
 def entropies(column: pa.Array, models: list[tuple[str, CrossParser]]) -> np.ndarray:
     """Bits a byte by text and language; texts without anything to parse have NaN."""
     data, offsets = normal(column)
@@ -130,20 +157,23 @@ def entropies(column: pa.Array, models: list[tuple[str, CrossParser]]) -> np.nda
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
     begin = offsets[:-1][doc] + nth * SEGMENT
     size = np.minimum(SEGMENT, offsets[1:][doc] - begin)
-    order = np.argsort(-size, kind="stable")
-    doc, begin, size = doc[order], begin[order], size[order]
+    later = np.flatnonzero(nth > 0)  # segments that a phrase may run into
+    head = np.minimum(size[later], SYNC)
     total = np.zeros((len(sizes), len(models)))
-    at = 0
-    while at < len(doc):  # lanes of like length
-        most = int(size[at])
-        upto = min(len(doc), at + max(64, (8 << 20) // most))
-        own, first = size[at:upto], begin[at:upto]
-        steps = np.arange(most)[:, None]
-        grid = data[np.minimum(first[None, :] + steps, len(data) - 1)]
-        active = np.searchsorted(-own, -np.arange(1, most + 1), "right")
-        for j, (_, parser) in enumerate(models):
-            np.add.at(total[:, j], doc[at:upto], parser.phrases(grid, active) * parser.cost)
-        at = upto
+    for j, (_, parser) in enumerate(models):
+        count, row = parsed(parser, data, begin, size)
+        again = np.zeros(0, np.int64)
+        for own, grid, active in lanes(data, begin[later], head):
+            at = later[own]
+            true, true_row = parser.phrases(grid, active, row[at - 1])
+            assumed, assumed_row = parser.phrases(grid, active)
+            count[at] += true - assumed
+            apart = (true_row != assumed_row) & ((head[own] < size[at]) | (nth[at] < parts[doc[at]] - 1))
+            again = np.append(again, doc[at[apart]])
+        np.add.at(total[:, j], doc, count * parser.cost)
+        again = np.unique(again)  # runs that stay apart for long, as in copies of the sample: in one pass
+        if len(again):
+            total[again, j] = parsed(parser, data, offsets[:-1][again], sizes[again])[0] * parser.cost
     with np.errstate(invalid="ignore", divide="ignore"):
         return total / np.where(sizes > 0, sizes, np.nan)[:, None]
 
@@ -172,36 +202,42 @@ def learn(docs: DataFrame, training: Column, text: str = "text", lang: str = "la
     Rows are counted by language first; a hash bound by language then leaves
     about ``SAMPLE_ROWS`` of each, whatever the table's size.
     """
-    rows = docs.where(training & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    mark = F.pmod(F.xxhash64(F.col(key), F.xxhash64(F.col(text)), F.lit(41)), F.lit(1 << 40))
+    size = F.length(F.col(text))
+    rows = docs.where(training & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), mark.alias("mark"), size.alias("size"), F.col(text).alias("text"))
+    short = F.col("size") <= ROW_CHARS
+    counts = rows.groupBy("lang").agg(F.count(F.when(short, 1)).alias("n"), F.min(F.when(~short, F.struct("size", "mark"))).alias("least")).collect()
     if not counts:
         return ()
-    mark = F.pmod(F.xxhash64(F.col(key), F.lit(41)), F.lit(1 << 40))
-    bound = F.coalesce(*[F.when(F.col(lang) == k, F.lit(int(min(1.0, SAMPLE_ROWS / n) * (1 << 40)))) for k, n in sorted(counts.items())])
-    picked = rows.select(F.col(lang).alias("lang"), mark.alias("mark"), F.substring(F.col(text), 1, sample_bytes).alias("text")).where(mark < bound)
+    picked = []
+    many = {r.lang: r.n for r in counts if r.n}
+    if many:
+        bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(min(1.0, SAMPLE_ROWS / n) * (1 << 40)))) for k, n in sorted(many.items())])
+        picked += rows.where(short & (F.col("mark") < bound)).collect()
+    for r in counts:
+        if not r.n:
+            picked += rows.where((F.col("lang") == r.lang) & (F.col("size") == r.least.size) & (F.col("mark") == r.least.mark)).limit(1).collect()
     samples: dict[str, list[str]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r.lang, r.mark, r.text)):
+    for r in sorted(picked, key=lambda r: (r.lang, r.mark, r.text)):
         samples.setdefault(r.lang, []).append(r.text)
     out = []
     for k, texts in sorted(samples.items()):
         data, offsets = normal(pa.array(texts))
         whole = data.tobytes()
-        distinct = list(dict.fromkeys(t for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) if (t := whole[a:b].rstrip(b" "))))
-        most = share([len(t) + 1 for t in distinct], sample_bytes)
-        sample = b" ".join(t[: max(most - 1, 0)] for t in distinct)[:sample_bytes]
-        if sample.strip():
+        distinct = list(dict.fromkeys(t for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) if (t := whole[a:b].strip(b" "))))
+        if sample := b" ".join(fitting(distinct, sample_bytes)):
             out.append((k, sample))
     return tuple(out)
 
 
-def share(sizes: list[int], total: int) -> int:
-    """The largest bound under which the sizes, each cut at it, sum up to ``total`` at most."""
-    left = total
-    for k, size in enumerate(sorted(sizes)):
-        if size * (len(sizes) - k) > left:
-            return left // (len(sizes) - k)
-        left -= size
-    return max(sizes, default=0)
+def fitting(texts: list[bytes], total: int) -> list[bytes]:
+    """Of the texts, in order, those that fit whole into ``total`` bytes; the first in any case."""
+    taken, size = texts[:1], len(texts[0]) if texts else 0
+    for t in texts[1:]:
+        if size + 1 + len(t) <= total:
+            taken.append(t)
+            size += 1 + len(t)
+    return taken
 
 
 def language_id(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -587,18 +587,42 @@ def phrases(sample, text):
 def test_cross_parsing(sample, text):
     parser = language_id.CrossParser(sample.encode())
     grid = np.frombuffer(text.encode(), np.uint8)[:, None]
-    assert parser.phrases(grid, np.ones(len(text), np.int64))[0] == phrases(sample, text)
-
-
-def test_segments_are_all_parsed(monkeypatch):
-    monkeypatch.setattr(language_id, "SEGMENT", 50)
-    models = language_id.parsers((("x", b"the quick brown fox jumps over"), ("y", b"lorem ipsum dolor sit amet")))
-    text = "the fox jumps and lorem ipsum " * 9
-    data = language_id.normal(pa.array([text]))[0].tobytes().decode()
-    got = language_id.entropies(pa.array([text, "", "ab"]), models)
-    cost = np.log2(30)
-    assert got[0, 0] == pytest.approx(sum(phrases("the quick brown fox jumps over", data[a : a + 50]) for a in range(0, len(data), 50)) * cost / len(data))
-    assert np.isnan(got[1]).all()
+    assert parser.phrases(grid, np.ones(len(text), np.int64))[0][0] == phrases(sample, text)
+
+
+@pytest.mark.parametrize(("segment", "sync"), [(50, 8), (7, 3), (1, 1), (8192, 256)])
+def test_segments_are_one_pass(segment, sync, monkeypatch):
+    """Phrases cross the borders of segments, also where text and sample are the same for long."""
+    monkeypatch.setattr(language_id, "SEGMENT", segment)
+    monkeypatch.setattr(language_id, "SYNC", sync)
+    samples = (("x", b"the quick brown fox jumps over the lazy dog and runs"), ("y", b"lorem ipsum dolor sit amet"), ("z", b"a" * 40))
+    models = language_id.parsers(samples)
+    r = random.Random(segment)
+    texts = ["the fox jumps and lorem ipsum " * 9, "", "ab", "a" * 300, samples[0][1].decode() * 4, *("".join(r.choice("the quickbrown lorem") for _ in range(r.randint(1, 400))) for _ in range(20))]
+    got = language_id.entropies(pa.array(texts), models)
+    data, offsets = language_id.normal(pa.array(texts))
+    for k in range(len(texts)):
+        own = data[offsets[k] : offsets[k + 1]].tobytes().decode()
+        for j, (_, sample) in enumerate(samples):
+            if own:
+                assert got[k, j] == pytest.approx(phrases(sample.decode(), own) * np.log2(len(sample)) / len(own)), (k, j)
+            else:
+                assert np.isnan(got[k, j])
+
+
+def test_prediction_is_the_least_entropy():
+    samples = (("de", "der hund läuft über die straße und bellt".encode()), ("en", b"the dog runs over the street and barks"))
+    texts = ["The dog barks, over and over!", "Der Hund bellt.", None, "", "12 !", "é", "the dog " * 40]
+    langs, score = language_id.predict(pa.array(texts), language_id.parsers(samples))
+    for t, lang, value in zip(texts, langs, score.tolist(), strict=True):
+        own = re.sub("[\\x00-`{-\\x7f]+", " ", (t or "").lower())
+        own = own[own.startswith(" ") :]
+        if not re.search("[a-zé]", own):
+            assert (lang, value) == ("und", 0)
+            continue
+        own = own.encode()
+        h = [phrases(s, own) * math.log2(len(s)) / len(own) for _, s in samples]
+        assert lang == samples[int(np.argmin(h))][0] and value == pytest.approx(1 / sum(2 ** (-8 * (x - min(h))) for x in h))
 
 
 def test_languages_on_held_out_rows(spark):
@@ -609,12 +633,17 @@ def test_languages_on_held_out_rows(spark):
     assert got.where("lang = lang_pred").count() / got.count() > 0.97
 
 
-def test_language_sample_is_of_all_documents(spark):
+def test_language_sample_is_of_whole_rows(spark):
     word = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3))
-    rows = [(k, f"{word(k)} " * (20_000 if k == 7 else 30), "x") for k in range(60)] + [(k, "copied text " * 9, "x") for k in range(60, 90)]
-    ((_, sample),) = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
-    assert len(sample) <= language_id.SAMPLE_BYTES and sample.count(b"copied text") <= 9
-    assert all(word(k).encode() in sample.split() for k in range(60))
+    rows = [(k, f"{word(k)} " * (20_000 if k == 7 else 30) + "end", "x") for k in range(60)] + [(k, "copied text " * 9, "x") for k in range(60, 90)]
+    rows += [(100, "long " * 900, "only long"), (101, "longer " * 900, "only long"), (102, None, "nothing"), (103, "12", "nothing")]
+    got = dict(language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)))
+    assert sorted(got) == ["only long", "x"] and got["only long"].count(b"long") == 900
+    sample = got["x"]
+    assert len(sample) <= language_id.SAMPLE_BYTES and sample.count(b"copied text") == 9
+    assert all((sample.count(word(k).encode()) >= 30) == (k != 7) for k in range(60))
+    (_, small), *_ = language_id.learn(spark.createDataFrame(rows[:60], "doc_id long, text string, lang string"), F.lit(True), sample_bytes=500)
+    assert len(small) <= 500 and small.count(b"end") == 4
 
 
 # --- odd inputs ----------------------------------------------------------------------------------------------------
