@@ -77,14 +77,6 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op5_line_dedup"] = line_dedup.ORACLE
 
 
-@query
-def op5_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), name="line_dedup_all", min_words=1)
-
-
-ORACLES["op5_line_dedup_all"] = line_dedup.ORACLE_ALL
-
-
 @query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

@@ -303,13 +303,13 @@ def test_mixing_is_native_and_repeatable(spark, docs):
 
 def surviving(rows):
     """By brute force: the text of each row without lines that stand earlier."""
-    lines = [(k, n, tuple(w)) for k, (_, t) in enumerate(rows) for n, ln in enumerate((t or "").split("\n")) if len(w := words(ln)) >= 3]
+    lines = [(k, n, " ".join(w)) for k, (_, t) in enumerate(rows) for n, ln in enumerate((t or "").split("\n")) if (w := words(ln))]
     lines.sort()
     gone = set()
     for a in range(len(lines)):
         for b in range(a):
             x, y = lines[a][2], lines[b][2]
-            if x == y or min(len(x), len(y)) >= 8 and line_dedup.one_edit(list(x), list(y)):
+            if x == y or max(len(x), len(y)) >= 10 and line_dedup.one_edit(x, y):
                 gone.add(lines[a][:2])
                 break
     return [None if t is None else "\n".join(ln for n, ln in enumerate(t.split("\n")) if (k, n) not in gone) for k, (_, t) in enumerate(rows)]
@@ -324,43 +324,59 @@ def distance(a, b):
     return d[-1]
 
 
-@given(st.lists(st.sampled_from("abc"), max_size=7), st.lists(st.sampled_from("abc"), max_size=7))
+@given(st.text("abc", max_size=7), st.text("abc", max_size=7))
 @settings(max_examples=300, deadline=None)
 def test_one_edit(a, b):
     assert line_dedup.one_edit(a, b) == (distance(a, b) <= 1)
 
 
-def test_lines_equal_brute_force(spark):
+@given(st.lists(st.text("aé漢", min_size=9, max_size=12), min_size=2, max_size=12, unique=True))
+@settings(max_examples=200, deadline=None)
+def test_near_lines_meet(lines):
+    """Every pair of near lines shares a half key and meets in a role; no other pair meets."""
+    data, offsets = tb.text_bytes(pa.array(lines))
+    own = line_dedup.Lines(data, offsets)
+    assert [own.text(k) for k in range(len(lines))] == lines
+    keys, of = own.halves()
+    halves = [set(keys[of == k].tolist()) for k in range(len(lines))]
+    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    key, role, line = line_dedup.meetings(*line_dedup.variants(points, np.concatenate([[0], np.cumsum([len(t) for t in lines])])))
+    groups = collections.defaultdict(set)
+    for k, r, n in zip(key.tolist(), role.tolist(), line.tolist(), strict=True):
+        groups[k, r].add(n)
+    met = {(a, b) for (k, r), g in groups.items() for a in g for b in groups.get((k, (0, 2, 1)[r]), ()) if a != b}
+    near = {(a, b) for a in range(len(lines)) for b in range(len(lines)) if a != b and max(len(lines[a]), len(lines[b])) >= 10 and distance(lines[a], lines[b]) <= 1}
+    assert met == near and all(halves[a] & halves[b] for a, b in near)
+
+
+@pytest.mark.parametrize("bloom", [1 << 24, 0])
+def test_lines_equal_brute_force(spark, bloom, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOOM_KEYS", bloom)
+    monkeypatch.setattr(line_dedup, "BUCKET_CHARS", 500)
     r = random.Random(3)
-    base = [[f"w{r.randint(0, 30)}" for _ in range(r.choice([2, 3, 5, 8, 9, 12]))] for _ in range(25)]
+    base = [" ".join(f"w{r.randint(0, 30)}é" for _ in range(r.choice([1, 2, 3, 5, 9]))) for _ in range(25)] + ["Sports", "read more", "日本語の段落です。日本語", "{", "}"]
 
     def line():
-        w = list(r.choice(base))
-        how, at = r.randrange(5), r.randrange(len(w))
-        if how == 0:
-            w[at] = "edit" + str(r.randint(0, 3))
-        elif how == 1:
-            w.insert(at, "more")
-        elif how == 2:
-            del w[at]
-        return r.choice(["", " "]) + "  ".join(w).title() if how == 3 else " ".join(w)
-
-    rows = [(k, "\n".join(line() for _ in range(r.randint(0, 6)))) for k in range(120)]
+        w = r.choice(base)
+        how, at = r.randrange(7), r.randrange(len(w))
+        if how < 3:
+            w = w[:at] + r.choice(["x", "漢", ""]) + w[at + (how > 0) :]
+        elif how == 3:
+            w = r.choice(["", " ", "\t"]) + w.replace(" ", "  ").title()
+        return w
+
+    rows = [(k, "\n".join(line() for _ in range(r.randint(0, 6)))) for k in range(120)] + [(120, None), (121, ""), (122, " \n\n \t")]
     got = {x.doc_id: x for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[k].text for k, _ in rows] == surviving(rows)
+    want = surviving(rows)
+    assert [got[k].text for k, _ in rows] == want
+    assert [got[k].n_lines for k, _ in rows] == [0 if t is None else len(t.split("\n")) for _, t in rows]
 
 
-def test_lines_with_a_full_filter(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BLOOM_WORDS", 1)
-    rows = [(k, f"this is a line of more than eight words number {k}\nother{k} line{k} of{k} its{k} own{k} that{k} has{k} eight{k} words{k}") for k in range(40)]
+def test_lines_that_hash_alike(spark):
+    a, b = thue_morse()
+    rows = [(1, a), (2, b), (3, a[:50] + "x" + a[51:])]
     got = [x.text for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
-    assert got == surviving(rows)
-
-
-def test_short_lines_go_with_min_words_1(spark):
-    rows = [(1, "Sports\n\n\u65e5\u672c\u8a9e\u306e\u6bb5\u843d\u3067\u3059\u3002\nread more"), (2, "sports\n \n\u65e5\u672c\u8a9e\u306e\u6bb5\u843d\u3067\u3059\u3002\nother\nRead  more"), (3, "read more\nread")]
-    got = [x.text for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=1).orderBy("doc_id").collect()]
-    assert got == [rows[0][1], " \nother", "read"]
+    assert got == [a, b, ""]
 
 
 # --- 6 byte-level BPE --------------------------------------------------------------------------------

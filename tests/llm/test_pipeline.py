@@ -11,7 +11,7 @@ import corpus_pipeline
 from plumbline.llm import quality
 from plumbline.llm import textbatch as tb
 from plumbline.llm.shared import stored
-from tests.llm.test_operators import jaccard_classes, library, poisson_copies, surviving, uniform  # noqa: F401
+from tests.llm.test_operators import draw, jaccard_classes, library, surviving  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -73,10 +73,10 @@ def test_documents(stages):
 
 
 def test_mixing(stages):
-    before = [(r.doc_id, r.source) for r in stages[3].collect()]
-    counts = collections.Counter(s for _, s in before)
+    before = [(r.doc_id, r.source, r.text) for r in stages[3].collect()]
+    counts = collections.Counter(s for _, s, _ in before)
     rate = {s: len(before) / len(counts) / n for s, n in counts.items()}
-    want = {i: n for i, s in before if (n := poisson_copies(rate[s], uniform(2024, i, 1)))}
+    want = {i: n for i, s, t in before if (n := draw(rate[s], i, t))}
     assert collections.Counter(r.doc_id for r in stages[4].collect()) == want
 
 
