@@ -1,40 +1,47 @@
-"""Language-model scoring with an interpolated modified Kneser-Ney bigram model.
+"""Language-model scoring with an interpolated modified Kneser-Ney model of order two or three.
 
 Tokens are words (lower case in A-Z; runs without white space) and one end for
-each text.  The model is counted in Spark and kept in the shared folder as
-sorted arrays that workers map into memory:
+each text; marks of a begin stand before the first.  The model is counted in
+Spark and kept in the shared folder as sorted arrays that workers map into
+memory:
 
 * the vocabulary: sorted 64-bit hashes of the words, in shards by their first
   bits, with counts and continuation counts; a word's id is its rank;
-* the bigrams: sorted 64-bit keys (id of the first word, id of the second)
-  with counts, in ranges of keys, and for each first word its total and how
-  many of its followers were seen once, twice, or more often.
-
+* each order's n-grams, in ranges of their contexts: sorted contexts with the
+  places of their followers, sorted ids of followers, and counts of one byte
+  (larger ones apart).  For contexts with many followers the sums are kept: all
+  followers' counts, and how many were seen once, twice, or more often; the
+  others' sums are made when they are asked for.
+
+Trigrams are counted from the text.  A bigram's count is then the number of
+words it follows, and a word's the number of bigrams it ends, so the lower
+orders come from the distinct n-grams of the one above, one exchange each.
 Ranges are cut at quantiles of the words' counts; a frequent word is cut
 further by its followers, so no range depends on one word alone.  Words whose
-followers lie in several ranges have their sums completed on the driver: two a
-range at most.  Tasks send each range one row of packed arrays, summed before.
-
-A model of order two is used: for order three the trigrams alone would take
-more disk than the whole input here.
+bigrams lie in several ranges have their sums completed on the driver: two a
+range at most.  Tasks send each range one row of packed arrays, summed before,
+as differences in byte planes, which compress to about four bytes a trigram.
 
 Files are written under fixed names and put in place by renaming, so a task
-that is run again does no harm.  Where the shared folder isn't a local path,
-each worker copies a file once to its temporary folder and maps that.
+that is run again does no harm.  A file never
+changes once it is there.  Workers keep ``OPEN_FILES`` files mapped at most.  Where the shared folder isn't a local path, a worker copies a file to
+its temporary folder, maps it and unlinks it, so nothing stays behind.
 
 Defined cases: a null or empty text has one token, the end; repeated rows count
 as often as they occur; a row with a null id is not learned from; with nothing
-to learn from every token has probability 1; very long texts are read whole.
+to learn from every token has probability 1; very long texts are read whole; an
+empty table gives an empty one; other columns of the input, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +51,15 @@ from plumbline.llm import textbatch as tb
 from plumbline.llm.shared import shared_folder, small_batches, stored
 
 END = np.uint64(0x5EED0FE27D0C0DE5)
-#: Tokens to learn from that a range of bigrams is meant to hold; text bytes a task sums before it sends.
-RANGE_TOKENS = 2_000_000
-SUM_BYTES = 48 << 20
+ORDER = 3
+#: Tokens to learn from that a range of n-grams is meant to hold; text bytes a task sums before it sends.
+RANGE_TOKENS = 3_000_000
+SUM_BYTES = 32 << 20
 QUANTILES = 64
+#: Files that a worker keeps mapped; followers up to which a context's sums aren't stored.
+OPEN_FILES, FEW = 512, 16
+#: Bits of a key that is sorted as one number; wider ones are sorted by their parts.
+KEY_BITS = 64
 
 
 # --- files ---------------------------------------------------------------
@@ -59,8 +71,17 @@ def local_path(uri: str) -> str | None:
     return None if "://" in uri else uri
 
 
-def put(uri: str, name: str, array: np.ndarray) -> None:
-    data = np.ascontiguousarray(array).tobytes()
+def least_kind(x: np.ndarray) -> np.ndarray:
+    """Numbers that aren't negative in the smallest type that holds them."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max))
+
+
+def put(uri: str, name: str, *arrays: np.ndarray) -> None:
+    """One file of all the arrays: their number, their item sizes and lengths, and the arrays at multiples of eight bytes."""
+    arrays = tuple(least_kind(np.asarray(a)) for a in arrays)
+    head = np.array([len(arrays), *(n for a in arrays for n in (a.itemsize, len(a)))], np.int64).tobytes()
+    data = head + b"".join(a.tobytes() + bytes(-a.nbytes % 8) for a in arrays)
     own = f".{name}.{uuid.uuid4().hex}"
     if folder := local_path(uri):
         os.makedirs(folder, exist_ok=True)
@@ -77,24 +98,32 @@ def put(uri: str, name: str, array: np.ndarray) -> None:
     store.move(f"{folder}/{own}", f"{folder}/{name}")
 
 
-def mapped(uri: str, name: str, kind: type) -> np.ndarray:
-    """The file's array, mapped read-only."""
+def mapped(uri: str, name: str) -> list[np.ndarray]:
+    """The arrays of a file, mapped read-only; none where there is no such file."""
     if folder := local_path(uri):
         path = f"{folder}/{name}"
+        if not os.path.exists(path):
+            return []
+        data = np.memmap(path, np.uint8, "r")
     else:
         from pyarrow import fs
 
-        cache = f"{tempfile.gettempdir()}/{hashlib.sha256(uri.encode()).hexdigest()[:16]}"
-        os.makedirs(cache, exist_ok=True)
-        path = f"{cache}/{name}"
-        if not os.path.exists(path):
-            store, folder = fs.FileSystem.from_uri(uri)
-            own = f"{path}.{uuid.uuid4().hex}"
-            with store.open_input_stream(f"{folder}/{name}") as source, open(own, "wb") as f:
+        store, folder = fs.FileSystem.from_uri(uri)
+        if store.get_file_info(f"{folder}/{name}").type == fs.FileType.NotFound:
+            return []
+        with tempfile.NamedTemporaryFile() as copy:
+            with store.open_input_stream(f"{folder}/{name}") as source:
                 while piece := source.read(1 << 20):
-                    f.write(piece)
-            os.replace(own, path)
-    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+                    copy.write(piece)
+            copy.flush()
+            data = np.memmap(copy.name, np.uint8, "r")
+    many = int(data[:8].view(np.int64)[0])
+    head = data[8 : 8 + 16 * many].view(np.int64).tolist()
+    out, at = [], 8 + 16 * many
+    for item, n in zip(head[::2], head[1::2], strict=True):
+        out.append(data[at : at + item * n].view({1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[item]))
+        at += item * n + -item * n % 8
+    return out
 
 
 # --- the model -----------------------------------------------------------
@@ -102,34 +131,34 @@ def mapped(uri: str, name: str, kind: type) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What the driver knows: small, and bounded by the numbers of shards and ranges."""
+    """What is sent to the workers: some numbers; all that grows with the corpus is in files."""
 
     uri: str
-    bits: int = 0
-    bases: list[int] = field(default_factory=lambda: [0])
+    order: int = ORDER
+    bits: int = 0  #: of a word's hash that name its shard
+    words: int = 0
     tokens: int = 0
-    cuts: list[int] = field(default_factory=list)
-    discounts: tuple = ((0.0, 0.0, 0.0), (0.0, 0.0, 0.0))
+    discounts: tuple = ()  #: by order, from one on
     types: int = 0
     type_counts: tuple = (0, 0, 0)
-    patches: dict[int, tuple] = field(default_factory=dict)
 
     @property
-    def words(self) -> int:
-        return self.bases[-1]
+    def width(self) -> int:
+        """Bits of a word's id; ``words`` is the begin's, and all ones no word's."""
+        return (self.words + 1).bit_length()
 
 
-_open: dict[str, dict[str, np.ndarray]] = {}
+_open: OrderedDict[tuple[str, str], list[np.ndarray]] = OrderedDict()
 
 
-def array(model: Model, name: str, kind: type) -> np.ndarray:
-    files = _open.setdefault(model.uri, {})
-    if name not in files:
-        if len(_open) > 1:
-            for other in [u for u in _open if u != model.uri]:
-                del _open[other]
-        files[name] = mapped(model.uri, name, kind)
-    return files[name]
+def arrays(model: Model, name: str) -> list[np.ndarray]:
+    key = (model.uri, name)
+    if key not in _open:
+        _open[key] = mapped(model.uri, name)
+        while len(_open) > OPEN_FILES:
+            _open.popitem(last=False)
+    _open.move_to_end(key)
+    return _open[key]
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,35 +167,43 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(flat, by_text[1:], END), by_text + np.arange(len(by_text))
 
 
-def word_ids(model: Model, hashes: np.ndarray) -> np.ndarray:
-    """Ids of sorted hashes, -1 for unknown words."""
-    out = np.full(len(hashes), -1, np.int64)
+def of_words(model: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids (-1 for unknown words), counts and continuation counts of sorted hashes; the last are 0 before they are known."""
+    ids, counts, continued = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+    bases = arrays(model, "bases")[0]
     edges = np.searchsorted(hashes >> np.uint64(64 - model.bits), np.arange((1 << model.bits) + 1).astype(np.uint64))
     for s in np.flatnonzero(np.diff(edges)):
-        own, known = hashes[edges[s] : edges[s + 1]], array(model, f"vocab-{s}.hash", np.uint64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            out[edges[s] : edges[s + 1]] = np.where(known[at] == own, at + model.bases[s], -1)
-    return out
-
-
-def of_words(model: Model, ids: np.ndarray, what: str, kind: type) -> np.ndarray:
-    """Values of sorted ids from the vocabulary's shards."""
-    out = np.zeros(len(ids), np.int64)
-    edges = np.searchsorted(ids, model.bases)
-    for s in np.flatnonzero(np.diff(edges)):
-        out[edges[s] : edges[s + 1]] = array(model, f"vocab-{s}.{what}", kind)[ids[edges[s] : edges[s + 1]] - model.bases[s]]
-    return out
-
-
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sums of their counts."""
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(counts, first)
+        own, known = slice(edges[s], edges[s + 1]), arrays(model, f"vocab-{s}")
+        if known and len(known[0]):
+            at = np.minimum(np.searchsorted(known[0], hashes[own]), len(known[0]) - 1)
+            hit = known[0][at] == hashes[own]
+            ids[own] = np.where(hit, at + int(bases[s]), -1)
+            counts[own] = np.where(hit, known[1][at], 0)
+            if cont := arrays(model, f"cont-{s}") if model.types else []:
+                continued[own] = np.where(hit, cont[0][at], 0)
+    return ids, counts, continued
+
+
+def runs_of(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal (k1, k2, ...) begins."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def summed(context: np.ndarray, word: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, word) in order and the sums of their counts."""
+    if not len(context):
+        return context, word, counts
+    if int(context.max()).bit_length() + width <= KEY_BITS:
+        order = np.argsort(context << np.uint64(width) | word, kind="stable")
+    else:
+        order = np.lexsort((word, context))
+    context, word, counts = context[order], word[order], counts[order]
+    first = runs_of(context, word)
+    return context[first], word[first], np.add.reduceat(counts, first)
 
 
 def counts_of_counts(counts: np.ndarray) -> list[int]:
@@ -186,155 +223,330 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.0), float(k)) for k, d in enumerate(raw, 1))
 
 
-def _packed(pieces: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([p for p, _, _ in pieces], pa.int32()), pa.array([k.tobytes() for _, k, _ in pieces], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, _, c in pieces], pa.binary())],
-        ["part", "keys", "counts"],
-    )
+# --- what tasks send ------------------------------------------------------
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """The array's length and its bytes in planes, compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-_PACKED = "part int, keys binary, counts binary"
+def expanded(data: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(data[8:], n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
-def _unpacked(table: pa.Table, kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.frombuffer(b"".join(table["keys"].to_pylist()), kind)
-    return summed(keys, np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint32).astype(np.int64))
+_PACKED = "part int, context binary, word binary, counts binary"
 
 
-def _split(keys: np.ndarray, counts: np.ndarray, cuts: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def packed(context: np.ndarray, word: np.ndarray, counts: np.ndarray, parts: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    """A row for each (part, begin, end) of sorted n-grams."""
+    columns = [[], [], []]
+    for _, a, b in parts:
+        columns[0].append(squeezed(np.diff(context[a:b], prepend=np.uint64(0))))
+        columns[1].append(squeezed(word[a:b].astype(np.uint32)))
+        columns[2].append(squeezed(counts[a:b].astype(np.uint32)))
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in parts], pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], ["part", "context", "word", "counts"])
+
+
+def unpacked(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sums of all rows' n-grams."""
+    parts = [(np.cumsum(expanded(c, np.uint64), dtype=np.uint64), expanded(w, np.uint32).astype(np.uint64), expanded(n, np.uint32).astype(np.int64)) for c, w, n in zip(*(table[k].to_pylist() for k in ("context", "word", "counts")), strict=True)]
+    return summed(*(np.concatenate(x) for x in zip(*parts, strict=True)), width)
+
+
+def cut_at(keys: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int, int]]:
     edges = np.concatenate([[0], np.searchsorted(keys, cuts), [len(keys)]])
-    return [(p, keys[edges[p] : edges[p + 1]], counts[edges[p] : edges[p + 1]]) for p in np.flatnonzero(np.diff(edges)).tolist()]
+    return [(p, int(edges[p]), int(edges[p + 1])) for p in np.flatnonzero(np.diff(edges)).tolist()]
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], counted, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sums what ``counted`` gives for the chunks of a task, and sends it packed by part."""
+def gathered(batches: Iterator[pa.RecordBatch], keyed, width: int, parts_of) -> Iterator[pa.RecordBatch]:
+    """Counts what ``keyed`` gives for the chunks of a task, (context, word) a token, and sends it packed by part."""
     waiting, size = [], 0
+
+    def sums() -> pa.RecordBatch:
+        context, word = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        waiting.clear()
+        if len(context) and int(context.max()).bit_length() + width <= KEY_BITS:
+            keys = np.sort(context << np.uint64(width) | word)
+            first = runs_of(keys)
+            context, word, counts = keys[first] >> np.uint64(width) if width < 64 else keys[first], keys[first] & np.uint64((1 << width) - 1), np.diff(np.append(first, len(keys)))
+        else:
+            context, word, counts = summed(context, word, np.ones(len(context), np.int64), width)
+        return packed(context, word, counts, parts_of(context, word))
+
     for batch in batches:
         for _, data, offsets in tb.chunks(batch, "text"):
-            waiting.append(counted(data, offsets))
+            waiting.append(keyed(data, offsets))
             size += len(data)
             if size >= SUM_BYTES:
-                yield _packed(_split(*summed(*(np.concatenate(x) for x in zip(*waiting, strict=True))), cuts))
-                waiting, size = [], 0
+                yield sums()
+                size = 0
     if waiting:
-        yield _packed(_split(*summed(*(np.concatenate(x) for x in zip(*waiting, strict=True))), cuts))
+        yield sums()
+
+
+# --- files of n-grams -----------------------------------------------------
+
+
+def bytes_and_more(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of one byte, and places and values of those that are 255 or more."""
+    more = np.flatnonzero(counts >= 255)
+    return np.minimum(counts, 255).astype(np.uint8), more, counts[more]
 
 
-def train(docs: DataFrame, text: str = "text", name: str = "kneser_ney") -> Model:
+def count_at(small: np.ndarray, more: np.ndarray, value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = small[at].astype(np.int64)
+    large = np.flatnonzero(out == 255)
+    if len(large):
+        out[large] = value[np.searchsorted(more, at[large])]
+    return out
+
+
+def sums_of(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """By run: all counts, and how many are one, two, more."""
+    return np.array([np.add.reduceat(x.astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts > 2)]).reshape(4, -1)
+
+
+def put_pairs(uri: str, part: int, first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> list[list[int]]:
+    """Writes a range's bigrams; returns the first and last context with their sums."""
+    at = runs_of(first)
+    sums = sums_of(counts, at)
+    put(uri, f"pairs-{part}", first[at], np.append(at, len(first)), second, *bytes_and_more(counts), *sums)
+    return [[int(first[at[k]]), *sums[:, k].tolist()] for k in sorted({0, len(at) - 1})]
+
+
+def put_triples(uri: str, part: int, context: np.ndarray, word: np.ndarray, counts: np.ndarray, width: int) -> None:
+    """Writes a range's trigrams: first words, second words with their numbers of followers, followers with counts."""
+    at = runs_of(context)
+    follow = np.diff(np.append(at, len(context)))
+    first, second = context[at] >> np.uint64(width), context[at] & np.uint64((1 << width) - 1)
+    by_first = runs_of(first)
+    big = np.flatnonzero(follow > FEW)
+    sums = sums_of(counts, at)[:, big]
+    put(uri, f"triples-{part}", first[by_first], np.append(by_first, len(first)), second, *bytes_and_more(follow), at[::16], word, *bytes_and_more(counts), big, *sums)
+
+
+def found_in(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in the sorted ``values[low:high]``, and whether they are there."""
+    low, end = low.copy(), high
+    high = high.copy()
+    while (open_ := low < high).any():
+        middle = (low + high) >> 1
+        less = open_ & (values[np.minimum(middle, len(values) - 1)] < wanted)
+        low = np.where(less, middle + 1, low)
+        high = np.where(open_ & ~less, middle, high)
+    there = low < end
+    return low, there & (values[np.minimum(low, max(len(values) - 1, 0))] == wanted) if len(values) else there
+
+
+def pairs_of(model: Model, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the bigrams, and the sums (4, n) of their first words; sorted by (first, second)."""
+    count, sums = np.zeros(len(first), np.int64), np.zeros((4, len(first)), np.int64)
+    split, *split_sums = arrays(model, "split")
+    for p, a, b in cut_at(first << np.uint64(model.width) | second, arrays(model, "bases")[1]):
+        if file := arrays(model, f"pairs-{p}"):
+            contexts, starts, words, small, more, value, *own = file
+            i = np.minimum(np.searchsorted(contexts, first[a:b]), len(contexts) - 1)
+            hit = contexts[i] == first[a:b]
+            at, there = found_in(words, np.where(hit, starts[i], 0).astype(np.int64), np.where(hit, starts[i + 1], 0).astype(np.int64), second[a:b])
+            count[a:b][there] = count_at(small, more, value, at[there])
+            sums[:, a:b] = np.where(hit, np.array([x[i] for x in own]).astype(np.int64), 0)
+    if len(split):
+        i = np.minimum(np.searchsorted(split, first), len(split) - 1)
+        hit = split[i] == first
+        sums[:, hit] = np.array([x[i[hit]] for x in split_sums]).astype(np.int64)
+    return count, sums
+
+
+def triples_of(model: Model, context: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the trigrams, and the sums (4, n) of their contexts; sorted by (context, third)."""
+    count, sums = np.zeros(len(context), np.int64), np.zeros((4, len(context)), np.int64)
+    width, mask = np.uint64(model.width), np.uint64((1 << model.width) - 1)
+    for p, a, b in cut_at(context, arrays(model, "bases")[1]):
+        if not (file := arrays(model, f"triples-{p}")):
+            continue
+        firsts, starts, seconds, small_f, more_f, value_f, blocks, words, small, more, value, big, *big_sums = file
+        first, second = context[a:b] >> width, context[a:b] & mask
+        i = np.minimum(np.searchsorted(firsts, first), len(firsts) - 1)
+        hit = firsts[i] == first
+        j, hit = found_in(seconds, np.where(hit, starts[i], 0).astype(np.int64), np.where(hit, starts[i + 1], 0).astype(np.int64), second)
+        rows = np.flatnonzero(hit)
+        if not len(rows):
+            continue
+        j = j[rows]
+        follow = count_at(small_f, more_f, value_f, j)
+        before = (j & ~15)[:, None] + np.arange(16)  # of the same sixteen contexts, those that come before
+        before_count = count_at(small_f, more_f, value_f, np.minimum(before, len(seconds) - 1).ravel()).reshape(before.shape)
+        low = blocks[j >> 4].astype(np.int64) + np.where(before < j[:, None], before_count, 0).sum(1)
+        at, there = found_in(words, low, low + follow, third[a:b][rows])
+        count[a + rows[there]] = count_at(small, more, value, at[there])
+        some = np.flatnonzero(follow <= FEW)
+        if len(some):
+            every = np.repeat(low[some] - np.append(0, np.cumsum(follow[some])[:-1]), follow[some]) + np.arange(int(follow[some].sum()))
+            own = count_at(small, more, value, every)
+            sums[:, a + rows[some]] = sums_of(own, np.append(0, np.cumsum(follow[some])[:-1]))
+        many = np.flatnonzero(follow > FEW)
+        if len(many):
+            k = np.searchsorted(big, j[many])
+            sums[:, a + rows[many]] = np.array([x[k] for x in big_sums]).astype(np.int64)
+    return count, sums
+
+
+# --- training --------------------------------------------------------------
+
+
+def before(ids: np.ndarray, by_text: np.ndarray, steps: int, begin: int) -> np.ndarray:
+    """The id so many tokens before each, ``begin`` before a text's first."""
+    out = np.full(len(ids), begin, np.int64)
+    out[steps:] = ids[: len(ids) - steps] if len(ids) > steps else out[steps:]
+    for k in range(steps):
+        at = by_text[:-1] + k
+        out[at[at < by_text[1:]]] = begin
+    return out
+
+
+def train(docs: DataFrame, text: str = "text", name: str = "kneser_ney", order: int = ORDER) -> Model:
     """Counts the model over all rows of ``docs``."""
+    if order not in (2, 3):
+        raise ValueError("the order of the model is 2 or 3")
     spark = docs.sparkSession
     source = small_batches(docs.select(docs[text].alias("text")))
-    model = Model(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    model.bits = max(3, int(np.ceil(np.log2(max(1, source.rdd.getNumPartitions())))))
-    uri, shards = model.uri, 1 << model.bits
+    model = Model(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", order)
+    model.bits = min(16, max(3, int(np.ceil(np.log2(max(1, source.rdd.getNumPartitions()))))))
+    uri, bits, shards = model.uri, model.bits, 1 << model.bits
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = np.arange(1, shards).astype(np.uint64) << np.uint64(64 - model.bits)
-        return _gathered(batches, lambda data, offsets: np.unique(tokens(data, offsets)[0], return_counts=True), cuts)
+        def keyed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            own = tokens(data, offsets)[0]
+            return own, np.zeros(len(own), np.uint64)
+
+        cuts = np.arange(1, shards).astype(np.uint64) << np.uint64(64 - bits)
+        return gathered(batches, keyed, 0, lambda hashes, _: cut_at(hashes, cuts))
 
     def vocabulary(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
-        keys, counts = _unpacked(table)
-        put(uri, f"vocab-{part}.hash", keys)
-        put(uri, f"vocab-{part}.count", counts)
-        before = np.cumsum(counts) - counts
-        marks = np.unique(np.searchsorted(before, np.arange(QUANTILES) * counts.sum() / QUANTILES, "right") - 1)
-        return pa.table({"part": pa.array([part], pa.int32()), "words": [len(keys)], "tokens": [int(counts.sum())], "marks": [marks.tolist()], "before": [before[marks].tolist()], "counts": [counts[marks].tolist()]})
-
-    found = source.mapInArrow(words, _PACKED).groupBy("part").applyInArrow(vocabulary, "part int, words bigint, tokens bigint, marks array<bigint>, before array<bigint>, counts array<bigint>").collect()
+        hashes, _, counts = unpacked(table, 0)
+        put(uri, f"vocab-{part}", hashes.astype(np.uint64), counts)
+        sums = np.cumsum(counts) - counts
+        marks = np.unique(np.searchsorted(sums, np.arange(QUANTILES) * counts.sum() / QUANTILES, "right") - 1)
+        return pa.table({"part": pa.array([part], pa.int32()), "words": [len(hashes)], "tokens": [int(counts.sum())], "texts": [int(counts[hashes == END].sum())], "marks": [marks.tolist()], "before": [sums[marks].tolist()], "counts": [counts[marks].tolist()]})
+
+    found = source.mapInArrow(words, _PACKED).groupBy("part").applyInArrow(vocabulary, "part int, words bigint, tokens bigint, texts bigint, marks array<bigint>, before array<bigint>, counts array<bigint>").collect()  # a row a shard
     by_part = {r.part: r for r in found}
     marks, befores, sizes = [], [], []
     bases, total = [0], 0
     for s in range(shards):
-        r = by_part.get(s)
-        if r is None:
-            for what in ("hash", "count", "cont"):
-                put(uri, f"vocab-{s}.{what}", np.zeros(0, np.uint64))
-        else:
+        if r := by_part.get(s):
             marks += [bases[-1] + m for m in r.marks]
             befores += [total + b for b in r.before]
             sizes += r.counts
             total += r.tokens
         bases.append(bases[-1] + (r.words if r else 0))
-    model.bases, model.tokens = bases, total
+    model.words, model.tokens = bases[-1], total
     if not total:
         return model
 
-    # ranges of bigrams with about as many tokens each
-    texts = source.count()
-    mark, before, size = np.array([*marks, model.words]), np.array([*befores, total], float), np.array([*sizes, texts], float)
+    # ranges of contexts with about as many tokens each
+    width, texts = model.width, sum(r.texts for r in found)
+    mark, ahead, size = np.array([*marks, model.words]), np.array([*befores, total], float), np.array([*sizes, texts], float)
     parts = max(1, round((total + texts) / RANGE_TOKENS))
     cuts = set()
     for c in np.arange(1, parts) * (total + texts) / parts:
-        k = int(np.searchsorted(before, c, "right")) - 1
-        if c < before[k] + size[k]:  # within one word: cut by its followers
-            follower = int(mark[np.searchsorted(before, (c - before[k]) / size[k] * total, "right") - 1])
-            cuts.add(int(mark[k]) << 32 | min(follower, 2**32 - 1))
+        k = int(np.searchsorted(ahead, c, "right")) - 1
+        if c < ahead[k] + size[k]:  # within one word: cut by its followers
+            cuts.add(int(mark[k]) << width | int(mark[np.searchsorted(ahead, (c - ahead[k]) / size[k] * total, "right") - 1]))
         else:
-            cuts.add(int(mark[k]) + 1 << 32)
-    model.cuts = sorted(cuts)
+            cuts.add(int(mark[k]) + 1 << width)
+    put(uri, "bases", np.array(bases), np.array(sorted(cuts), np.uint64))
     shared = spark.sparkContext.broadcast(model)
 
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        cuts = arrays(own, "bases")[1]
 
-        def counted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def keyed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             flat, by_text = tokens(data, offsets)
             hashes, inverse = np.unique(flat, return_inverse=True)
-            return np.unique(pair_keys(own, word_ids(own, hashes)[inverse], by_text), return_counts=True)
+            ids = of_words(own, hashes)[0][inverse]
+            context = before(ids, by_text, 1, own.words).astype(np.uint64)
+            if own.order == 3:
+                context |= before(ids, by_text, 2, own.words).astype(np.uint64) << np.uint64(own.width)
+            return context, ids.astype(np.uint64)
+
+        by_context = own.order == 3
+        return gathered(batches, keyed, own.width, lambda context, word: cut_at(context if by_context else context << np.uint64(own.width) | word, cuts))
 
-        return _gathered(batches, counted, np.array(own.cuts, np.uint64))
+    numbers = "numbers array<bigint>, edges array<array<bigint>>"
 
-    def ranged(table: pa.Table) -> pa.Table:
+    def rows(batch: pa.RecordBatch, counted: list[int], edges: list) -> pa.Table:
+        """A row of numbers, under part -1, and the n-grams for the order below."""
+        n = batch.num_rows
+        head = pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *[pa.array([b""], pa.binary())] * 3], batch.schema.names)
+        both = pa.Table.from_batches([head, batch])
+        return both.append_column("numbers", pa.array([counted] + [None] * n, pa.list_(pa.int64()))).append_column("edges", pa.array([edges] + [None] * n, pa.list_(pa.list_(pa.int64()))))
+
+    def triples(table: pa.Table) -> pa.Table:
+        own, part = shared.value, table["part"][0].as_py()
+        context, word, counts = unpacked(table, own.width)
+        put_triples(uri, part, context, word, counts, own.width)
+        mask = np.uint64((1 << own.width) - 1)
+        first, second, times = summed(context & mask, word, np.ones(len(word), np.int64), own.width)  # words before each bigram
+        below = packed(first, second, times, cut_at(first << np.uint64(own.width) | second, arrays(own, "bases")[1]))
+        return rows(below, [3, len(counts), *counts_of_counts(counts)], [])
+
+    def pairs(table: pa.Table) -> pa.Table:
         own, part = shared.value, table["part"][0].as_py()
-        keys, counts = _unpacked(table)
-        put(uri, f"pairs-{part}.key", keys)
-        put(uri, f"pairs-{part}.count", counts.astype(np.uint32))
-        first = (keys >> np.uint64(32)).astype(np.int64)
-        at = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
-        sums = np.array([np.add.reduceat(x.astype(np.int64), at) for x in (counts, counts == 1, counts == 2, counts > 2)])
-        put(uri, f"pairs-{part}.first", first[at])
-        put(uri, f"pairs-{part}.sums", sums)
-        edges = [[int(first[at[k]]), *sums[:, k].tolist()] for k in sorted({0, len(at) - 1})]
-        second, n = np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
-        pieces = _split(second, n, np.array(own.bases[1:-1]))
-        rows = len(pieces)
-        return pa.table({
-            "part": pa.array([-1] + [p for p, _, _ in pieces], pa.int32()), "keys": pa.array([b""] + [k.tobytes() for _, k, _ in pieces], pa.binary()), "counts": pa.array([b""] + [c.astype(np.uint32).tobytes() for _, _, c in pieces], pa.binary()),
-            "numbers": pa.array([[len(keys), *counts_of_counts(counts)]] + [None] * rows, pa.list_(pa.int64())), "edges": pa.array([edges] + [None] * rows, pa.list_(pa.list_(pa.int64()))),
-        })
-
-    out = stored(source.mapInArrow(bigrams, _PACKED).groupBy("part").applyInArrow(ranged, _PACKED + ", numbers array<bigint>, edges array<array<bigint>>"), name + "-pairs")
-    numbers = np.zeros(5, np.int64)
+        if part < 0:  # numbers of the order above
+            every = np.array([x for x in table["numbers"].to_pylist()]).sum(0)
+            return rows(packed(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), []), [3, *every[1:].tolist()], [])
+        first, second, counts = unpacked(table, own.width)
+        edges = put_pairs(uri, part, first, second, counts)
+        word, times = np.unique(second, return_counts=True)
+        below = packed(word, np.zeros(len(word), np.uint64), times, cut_at(word, arrays(own, "bases")[0][1:-1]))
+        return rows(below, [2, len(counts), *counts_of_counts(counts)], edges)
+
+    counted = source.mapInArrow(grams, _PACKED)
+    if order == 3:
+        counted = counted.groupBy("part").applyInArrow(triples, f"{_PACKED}, {numbers}")
+    out = stored(counted.groupBy("part").applyInArrow(pairs, f"{_PACKED}, {numbers}"), name + "/pairs")
+    totals = {2: np.zeros(5, np.int64), 3: np.zeros(5, np.int64)}
     partial: dict[int, np.ndarray] = {}
-    for r in out.where("part = -1").select("numbers", "edges").collect():  # one row a range
-        numbers += np.array(r.numbers)
+    for r in out.where("part = -1").select("numbers", "edges").toLocalIterator():  # one row a range
+        totals[r.numbers[0]] += np.array(r.numbers[1:])
         for first, *sums in r.edges:
             partial[first] = partial.get(first, np.zeros(4, np.int64)) + np.array(sums)
-    model.patches = {k: tuple(v.tolist()) for k, v in partial.items()}
+    split = sorted(partial)
+    put(uri, "split", np.array(split, np.uint64), *np.array([partial[k] for k in split]).reshape(-1, 4).T)
 
     def continued(table: pa.Table) -> pa.Table:
         own, part = shared.value, table["part"][0].as_py()
-        keys, counts = _unpacked(table, np.int64)
-        dense = np.zeros(own.bases[part + 1] - own.bases[part], np.uint32)
-        dense[keys - own.bases[part]] = counts
-        put(uri, f"vocab-{part}.cont", dense)
+        word, _, counts = unpacked(table, 0)
+        bases = arrays(own, "bases")[0].astype(np.int64)
+        dense = np.zeros(bases[part + 1] - bases[part], np.int64)
+        dense[word.astype(np.int64) - bases[part]] = counts
+        put(uri, f"cont-{part}", dense)
         return pa.table({"part": pa.array([part], pa.int32()), "numbers": pa.array([[int((counts > 2).sum()), *counts_of_counts(counts)]], pa.list_(pa.int64()))})
 
     lower = np.zeros(5, np.int64)
-    for r in out.where("part >= 0").select("part", "keys", "counts").groupBy("part").applyInArrow(continued, "part int, numbers array<bigint>").collect():
+    for r in out.where("part >= 0").select("part", "context", "word", "counts").groupBy("part").applyInArrow(continued, "part int, numbers array<bigint>").collect():  # a row a shard
         lower += np.array(r.numbers)
-    model.types = int(numbers[0])
+    model.types = int(totals[2][0])
     model.type_counts = (int(lower[1]), int(lower[2]), int(lower[0]))
-    model.discounts = (discounts(numbers[1:].tolist()), discounts(lower[1:].tolist()))
+    model.discounts = (discounts(lower[1:].tolist()), discounts(totals[2][1:].tolist()), *([discounts(totals[3][1:].tolist())] if order == 3 else []))
     return model
 
 
-def pair_keys(model: Model, ids: np.ndarray, by_text: np.ndarray) -> np.ndarray:
-    """Keys of each token with the one before it; a text's first follows the id ``words``; unknown words give unusable keys."""
-    before = np.concatenate([[model.words], ids[:-1]])
-    before[by_text[:-1]] = model.words
-    return (before.astype(np.uint64) << np.uint64(32)) | (ids.astype(np.uint64) & np.uint64(0xFFFFFFFF))
+# --- scoring ---------------------------------------------------------------
+
+
+def interpolated(count: np.ndarray, sums: np.ndarray, steps: tuple, below: np.ndarray) -> np.ndarray:
+    """Discounted share of the count, and the rest of the context's mass on the order below; unseen contexts leave all to it."""
+    d = np.array([0.0, *steps])
+    seen, total = sums[0] > 0, np.maximum(sums[0], 1)
+    return np.where(seen, np.maximum(count - d[np.minimum(count, 3)], 0) / total, 0.0) + np.where(seen, d[1:] @ sums[1:] / total, 1.0) * below
 
 
 def log_probabilities(model: Model, flat: np.ndarray, by_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -342,55 +554,27 @@ def log_probabilities(model: Model, flat: np.ndarray, by_text: np.ndarray) -> tu
     if not model.tokens:
         return np.zeros(len(flat), np.int64), np.zeros(len(flat))
     hashes, inverse = np.unique(flat, return_inverse=True)
-    ids = word_ids(model, hashes)
-    known = ids >= 0
-    counts, cont = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-    counts[known] = of_words(model, ids[known], "count", np.int64)
-    cont[known] = of_words(model, ids[known], "cont", np.uint32)
-    high, low = (np.array([0.0, *d]) for d in model.discounts)
+    ids, counts, cont = of_words(model, hashes)
+    low = np.array([0.0, *model.discounts[0]])
     left = sum(d * n for d, n in zip(low[1:], model.type_counts, strict=True)) / model.types
-    single = np.maximum(cont - low[np.minimum(cont, 3)], 0) / model.types + left / (model.words + 1)
+    chance = (np.maximum(cont - low[np.minimum(cont, 3)], 0) / model.types + left / (model.words + 1))[inverse]
 
     here = ids[inverse]
-    keys = pair_keys(model, here, by_text)
-    before = np.concatenate([[model.words], here[:-1]])
-    before[by_text[:-1]] = model.words
-    keys, which = np.unique(np.where((here >= 0) & (before >= 0), keys, np.uint64(2**64 - 1)), return_inverse=True)
-    pair = np.zeros(len(keys), np.int64)
-    firsts, back = np.unique(before, return_inverse=True)
-    sums = np.zeros((4, len(firsts)), np.int64)
-    edges = np.concatenate([[0], np.searchsorted(keys, np.array(model.cuts, np.uint64)), [len(keys)]])
-    starts = [0, *(c >> 32 for c in model.cuts)]
-    ends = [*((c - 1) >> 32 for c in model.cuts), model.words]
-    for p in range(len(edges) - 1):
-        if edges[p + 1] > edges[p] and len(stored_keys := _range(model, p, "key", np.uint64)):
-            own = keys[edges[p] : edges[p + 1]]
-            at = np.minimum(np.searchsorted(stored_keys, own), len(stored_keys) - 1)
-            pair[edges[p] : edges[p + 1]] = np.where(stored_keys[at] == own, _range(model, p, "count", np.uint32)[at], 0)
-        a, b = np.searchsorted(firsts, starts[p]), np.searchsorted(firsts, ends[p], "right")
-        if b > a and len(known_first := _range(model, p, "first", np.int64)):
-            at = np.minimum(np.searchsorted(known_first, firsts[a:b]), len(known_first) - 1)
-            hit = known_first[at] == firsts[a:b]
-            sums[:, a:b] = np.where(hit, _range(model, p, "sums", np.int64).reshape(4, -1)[:, at], sums[:, a:b])
-    for k in np.flatnonzero(np.isin(firsts, list(model.patches))):
-        sums[:, k] = model.patches[int(firsts[k])]
-    total = np.maximum(sums[0], 1)
-    seen = sums[0] > 0
-    gamma = np.where(seen, (high[1:] @ sums[1:]) / total, 1.0)
-    c = pair[which]
-    p1 = single[inverse]
-    p2 = np.where(seen[back], np.maximum(c - high[np.minimum(c, 3)], 0) / total[back], 0.0) + gamma[back] * p1
-    return counts[inverse], np.log10(p2)
-
-
-def _range(model: Model, part: int, what: str, kind: type) -> np.ndarray:
-    """A range's array, empty where no bigram fell into the range."""
-    name = f"pairs-{part}.{what}"
-    try:
-        return array(model, name, kind)
-    except FileNotFoundError:
-        _open[model.uri][name] = np.zeros(0, kind)
-        return _open[model.uri][name]
+    word = np.where(here < 0, (1 << model.width) - 1, here).astype(np.uint64)
+    one, two = before(here, by_text, 1, model.words), before(here, by_text, 2, model.words)
+    for order, of, steps in ((2, pairs_of, model.discounts[1]), (3, triples_of, model.discounts[-1]))[: model.order - 1]:
+        able = np.flatnonzero((one >= 0) & ((two >= 0) | (order < 3)))
+        context = one[able].astype(np.uint64)
+        if order == 3:
+            context |= two[able].astype(np.uint64) << np.uint64(model.width)
+        if int(context.max(initial=0)).bit_length() + model.width <= KEY_BITS:
+            by_key = np.argsort(context << np.uint64(model.width) | word[able])
+        else:
+            by_key = np.lexsort((word[able], context))
+        count, sums = of(model, context[by_key], word[able][by_key])
+        at = able[by_key]
+        chance[at] = interpolated(count, sums, steps, chance[at])
+    return counts[inverse], np.log10(chance)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -414,5 +598,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     return source.mapInArrow(run, f"key {source.schema['key'].dataType.simpleString()}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double").withColumnRenamed("key", key)
 
 
-def kneser_ney(docs: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", name: str = "kneser_ney") -> DataFrame:
-    return score(docs, train(docs.where(learn), text, name), text, key)
+def kneser_ney(docs: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", name: str = "kneser_ney", order: int = ORDER) -> DataFrame:
+    """``score`` of all rows by the model of those for which ``learn`` holds."""
+    return score(docs, train(docs.where(learn), text, name, order), text, key)

@@ -202,38 +202,70 @@ def test_one_row_of_each_class_stays(spark, odd):
 # --- 3 language model ----------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("tokens", [2_000_000, 1500])
-def test_kneser_ney(spark, docs, rows, tokens, monkeypatch):
+def plain_model(train, order):
+    """log10 chances by dictionaries: ``chance(history, word)`` with the begin marks given."""
+    begin = ["\0begin"] * (order - 1)
+    tables = [collections.Counter(tuple(x[i : i + order]) for s in train for x in [[*begin, *s]] for i in range(len(s)))]
+    while len(next(iter(tables[-1]))) > 1:
+        tables.append(collections.Counter(g[1:] for g in tables[-1]))
+    tables = tables[::-1]
+    steps = [(0, *kneser_ney.discounts([sum(c == k for c in t.values()) for k in (1, 2, 3, 4)])) for t in tables]
+    sums = []
+    for t in tables:
+        own = collections.defaultdict(lambda: [0, 0, 0, 0])
+        for g, c in t.items():
+            own[g[:-1]][0] += c
+            own[g[:-1]][min(c, 3)] += 1
+        sums.append(own)
+    v = len({w for s in train for w in s})
+
+    def chance(history, word):
+        out = 1 / (v + 1)
+        for n, (t, d, own) in enumerate(zip(tables, steps, sums, strict=True)):
+            h = tuple(history[len(history) - n :]) if n else ()
+            if h in own:
+                s, c = own[h], t[(*h, word)]
+                out = max(c - d[min(c, 3)], 0) / s[0] + sum(d[k] * s[k] for k in (1, 2, 3)) / s[0] * out
+        return out
+
+    return chance
+
+
+@pytest.mark.parametrize(("tokens", "order", "bits"), [(3_000_000, 3, 64), (1500, 3, 64), (1500, 3, 40), (1500, 2, 64)])
+def test_kneser_ney(spark, docs, rows, tokens, order, bits, monkeypatch):
     monkeypatch.setattr(kneser_ney, "RANGE_TOKENS", tokens)
-    got = {r.doc_id: r for r in kneser_ney.kneser_ney(docs, remainder("doc_id", 5) != 1).collect()}
+    monkeypatch.setattr(kneser_ney, "KEY_BITS", bits)
+    got = {r.doc_id: r for r in kneser_ney.kneser_ney(docs, remainder("doc_id", 5) != 1, order=order).collect()}
     train = [[*words(t), "\0end"] for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
     uni = collections.Counter(w for s in train for w in s)
-    pairs = collections.Counter(p for s in train for p in zip(["\0begin", *s], s, strict=False))
     n, v = sum(uni.values()), len(uni)
-    sums, cont = collections.defaultdict(lambda: [0, 0, 0, 0]), collections.Counter()
-    for (a, b), c in pairs.items():
-        sums[a][0] += c
-        sums[a][min(c, 3)] += 1
-        cont[b] += 1
-    of = lambda x: (0, *kneser_ney.discounts([sum(c == k for c in x) for k in (1, 2, 3, 4)]))
-    high, low, types = of(pairs.values()), of(cont.values()), sum(cont.values())
-    left = sum(low[min(c, 3)] for c in cont.values()) / types
-
-    def chance(a, b):
-        single = max(cont[b] - low[min(cont[b], 3)], 0) / types + left / (v + 1)
-        if a not in sums:
-            return single
-        s, c = sums[a], pairs[a, b]
-        return max(c - high[min(c, 3)], 0) / s[0] + sum(high[k] * s[k] for k in (1, 2, 3)) / s[0] * single
-
+    chance = plain_model(train, order)
     for i, t in rows:
         s, r = [*words(t), "\0end"], got[i]
+        x = ["\0begin"] * (order - 1) + s
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(s), sum(w in uni for w in s), n)
         assert r.base_score == pytest.approx(sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (v + 1))) for w in s), rel=1e-9)
-        assert r.score == pytest.approx(sum(math.log10(chance(a, b)) for a, b in zip(["\0begin", *s], s, strict=False)), rel=1e-9)
+        assert r.score == pytest.approx(sum(math.log10(chance(x[k : k + order - 1], w)) for k, w in enumerate(s)), rel=1e-9)
     # the chances of all words after one, and of any unknown word, make one
-    for a in ("\0begin", "the", "never seen"):
-        assert sum(chance(a, b) for b in uni) + chance(a, "unknown") == pytest.approx(1)
+    for h in (["\0begin"] * 2, train[0][:2], ["never", "seen"], ["never", train[0][0]]):
+        assert sum(chance(h[-order + 1 :], b) for b in uni) + chance(h[-order + 1 :], "unknown") == pytest.approx(1)
+
+
+def test_model_of_frequent_words(spark, monkeypatch):
+    """Counts over a byte, contexts of many followers, a word cut between ranges; words that hash alike modulo 2**64."""
+    monkeypatch.setattr(kneser_ney, "RANGE_TOKENS", 400)
+    monkeypatch.setattr(kneser_ney, "OPEN_FILES", 3)
+    r = random.Random(2)
+    texts = ["the cat " * 300, *(" ".join(["the"] + [f"w{r.randint(0, 60)}" for _ in range(3)] + ["the", "cat", f"x{r.randint(0, 400)}"]) for _ in range(600)), " ".join(thue_morse()), thue_morse()[0], "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in kneser_ney.kneser_ney(df, F.col("doc_id") != 601).collect()}
+    train = [[*words(t), "\0end"] for k, t in enumerate(texts) if k != 601]
+    chance, known = plain_model(train, 3), {w for s in train for w in s}
+    for k, t in enumerate(texts):
+        s = [*words(t), "\0end"]
+        x = ["\0begin"] * 2 + s
+        assert got[k].n_known == sum(w in known for w in s)
+        assert got[k].score == pytest.approx(sum(math.log10(chance(x[i : i + 2], w)) for i, w in enumerate(s)), rel=1e-9)
 
 
 # --- 4 mixing ---------------------------------------------------------------------------------
