@@ -56,8 +56,12 @@ ORDER = 3
 RANGE_TOKENS = 3_000_000
 SUM_BYTES = 32 << 20
 QUANTILES = 64
-#: Files that a worker keeps mapped; followers up to which a context's sums aren't stored.
-OPEN_FILES, FEW = 512, 16
+#: Files that a worker keeps mapped; followers up to which a context's sums aren't stored; contexts for which one place is stored.
+OPEN_FILES, FEW, BLOCK = 512, 16, 4
+#: Followers from which a context's are searched by themselves.
+LONG = 1024
+#: Text bytes that are scored at a time.
+SCORE_BYTES = 2 << 20
 #: Bits of a key that is sorted as one number; wider ones are sorted by their parts.
 KEY_BITS = 64
 
@@ -117,6 +121,7 @@ def mapped(uri: str, name: str) -> list[np.ndarray]:
                     copy.write(piece)
             copy.flush()
             data = np.memmap(copy.name, np.uint8, "r")
+    data = np.asarray(data)  # a plain view, which is faster to index
     many = int(data[:8].view(np.int64)[0])
     head = data[8 : 8 + 16 * many].view(np.int64).tolist()
     out, at = [], 8 + 16 * many
@@ -326,20 +331,36 @@ def put_triples(uri: str, part: int, context: np.ndarray, word: np.ndarray, coun
     by_first = runs_of(first)
     big = np.flatnonzero(follow > FEW)
     sums = sums_of(counts, at)[:, big]
-    put(uri, f"triples-{part}", first[by_first], np.append(by_first, len(first)), second, *bytes_and_more(follow), at[::16], word, *bytes_and_more(counts), big, *sums)
+    put(uri, f"triples-{part}", first[by_first], np.append(by_first, len(first)), second, *bytes_and_more(follow), at[::BLOCK], word, *bytes_and_more(counts), big, *sums)
 
 
 def found_in(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``wanted`` in the sorted ``values[low:high]``, and whether they are there."""
-    low, end = low.copy(), high
-    high = high.copy()
-    while (open_ := low < high).any():
-        middle = (low + high) >> 1
-        less = open_ & (values[np.minimum(middle, len(values) - 1)] < wanted)
-        low = np.where(less, middle + 1, low)
-        high = np.where(open_ & ~less, middle, high)
-    there = low < end
-    return low, there & (values[np.minimum(low, max(len(values) - 1, 0))] == wanted) if len(values) else there
+    """Places of ``wanted`` in the sorted ``values[low:high]``, and whether they are there; rows of one slice stand together."""
+    out, size = low.copy(), high - low
+    all_wanted, wanted = wanted, np.minimum(wanted, np.uint64(np.iinfo(values.dtype).max)).astype(values.dtype)  # slices are searched in their own type
+    long = np.flatnonzero(size > LONG)
+    if len(long):  # slice by slice
+        cuts = runs_of(low[long])
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(long)], strict=True):
+            rows, begin = long[a:b], int(low[long[a]])
+            out[rows] = begin + np.searchsorted(values[begin : int(high[long[a]])], wanted[rows])
+    some = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left, want = low[some], size[some], wanted[some]
+    for _ in range(int(left.max(initial=0)).bit_length()):  # all others together
+        half = left >> 1
+        less = (left > 0) & (values[np.minimum(at + half, len(values) - 1)] < want)
+        at += np.where(less, half + 1, 0)
+        left = np.where(less, left - half - 1, half)
+    out[some] = at
+    there = out < high
+    there[there] = values[out[there]] == all_wanted[there]
+    return out, there
+
+
+def slice_of(starts: np.ndarray, i: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The followers' places of the contexts ``i``, none where the context isn't there."""
+    low = starts[i].astype(np.int64)
+    return low, np.where(hit, starts[i + 1].astype(np.int64), low)
 
 
 def pairs_of(model: Model, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -349,11 +370,14 @@ def pairs_of(model: Model, first: np.ndarray, second: np.ndarray) -> tuple[np.nd
     for p, a, b in cut_at(first << np.uint64(model.width) | second, arrays(model, "bases")[1]):
         if file := arrays(model, f"pairs-{p}"):
             contexts, starts, words, small, more, value, *own = file
-            i = np.minimum(np.searchsorted(contexts, first[a:b]), len(contexts) - 1)
-            hit = contexts[i] == first[a:b]
-            at, there = found_in(words, np.where(hit, starts[i], 0).astype(np.int64), np.where(hit, starts[i + 1], 0).astype(np.int64), second[a:b])
-            count[a:b][there] = count_at(small, more, value, at[there])
-            sums[:, a:b] = np.where(hit, np.array([x[i] for x in own]).astype(np.int64), 0)
+            at = runs_of(first[a:b])  # each context once
+            which = np.repeat(np.arange(len(at)), np.diff(np.append(at, b - a)))
+            i = np.minimum(np.searchsorted(contexts, first[a:b][at]), len(contexts) - 1)
+            hit = contexts[i] == first[a:b][at]
+            low, high = slice_of(starts, i, hit)
+            place, there = found_in(words, low[which], high[which], second[a:b])
+            count[a:b][there] = count_at(small, more, value, place[there])
+            sums[:, a:b] = np.where(hit, np.array([x[i] for x in own]).astype(np.int64), 0)[:, which]
     if len(split):
         i = np.minimum(np.searchsorted(split, first), len(split) - 1)
         hit = split[i] == first
@@ -369,29 +393,29 @@ def triples_of(model: Model, context: np.ndarray, third: np.ndarray) -> tuple[np
         if not (file := arrays(model, f"triples-{p}")):
             continue
         firsts, starts, seconds, small_f, more_f, value_f, blocks, words, small, more, value, big, *big_sums = file
-        first, second = context[a:b] >> width, context[a:b] & mask
+        at = runs_of(context[a:b])  # each context once
+        which = np.repeat(np.arange(len(at)), np.diff(np.append(at, b - a)))
+        first, second = context[a:b][at] >> width, context[a:b][at] & mask
         i = np.minimum(np.searchsorted(firsts, first), len(firsts) - 1)
-        hit = firsts[i] == first
-        j, hit = found_in(seconds, np.where(hit, starts[i], 0).astype(np.int64), np.where(hit, starts[i + 1], 0).astype(np.int64), second)
-        rows = np.flatnonzero(hit)
-        if not len(rows):
-            continue
-        j = j[rows]
-        follow = count_at(small_f, more_f, value_f, j)
-        before = (j & ~15)[:, None] + np.arange(16)  # of the same sixteen contexts, those that come before
-        before_count = count_at(small_f, more_f, value_f, np.minimum(before, len(seconds) - 1).ravel()).reshape(before.shape)
-        low = blocks[j >> 4].astype(np.int64) + np.where(before < j[:, None], before_count, 0).sum(1)
-        at, there = found_in(words, low, low + follow, third[a:b][rows])
-        count[a + rows[there]] = count_at(small, more, value, at[there])
-        some = np.flatnonzero(follow <= FEW)
+        j, hit = found_in(seconds, *slice_of(starts, i, firsts[i] == first), second)
+        j = np.minimum(j, len(seconds) - 1)
+        follow = np.where(hit, count_at(small_f, more_f, value_f, j), 0)
+        block = (j & ~(BLOCK - 1))[:, None] + np.arange(BLOCK - 1)  # of the same block's contexts, those that come before
+        ahead = count_at(small_f, more_f, value_f, np.minimum(block, len(seconds) - 1).ravel()).reshape(block.shape)
+        low = blocks[j // BLOCK].astype(np.int64) + np.where(block < j[:, None], ahead, 0).sum(1)
+        place, there = found_in(words, low[which], (low + follow)[which], third[a:b])
+        count[a:b][there] = count_at(small, more, value, place[there])
+        own = np.zeros((4, len(at)), np.int64)
+        some = np.flatnonzero((follow > 0) & (follow <= FEW))
         if len(some):
-            every = np.repeat(low[some] - np.append(0, np.cumsum(follow[some])[:-1]), follow[some]) + np.arange(int(follow[some].sum()))
-            own = count_at(small, more, value, every)
-            sums[:, a + rows[some]] = sums_of(own, np.append(0, np.cumsum(follow[some])[:-1]))
+            begin = np.cumsum(follow[some]) - follow[some]
+            every = np.repeat(low[some] - begin, follow[some]) + np.arange(int(follow[some].sum()))
+            own[:, some] = sums_of(count_at(small, more, value, every), begin)
         many = np.flatnonzero(follow > FEW)
         if len(many):
             k = np.searchsorted(big, j[many])
-            sums[:, a + rows[many]] = np.array([x[k] for x in big_sums]).astype(np.int64)
+            own[:, many] = np.array([x[k] for x in big_sums]).astype(np.int64)
+        sums[:, a:b] = own[:, which]
     return count, sums
 
 
@@ -546,7 +570,7 @@ def interpolated(count: np.ndarray, sums: np.ndarray, steps: tuple, below: np.nd
     """Discounted share of the count, and the rest of the context's mass on the order below; unseen contexts leave all to it."""
     d = np.array([0.0, *steps])
     seen, total = sums[0] > 0, np.maximum(sums[0], 1)
-    return np.where(seen, np.maximum(count - d[np.minimum(count, 3)], 0) / total, 0.0) + np.where(seen, d[1:] @ sums[1:] / total, 1.0) * below
+    return np.where(seen, np.maximum(count - d[np.minimum(count, 3)], 0) / total, 0.0) + np.where(seen, d[1:] @ sums[1:].astype(np.float64) / total, 1.0) * below
 
 
 def log_probabilities(model: Model, flat: np.ndarray, by_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -585,7 +609,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for rows, data, offsets in tb.chunks(batch, "text"):
+            for rows, data, offsets in tb.chunks(batch, "text", SCORE_BYTES):
                 flat, by_text = tokens(data, offsets)
                 counts, logs = log_probabilities(own, flat, by_text)
                 base = np.log10((counts + 0.5) / (own.tokens + 0.5 * (own.words + 1)))

@@ -255,6 +255,7 @@ def test_model_of_frequent_words(spark, monkeypatch):
     """Counts over a byte, contexts of many followers, a word cut between ranges; words that hash alike modulo 2**64."""
     monkeypatch.setattr(kneser_ney, "RANGE_TOKENS", 400)
     monkeypatch.setattr(kneser_ney, "OPEN_FILES", 3)
+    monkeypatch.setattr(kneser_ney, "LONG", 20)
     r = random.Random(2)
     texts = ["the cat " * 300, *(" ".join(["the"] + [f"w{r.randint(0, 60)}" for _ in range(3)] + ["the", "cat", f"x{r.randint(0, 400)}"]) for _ in range(600)), " ".join(thue_morse()), thue_morse()[0], "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
