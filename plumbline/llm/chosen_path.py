@@ -25,7 +25,8 @@ of any size cost no row a pair, and links within a found component are complete.
 Defined cases: texts that are null or have no words link with nothing; rows
 with equal sets link with each other, also with equal ids; a class is named by
 its smallest id that isn't null; very long texts are taken whole, and blocks
-are bounded by set sizes; an empty table gives an empty one.
+are bounded by set sizes; an empty table gives an empty one; other columns of
+the input, whatever their names, are ignored, and ``deduplicated`` keeps them.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import textbatch as tb
 from plumbline.llm.embedding_dedup import _tree
-from plumbline.llm.shared import block_pairs, bloom, components, maybe_in, small_batches, stored
+from plumbline.llm.shared import block_pairs, components, only_in, small_batches, stored
 
 WIDTH, SIMILARITY = 5, 0.8
 COORDINATES, RECALL, DEPTH = 128, 0.99, 3
@@ -233,7 +234,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", name:
                 )
 
     rows = stored(source.mapInArrow(reduced, f"id {kind}, text_hash bigint, node bigint, size bigint, coordinates binary, paths array<bigint>"), name + "/rows")
-    grouped = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("coordinates").alias("coordinates"), F.first("paths").alias("paths"))
+    grouped = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.min(F.struct("text_hash", "id")).alias("picked"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("coordinates").alias("coordinates"), F.first("paths").alias("paths"))
     nodes = stored(grouped, name + "/nodes")
 
     # paths, until each is small or deep enough
@@ -261,23 +262,27 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", name:
     clusters = components(forest, name + "/candidates")
 
     # exact similarity within the components of candidates
-    members = stored(clusters.select("node", F.col("root").alias("cluster")).join(nodes.select("node", "first", "copies", "size"), "node"), name + "/members")
+    members = stored(clusters.select("node", F.col("root").alias("cluster")).join(nodes.select("node", "picked", "copies", "size"), "node"), name + "/members")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task sends a node once, however many rows have its id and text
         for batch in batches:
-            for rows, data, offsets in tb.chunks(batch, "text"):
+            nodes = batch.column(1).to_pylist()
+            fresh = [n not in seen and not seen.add(n) for n in nodes]
+            for rows, data, offsets in tb.chunks(batch.filter(pa.array(fresh, pa.bool_())), "text"):
                 sets, bounds = text_sets(data, offsets)
                 right = pa.array(fingerprints(sets, bounds).view(np.int64) == rows.column(1).to_numpy())
                 tokens = pa.array([sets[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*rows.columns[1:], tokens], [*rows.schema.names[1:], "tokens"]).filter(right)
 
-    texts = maybe_in(source, F.xxhash64("id"), bloom(members.select(F.xxhash64("first").alias("k"))))
-    fetched = texts.join(members, F.col("id").eqNullSafe(F.col("first"))).select("text", "node", "cluster", "copies", "size")
+    count = members.count()
+    texts = only_in(source, F.col("text_hash"), members.select(F.col("picked.text_hash").alias("k")), count)
+    fetched = texts.join(members, (F.col("text_hash") == F.col("picked.text_hash")) & F.col("id").eqNullSafe(F.col("picked.id"))).select("text", "node", "cluster", "copies", "size")
     loaded = fetched.mapInArrow(with_sets, "node bigint, cluster bigint, copies bigint, size bigint, tokens binary")
     weight = F.greatest(F.col("size"), F.lit(BLOCK_TOKENS // BLOCK))
     heavy = members.groupBy("cluster").agg(F.sum(weight).alias("weight")).withColumn("blocks", F.ceil(F.col("weight") / BLOCK_TOKENS).cast("int"))
     dealt = block_pairs(loaded, ["cluster"], "node", BLOCK_TOKENS, heavy.select("cluster", "blocks"))
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(F.lit(4), "cluster"), F.lit(max(8, members.count() // 512)))).otherwise(F.col("cluster"))
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(F.lit(4), "cluster"), F.lit(max(8, count // 512)))).otherwise(F.col("cluster"))
     found = stored(dealt.withColumn("group", group).select("group", "blocks", "cluster", "node", "copies", "tokens", "block", "other", "low").groupBy("group", "blocks", "block", "other").applyInArrow(verified, "node bigint, n bigint, root bigint"), name + "/links")
     linked = found.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), name)
@@ -292,7 +297,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", name:
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str = "chosen_path") -> DataFrame:
-    """``docs`` with one row of each class: of those with the smallest id the one with the smallest hash of its text."""
+    """``docs`` with one row of each class: of those with the smallest id the one with the smallest hash of its text, then of the whole row."""
     state = stored(jaccard_join(docs, text, key, name).where("root is not null"), name + "/state")
     best = state.where("kept").groupBy("root").agg(F.min("text_hash").alias("best"))
     rows = state.groupBy("root", F.col(key).alias("id"), "text_hash").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
@@ -303,5 +308,6 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", name:
     out = docs.join(losers, same(losers), "left_anti")
     if repeats.isEmpty():
         return out
-    again = docs.join(repeats, same(repeats), "left_semi").withColumns({"__id": F.col(key), "__hash": F.xxhash64(F.col(text))})
-    return out.union(again.dropDuplicates(["__id", "__hash"]).drop("__id", "__hash"))
+    row = F.struct(*[docs[c] for c in docs.columns])
+    again = docs.join(repeats, same(repeats), "left_semi").select(row.alias("row"), F.struct(F.xxhash64(row), F.xxhash64(F.lit(1), row)).alias("order"), docs[key].alias("own"), F.xxhash64(docs[text]).alias("hash"))
+    return out.union(again.groupBy("own", "hash").agg(F.min_by("row", "order").alias("row")).select("row.*"))

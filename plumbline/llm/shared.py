@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one is made only where none is set, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one is made only where none is set and all tasks run in this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -119,25 +121,28 @@ def block_pairs(rows: DataFrame, group: list[str], member: str, size: int, block
     return every.withColumns({"block": F.least("__mine", "__other"), "other": F.greatest("__mine", "__other"), "low": F.col("__mine") <= F.col("__other"), "blocks": F.col("__blocks")}).drop("__blocks", "__mine", "__other")
 
 
-#: 64-bit words of a Bloom filter; its size doesn't depend on the data.
-BLOOM_WORDS = 1 << 17
+#: 64-bit words of the largest Bloom filter, a row of 16 bytes each; it has 16 bits a key or more, or isn't used.
+BLOOM_WORDS = 1 << 20
 
 
-def _spots(key: Column) -> list[Column]:
-    return [F.pmod(k, F.lit(BLOOM_WORDS * 64)) for k in (key, F.shiftrightunsigned(key, 32))]
+def _spots(key: Column, words: int) -> list[Column]:
+    return [F.pmod(k, F.lit(words * 64)) for k in (key, F.shiftrightunsigned(key, 32))]
 
 
-def bloom(keys: DataFrame) -> DataFrame:
-    """A filter of the hashes ``k``: (word, bits), of ``BLOOM_WORDS`` rows of 16 bytes at most."""
-    spots = keys.select(F.explode(F.array(*_spots(F.col("k")))).alias("spot"))
-    return spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
+def only_in(df: DataFrame, key: Column, keys: DataFrame, count: int) -> DataFrame:
+    """Rows of ``df`` whose hash may be among the ``count`` hashes ``k``: none of those is lost, and few others stay.
 
-
-def maybe_in(df: DataFrame, key: Column, table: DataFrame) -> DataFrame:
-    """Rows whose hash is in the filter: none of those that were put in is lost, and few others stay until the filter fills up."""
+    The filter's size follows ``count``; where it would be too large to be sent
+    to all tasks the rows come back as they are.
+    """
+    words = 1 << max(4, (max(count, 1) // 4 - 1).bit_length())
+    if words > BLOOM_WORDS:
+        return df
+    spots = keys.select(F.explode(F.array(*_spots(F.col("k"), words))).alias("spot"))
+    table = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
     out = df
-    for n, spot in enumerate(_spots(key)):
-        words = F.broadcast(table.select(F.col("word").alias(f"__w{n}"), F.col("bits").alias(f"__b{n}")))
-        out = out.withColumn(f"__s{n}", spot).join(words, F.shiftright(F.col(f"__s{n}"), 6) == F.col(f"__w{n}"))
+    for n, spot in enumerate(_spots(key, words)):
+        own = F.broadcast(table.select(F.col("word").alias(f"__w{n}"), F.col("bits").alias(f"__b{n}")))
+        out = out.withColumn(f"__s{n}", spot).join(own, F.shiftright(F.col(f"__s{n}"), 6) == F.col(f"__w{n}"))
         out = out.where(F.expr(f"shiftrightunsigned(__b{n}, cast(__s{n} & 63 as int)) & 1") == 1)
     return out.select(*df.columns)

@@ -192,6 +192,46 @@ def test_embedding_estimates_jaccard():
         assert abs(np.mean(errors)) < 0.04
 
 
+@pytest.mark.parametrize("few", [256, 4])
+def test_recall_of_pairs_near_the_threshold(spark, few, monkeypatch):
+    """Single pairs with 0.80 to 0.85 in common, among texts that all share a passage, so that paths are split."""
+    monkeypatch.setattr(chosen_path, "FEW", few)
+    monkeypatch.setattr(chosen_path, "BLOCK", 4 * few)
+    r, texts, pairs = random.Random(8), [], set()
+    common = [f"c{k}" for k in range(60)]
+    while len(pairs) < 150:
+        w = [f"w{r.randint(0, 10**6)}" for _ in range(140)]
+        v = list(w)
+        for at in r.sample(range(len(w)), 4):
+            v[at] = f"e{r.randint(0, 10**6)}"
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (common + w, common + v))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.85:
+            pairs.add((len(texts), len(texts) + 1))
+            texts += [" ".join(common + w), " ".join(common + v)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in chosen_path.jaccard_join(df).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) / len(pairs) >= 0.97
+    assert len(set(got.values())) >= len(pairs)
+
+
+def test_jaccard_join_without_ids(spark):
+    texts = near_copies(30, 4)
+    links, _ = jaccard_classes(texts + texts[:5])
+    df = spark.createDataFrame([(None, t) for t in texts + texts[:5]], "doc_id long, text string")
+    got = chosen_path.jaccard_join(df).collect()
+    assert sorted(x.n_links for x in got) == sorted(links) and all(x.class_id is None for x in got)
+    a, b = thue_morse()
+    got = chosen_path.jaccard_join(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()
+    assert [x.n_links for x in got] == [0, 0]
+
+
+def test_the_row_that_stays_is_always_the_same(spark):
+    rows = [(1, "a text of five or more words", f"lang{k}", f"source{k % 3}") for k in range(40)]
+    schema = "doc_id long, text string, lang string, source string"
+    got = {tuple(chosen_path.deduplicated(spark.createDataFrame(rows[k:] + rows[:k], schema).repartition(3)).collect()[0]) for k in (0, 11, 23)}
+    assert len(got) == 1
+
+
 def test_one_row_of_each_class_stays(spark, odd):
     kept = chosen_path.deduplicated(odd)
     assert kept.columns == odd.columns
@@ -231,10 +271,9 @@ def plain_model(train, order):
     return chance
 
 
-@pytest.mark.parametrize(("tokens", "order", "bits"), [(3_000_000, 3, 64), (1500, 3, 64), (1500, 3, 40), (1500, 2, 64)])
-def test_kneser_ney(spark, docs, rows, tokens, order, bits, monkeypatch):
+@pytest.mark.parametrize(("tokens", "order"), [(3_000_000, 3), (1500, 3), (1500, 2)])
+def test_kneser_ney(spark, docs, rows, tokens, order, monkeypatch):
     monkeypatch.setattr(kneser_ney, "RANGE_TOKENS", tokens)
-    monkeypatch.setattr(kneser_ney, "KEY_BITS", bits)
     got = {r.doc_id: r for r in kneser_ney.kneser_ney(docs, remainder("doc_id", 5) != 1, order=order).collect()}
     train = [[*words(t), "\0end"] for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
     uni = collections.Counter(w for s in train for w in s)
@@ -251,11 +290,27 @@ def test_kneser_ney(spark, docs, rows, tokens, order, bits, monkeypatch):
         assert sum(chance(h[-order + 1 :], b) for b in uni) + chance(h[-order + 1 :], "unknown") == pytest.approx(1)
 
 
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 300)), max_size=60), st.sampled_from([9, 64]))
+@settings(max_examples=100, deadline=None)
+def test_sums_and_searches(grams, bits):
+    before, kneser_ney.KEY_BITS, kneser_ney.LONG = (kneser_ney.KEY_BITS, kneser_ney.LONG), bits, 5
+    try:
+        context, word = (np.array([g[k] for g in grams], np.uint64) for k in (0, 1))
+        c, w, n = kneser_ney.summed(context, word, np.ones(len(grams), np.int64), 9)
+        assert list(zip(c.tolist(), w.tolist(), n.tolist(), strict=True)) == [(*g, k) for g, k in sorted(collections.Counter(grams).items())]
+        if len(c):
+            first, wanted = np.repeat(np.arange(7), 302), np.tile(np.arange(302), 7).astype(np.uint64)
+            low, high = np.searchsorted(c, first.astype(np.uint64)), np.searchsorted(c, first.astype(np.uint64), "right")
+            at, there = kneser_ney.found_in(w, low, high, wanted)
+            assert {(int(c[k]), int(w[k])) for k in at[there]} == set(grams) and int(there.sum()) == len(set(grams))
+    finally:
+        kneser_ney.KEY_BITS, kneser_ney.LONG = before
+
+
 def test_model_of_frequent_words(spark, monkeypatch):
     """Counts over a byte, contexts of many followers, a word cut between ranges; words that hash alike modulo 2**64."""
     monkeypatch.setattr(kneser_ney, "RANGE_TOKENS", 400)
     monkeypatch.setattr(kneser_ney, "OPEN_FILES", 3)
-    monkeypatch.setattr(kneser_ney, "LONG", 20)
     r = random.Random(2)
     texts = ["the cat " * 300, *(" ".join(["the"] + [f"w{r.randint(0, 60)}" for _ in range(3)] + ["the", "cat", f"x{r.randint(0, 400)}"]) for _ in range(600)), " ".join(thue_morse()), thue_morse()[0], "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -554,11 +609,13 @@ def test_components(spark):
         assert {r.node: r.root for r in shared.components(df, "test", few).collect()} == want
 
 
-def test_bloom_loses_nothing(spark):
+def test_bloom_loses_nothing(spark, monkeypatch):
     df = spark.range(5000).select(F.xxhash64("id").alias("k"))
     some = df.where("k % 50 = 0")
-    kept = shared.maybe_in(df, F.col("k"), shared.bloom(some))
-    assert kept.join(some, "k", "left_semi").count() == some.count() and kept.count() < some.count() + 50
+    kept = shared.only_in(df, F.col("k"), some, some.count())
+    assert kept.join(some, "k", "left_semi").count() == some.count() and kept.count() < some.count() + 200
+    monkeypatch.setattr(shared, "BLOOM_WORDS", 8)
+    assert shared.only_in(df, F.col("k"), some, some.count()).count() == 5000
 
 
 @pytest.mark.parametrize("block", [4096, 64])
