@@ -15,7 +15,7 @@ Defined cases: a vector that is null, zero or has null or non-finite
 components, or a null label, links with nothing and is its own component; rows
 with equal vector and label link with each other, also with equal ids, and a
 component's id is its smallest vec_id; a null id has its own result row; an
-empty table gives an empty one.
+empty table gives an empty one; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +31,16 @@ from plumbline.llm.shared import block_pairs, components, stored
 
 COSINE = 0.98
 BLOCK = 2048
-#: Rows of the k-means sample, wanted rows of a cell, cells at most, rounds.
-SAMPLE, CELL, CELLS, ROUNDS = 20_000, 2000, 1024, 8
+#: Rows of the k-means sample at least, wanted rows of a cell, sampled rows a cell, rounds.
+SAMPLE, CELL, SAMPLE_OF_CELL, ROUNDS = 20_000, 2000, 4, 8
+#: Products of vectors and centroids that a task holds at a time.
+PRODUCTS = 4 << 20
+
+
+def dense(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column end to end, and len+1 offsets into them."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -50,12 +58,13 @@ def usable(df: DataFrame, vector: str) -> F.Column:
 def unit_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the last column, an array of doubles, by a binary of the vector scaled to length one."""
     for batch in batches:
-        out = []
-        for v in batch.columns[-1]:
-            x = np.asarray(v.values, np.float64)
-            x = x / np.abs(x).max()
-            out.append((x / np.sqrt(x @ x)).tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], batch.schema.names)
+        flat, offsets = dense(batch.columns[-1])
+        if batch.num_rows:
+            of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            flat = flat / np.maximum.reduceat(np.abs(flat), offsets[:-1])[of]
+            flat = flat / np.sqrt(np.add.reduceat(flat * flat, offsets[:-1]))[of]
+        raw = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(flat)])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], raw], batch.schema.names)
 
 
 def centroids(sample: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
@@ -74,19 +83,25 @@ def centroids(sample: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
 
 
 def fit_cells(nodes: DataFrame) -> np.ndarray:
-    """Centroids for the largest label's number of nodes, from a bounded sample of unit vectors."""
+    """Centroids for the largest label's number of nodes, from a sample of unit vectors.
+
+    Cells have about ``CELL`` nodes of that label; from ``CELL`` squared nodes
+    on there are as many cells as a cell has nodes, the square root, so neither
+    the centroids, which all tasks get, nor the sample grow faster than that.
+    """
     sizes = nodes.groupBy("label", F.length("vec").alias("n")).count().agg(F.sum("count"), F.max("count")).first()
     total, most = int(sizes[0] or 0), int(sizes[1] or 0)
     if not total:
         return np.zeros((0, 0))
-    part = int(min(1.0, SAMPLE / total) * (1 << 30))
+    cells = max(1, min(most // CELL, int(most**0.5)))
+    part = int(min(1.0, max(SAMPLE, SAMPLE_OF_CELL * cells) / total) * (1 << 30))
     picked = nodes.where(F.pmod(F.xxhash64(F.lit(11), F.col("node")), F.lit(1 << 30)) < part).select("node", "vec").collect()
     by_size: dict[int, list] = {}
     for r in sorted(picked):
         by_size.setdefault(len(r.vec), []).append(np.frombuffer(bytes(r.vec), np.float64))
     if not by_size:
         return np.zeros((0, 0))
-    return centroids(np.array(max(by_size.values(), key=len)), max(1, min(CELLS, most // CELL)))
+    return centroids(np.array(max(by_size.values(), key=len)), cells)
 
 
 def embedding_dedup(vectors: DataFrame, vector: str = "embedding", label: str = "label", key: str = "vec_id", cosine: float = COSINE, name: str = "embedding_dedup") -> DataFrame:
@@ -105,16 +120,18 @@ def embedding_dedup(vectors: DataFrame, vector: str = "embedding", label: str =
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        gap = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T))) if len(c) else c
         for batch in batches:
             vecs = batch.column(3).to_pylist()
             like = np.array([len(x) == c.shape[1] * 8 for x in vecs], bool)
             cells = [(np.full(int((~like).sum()), -1), np.flatnonzero(~like), np.ones(int((~like).sum()), bool))]
-            at = np.flatnonzero(like)
-            if len(at):
+            every = np.flatnonzero(like)
+            step = max(1, PRODUCTS // max(len(c), 1))
+            for a in range(0, len(every), step):
+                at = every[a : a + step]
                 dots = matrix(pa.array([vecs[i] for i in at])) @ c.T
                 own = dots.argmax(1)
-                visit = dots[np.arange(len(at)), own][:, None] - dots <= reach * gap[own] + 1e-12
+                gap = np.sqrt(np.maximum(0, 2 - 2 * (c[own] @ c.T)))
+                visit = dots[np.arange(len(at)), own][:, None] - dots <= reach * gap + 1e-12
                 visit[np.arange(len(at)), own] = True
                 i, cell = np.nonzero(visit)
                 cells.append((cell, at[i], cell == own[i]))

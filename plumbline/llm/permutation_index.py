@@ -1,13 +1,16 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are a bounded, hashed sample of the vectors.  Every vector is stood for
-by its ``PREFIX`` nearest pivots in order.  In a block of the index each pivot
-has an inverted file of (row, place).  For prefixes of length m the induced
-footrule distance of two vectors is a constant less twice the sum of m -
-max(place, place') over the pivots they share, so walking the files of the
-queries' pivots ranks a block's rows.  The nearest ``SHARE`` of a block (``LEAST``
-times the wanted neighbours, if that's more), with all ties at the border, are
-reranked by the inner product.
+Pivots are a bounded, hashed sample of the vectors, scaled to length one.
+Every vector is stood for by its ``PREFIX`` nearest pivots in order.  In a
+block of the index each pivot has an inverted file of (row, place).  For
+prefixes of length m the induced footrule distance of two vectors is a constant
+less twice the sum of m - max(place, place') over the pivots they share, so
+walking the files of the queries' pivots ranks a block's rows.  A footrule
+stands for an angle; where lengths differ, a straight line fitted to some
+exact cosines of the block turns it into one, and rows are ranked by that times
+their length.  The first ``SHARE`` of a block (``LEAST`` times the wanted
+neighbours, if that's more), with all ties at the border, are reranked by the
+inner product.
 
 Queries are a stated set of rows; blocks of queries meet blocks of the index,
 and a block gives ``k`` rows a query at most.
@@ -16,7 +19,8 @@ Defined cases: vectors that are null, zero or hold null or non-finite
 components take no part, nor do those of another length than most; rows that
 share an id are all in the index, but as queries they count once (the one with
 the smallest vector) and never as their own neighbours; a null id is no query
-and no candidate; ties go to the smaller id; an empty table gives an empty one.
+and no candidate; ties go to the smaller id; an empty table gives an empty one;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.embedding_dedup import usable
+from plumbline.llm.embedding_dedup import dense, usable
 from plumbline.llm.shared import stored
 
-PIVOTS, PREFIX, SHARE = 512, 64, 0.1
+PIVOTS, PREFIX, SHARE = 512, 64, 0.2
 INDEX_BLOCK, QUERY_BLOCK = 4096, 1024
 #: Rows of a block that are reranked at least, by wanted neighbours.
-LEAST = 40
+LEAST = 10
+#: Queries and rows from whose products the line is fitted.
+FITTED = (32, 256)
 
 
 def footrule_scores(queries: np.ndarray, rows: np.ndarray, pivots: int) -> np.ndarray:
@@ -53,6 +59,18 @@ def footrule_scores(queries: np.ndarray, rows: np.ndarray, pivots: int) -> np.nd
     return out
 
 
+def by_length(scores: np.ndarray, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Estimates of the inner products by the scores, up to a factor for each query; the scores where all rows have one length."""
+    lengths = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    if lengths.max() <= lengths.min() * (1 + 1e-5):
+        return scores
+    a, b = FITTED
+    some = rows[:b] / lengths[:b, None]
+    asked = queries[:a] / np.sqrt(np.einsum("ij,ij->i", queries[:a], queries[:a]))[:, None]
+    slope, base = np.polyfit(scores[:a, :b].ravel().astype(np.float64), (asked @ some.T).ravel(), 1)
+    return ((base + max(slope, 1e-9) * scores) * lengths[None, :]).astype(np.float32)
+
+
 def search(queries: DataFrame, index: DataFrame, pivots: np.ndarray, k: int, share: float = SHARE, prefix: int = PREFIX, name: str = "permutation_index") -> DataFrame:
     """(query_id, vec_id, score): ``k`` rows a query and block at most; both inputs have (id, vec: array of doubles)."""
     shared = index.sparkSession.sparkContext.broadcast(pivots)
@@ -61,10 +79,10 @@ def search(queries: DataFrame, index: DataFrame, pivots: np.ndarray, k: int, sha
     def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
-            vecs = [np.asarray(v.values, np.float64) for v in batch.column(1)]
-            like = np.array([len(v) == p.shape[1] for v in vecs], bool)
+            flat, offsets = dense(batch.column(1))
+            like = np.diff(offsets) == p.shape[1]
             part = batch.filter(pa.array(like))
-            x = np.array([v for v, ok in zip(vecs, like, strict=True) if ok]).reshape(-1, p.shape[1])
+            x = flat[np.repeat(like, np.diff(offsets))].reshape(-1, p.shape[1])
             near = np.argsort(-(x @ p.T), 1, kind="stable")[:, :m].astype(np.int16)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v.tobytes() for v in near], pa.binary())], ["id", "vec", "prefix"])
 
@@ -90,7 +108,7 @@ def search(queries: DataFrame, index: DataFrame, pivots: np.ndarray, k: int, sha
         if qid and xid:
             ids = np.array(xid)
             keep = min(len(ids), max(LEAST * k, int(np.ceil(share * len(ids)))))
-            scores = footrule_scores(qp, xp, len(shared.value))
+            scores = by_length(footrule_scores(qp, xp, len(shared.value)), q, x)
             for i, own in enumerate(qid):
                 least = np.partition(scores[i], len(ids) - keep)[len(ids) - keep]
                 c = np.flatnonzero((scores[i] >= least) & (ids != own))
@@ -116,6 +134,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "em
     sample = np.unique(np.array([r.vec for r in picked if len(r.vec) == usual], np.float64).reshape(-1, usual), axis=0) if usual else np.zeros((0, 0))
     if len(sample):
         sample = sample[np.random.default_rng(1).permutation(len(sample))[:pivots]]
+        sample = sample / np.abs(sample).max(1)[:, None]
+        sample /= np.sqrt(np.einsum("ij,ij->i", sample, sample))[:, None]
     if not len(sample):
         kind = index.schema["id"].dataType.simpleString()
         return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")

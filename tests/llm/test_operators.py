@@ -640,6 +640,19 @@ def test_nearest_neighbours(spark, block, monkeypatch):
     assert len(got) == 75 and hits / (75 * 20) >= 0.9
 
 
+@pytest.mark.parametrize("spread", [0.3, 1.0])
+def test_recall_with_unequal_lengths(spark, spread):
+    """The measure is the inner product, so long vectors are near to many."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(6000, 32)) * np.exp(r.normal(size=6000) * spread)[:, None]
+    df = spark.createDataFrame([(k, [float(v) for v in p]) for k, p in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for q in permutation_index.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got[q.query_id].add(q.vec_id)
+    hits = [len(got[k] & set([j for j in np.argsort(-(x @ x[k])).tolist() if j != k][:20])) / 20 for k in range(0, 6000, 20)]
+    assert np.mean(hits) >= 0.9
+
+
 def test_recall_on_the_tables(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = sorted((r.vec_id, r.embedding) for r in df.collect())
