@@ -19,8 +19,8 @@ function stays short at any rate.
 Defined cases: a null source is a source of its own; a source without a weight
 in ``weights`` gets none and its rows go; rows that share an id, or have none,
 and equal rows too, are drawn independently; a null id or text hashes as an
-empty one; an empty table gives an empty one; a column ``copy`` of the input is
-replaced, other columns keep their names and values.
+empty one; an empty table gives an empty one; a column of the input named as
+``copy`` is replaced, others keep their names and values.
 """
 
 from __future__ import annotations
@@ -85,13 +85,14 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
     return single.unionByName(steps.withColumn("number", number).select(*rows.columns, "number"))
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", key: str = "doc_id", size: float = 1.0, seed: int = 2024, text: str = "text", name: str = "mixing") -> DataFrame:
-    """``docs`` with each row repeated, and ``copy`` (from 1), in a global random order.
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", key: str = "doc_id", size: float = 1.0, seed: int = 2024, text: str = "text", name: str = "mixing", copy: str | None = "copy") -> DataFrame:
+    """``docs`` with each row repeated, and its number ``copy`` (from 1), in a global random order.
 
     ``weights`` (source, weight) are targets by rows; without them all sources weigh the same.
+    With no name for ``copy`` the columns stay those of ``docs``.
     """
     table = rates(docs, source, weights, size)
-    columns = [docs[c] for c in docs.columns if c.lower() != "copy"]
+    columns = [docs[c] for c in docs.columns if copy is None or c.lower() != copy.lower()]
     whole = F.struct(*columns)
     id_text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(docs[key].cast("string"), F.lit("")), F.md5(F.coalesce(docs[text].cast("string"), F.lit(""))))
     rows = docs.select(whole.alias("row"), docs[source].alias("own"), id_text.alias("id_text"), F.xxhash64(F.lit(1), whole).alias("h1"), F.xxhash64(F.lit(2), whole).alias("h2"))
@@ -101,9 +102,10 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, source: str =
         lambda part: F.size(F.filter("cdf", lambda p: p < uniform(F.col("id_text"), F.col("number"), part))),
     )
     counted = joined.select("row", "h1", "h2", "number", F.aggregate(draws, F.lit(0), lambda a, b: a + b).alias("copies")).where("copies > 0")
-    spread = counted.select("row", "h1", "h2", "number", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    order = F.xxhash64(F.lit(seed + 1), F.col("h1"), F.col("h2"), F.col("number"), F.col("copy"))
-    return spread.withColumn("order", order).repartition("order").sortWithinPartitions("order").select("row.*", "copy")
+    spread = counted.select("row", "h1", "h2", "number", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth"))
+    order = F.xxhash64(F.lit(seed + 1), F.col("h1"), F.col("h2"), F.col("number"), F.col("nth"))
+    out = spread.withColumn("order", order).repartition("order").sortWithinPartitions("order")
+    return out.select("row.*", *([F.col("nth").alias(copy)] if copy else []))
 
 
 ORACLE = """

@@ -6,13 +6,16 @@ weight of their logarithmic count, the whole scaled to length one.  Training
 is FTRL-proximal (per-coordinate rates, L1 and L2) over a bounded sample of
 labelled rows in one task; scoring is a sparse dot product in every task.
 
-The sample: labelled training rows in the order of a hash of their id, about
-``sample_rows`` of them.  Below that bound all are taken.
+The sample: labelled training ids by a hash of the id, about ``sample_rows`` of
+them, and of each id one row, that with the smallest hash of its text.  Below
+that bound all are taken.
 
 Defined cases: a null or empty text has only the bias and gets its score;
 rows whose label is null are not learned from; a document labelled more than
 once counts with its lower label; with no labelled row every score is 0.5;
-repeated rows give repeated results; long texts are scored whole.
+repeated rows give repeated results; long texts are scored whole; an empty
+table gives an empty one; other columns of both tables, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -100,7 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", k
     count = max(1, known.count())
     part = min(1.0, s.sample_rows / count)
     known = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(s.seed)), F.lit(1 << 20)) < int(part * (1 << 20)))
-    rows = small_batches(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(known, "doc_id").select("doc_id", "text", "label"))
+    every = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(known, "doc_id")
+    rows = small_batches(every.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("label").alias("label")))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -683,6 +683,69 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([g >= 0.3 for g in good]) > 0.97 and all(0 <= s <= 1 for s, _ in got)
 
 
+def plain_features(text, bits=18):
+    """Slots with values of length one, by regular expression and counting."""
+    found = [m[0] for m in re.finditer(r"[a-zA-Z\x80-\U0010ffff]+|[0-9]+|([^\x20\x09-\x0d])\1*", text or "")]
+    hashed = []
+    for t in found:
+        raw = np.frombuffer("".join(c.lower() if "A" <= c <= "Z" else c for c in t).encode(), np.uint8)
+        hashed.append(int(tb.hash_ranges(raw, np.array([0]), np.array([len(raw)]))[0]) + (sum("A" <= c <= "Z" for c in t) > 1))
+    slot = lambda h: int(tb.mix(np.array([h % 2**64], np.uint64))[0])
+    slots = [slot(h) >> 64 - bits for h in hashed] + [slot(a * 3 + b) >> 64 - bits for a, b in zip(hashed, hashed[1:], strict=False)]
+    values = {k: 1 + math.log(n) for k, n in collections.Counter(slots).items()}
+    size = math.sqrt(sum(v * v for v in values.values()))
+    return {k: v / size for k, v in values.items()}
+
+
+def plain_training(rows, s):
+    """FTRL-proximal by dictionaries, a row at a time."""
+    z, n, bias, weight = collections.Counter(), collections.Counter(), 1 << s.bits, {}
+
+    def w(k):
+        return 0.0 if abs(z[k]) <= s.l1 else (math.copysign(s.l1, z[k]) - z[k]) / ((s.beta + math.sqrt(n[k])) / s.alpha + s.l2)
+
+    order = np.random.default_rng(s.seed)
+    for _ in range(s.epochs):
+        for i in order.permutation(len(rows)):
+            x, label = {**rows[i][0], bias: 1.0}, rows[i][1]
+            weight = {k: w(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(weight[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - label) * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / s.alpha * weight[k]
+                n[k] += g * g
+    return {k: w(k) for k in z}
+
+
+@given(st.lists(st.text(alphabet="abAB12 .!\n\té漢", max_size=40), min_size=1, max_size=5))
+@settings(max_examples=100, deadline=None)
+def test_features_equal_counting(texts):
+    slots, values, bounds = quality.features(*tb.text_bytes(pa.array(texts)), 18)
+    for k, t in enumerate(texts):
+        got = dict(zip(slots[bounds[k] : bounds[k + 1]].tolist(), values[bounds[k] : bounds[k + 1]].tolist(), strict=True))
+        assert got == pytest.approx(plain_features(t))
+
+
+def test_quality_equals_a_plain_version(spark, docs, rows):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    weights = quality.fit(docs, labels, remainder("doc_id", 5) != 0)
+    sample = sorted((str(i), i, t) for i, t in rows if i in known and zlib.crc32(str(i).encode()) % 5 != 0)
+    plain = plain_training([({k: float(np.float32(v)) for k, v in plain_features(t).items()}, known[i]) for _, i, t in sample], quality.Settings())
+    for i, t in rows[:60]:
+        x = plain_features(t)
+        want = 1 / (1 + math.exp(-sum(plain.get(k, 0.0) * v for k, v in x.items()) - plain[1 << 18]))
+        got = quality.features(*tb.text_bytes(pa.array([t])), 18)
+        assert 1 / (1 + math.exp(-(weights[got[0]] @ got[1]) - weights[-1])) == pytest.approx(want, abs=1e-4), i
+
+
+def test_one_row_of_an_id_is_learned_from(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    rows = [(1, f"good text {k}") for k in range(50)] + [(2, "bad !!!")]
+    fits = [quality.fit(spark.createDataFrame(r, "doc_id long, text string"), labels, F.lit(True)) for r in (rows, rows[::-1], [*rows, *rows])]
+    assert all((f == fits[0]).all() for f in fits) and np.count_nonzero(fits[0]) < 15
+
+
 def test_training_follows_the_leader():
     s = quality.Settings(bits=4, epochs=30)
     rows = [(np.array([1]), np.array([1.0]), 1), (np.array([2]), np.array([1.0]), 0), (np.array([3]), np.array([1.0]), 1)] * 10

@@ -90,3 +90,39 @@ def test_encoding(stages, library):  # noqa: F811
 def test_run_chains_the_stages(spark, stages):
     got = sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, DATA).collect())
     assert got == sorted((r.doc_id, r.ids_sha256) for r in stages[5].collect())
+
+
+def tables(spark, folder, rows, labels):
+    """A table of documents with odd rows, and of labels."""
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copy int, id long, text_hash long, score double, label int, row string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_odd_documents(spark, tmp_path, library):  # noqa: F811
+    """Nulls, empty and very long texts, repeated rows, equal ids and clashing names go through all stages."""
+    extra = [None] * 6
+    rows = [
+        (1, "One two three four five six seven eight nine ten.", "en", "a", 5, *extra), (1, "One two three four five six seven eight nine ten.", "en", "a", 5, *extra),
+        (1, "Another text under the same id, of some eight words or more.", "en", None, 5, *extra), (2, None, "en", "a", None, *extra), (3, "", None, None, 0, *extra), (4, " \n\t ", "de", None, 4, *extra),
+        (None, "A row without any id, of some eight words or more.", "en", "b", 1, *extra), (None, "A row without any id, of some eight words or more.", "en", "b", 1, *extra), (None, None, None, None, None, *extra),
+        (5, " ".join(f"word{k} \u00e9\u6f22" + "\n" * (k % 50 == 0) for k in range(20_000)), "en", "b", 1, *extra), (6, "x" * 70_000, None, "c", 1, *extra), (7, "12 34 !!! ??", "fr", "c", 1, *extra),
+    ]
+    folder = tables(spark, tmp_path, rows, [(1, 1, 0), (5, 1, 0), (7, None, None), (None, 1, 0)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    before = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stored(stage(spark, before, folder), "odd_stage")
+        assert after.columns == docs.columns and after.count() <= 4 * len(rows)
+        before = after
+    kept = {r.text for r in before.collect()}
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in got) == sorted((r.doc_id is None, r.doc_id or 0, len(library.encode_ordinary(r.text or ""))) for r in before.collect())
+    assert all(r.ids == [] for r in got if r.n_tokens == 0) and any(len(t or "") > 60_000 for t in kept | {"x" * 70_000})
+
+
+def test_empty_documents(spark, tmp_path):
+    folder = tables(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert all(stage(spark, docs, folder).count() == 0 for _, stage in corpus_pipeline.STAGES)
