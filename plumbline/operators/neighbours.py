@@ -3,8 +3,9 @@
 A radius join gives each point of one side its cell and each point of the
 other the cells around its own, joins on the cell and tests the distance, so
 Catalyst sees an equi-join.  Nearest neighbours come from radius joins with a
-radius that doubles for the points that haven't enough neighbours yet; against
-a side of ``FEW`` points at most (counted first) that side is broadcast.
+radius that doubles for the points that haven't enough neighbours yet.  A side
+of ``FEW`` points at most (counted first) is sent to all tasks as arrays instead,
+and a task keeps just each point's nearest of them: no pair becomes a row.
 """
 
 from __future__ import annotations
@@ -45,13 +46,50 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Distances that a task holds at a time.
+DISTANCES = 2 << 20
+
+
+def _nearest_of_few(left: DataFrame, right: DataFrame, k: int, dims: Sequence[str], itself: bool) -> DataFrame:
+    """``nearest`` against a side that was counted and is small enough for every task."""
+    table = right.toArrow().sort_by("b_pid")  # at most ``FEW`` rows
+    shared = left.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other = shared.value
+        ids = other["b_pid"].to_numpy()
+        places = [other[f"b_{d}"].to_numpy().astype(np.float64) for d in dims]
+        for batch in batches:
+            step = max(1, DISTANCES // max(len(ids), 1))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                d2 = np.zeros((part.num_rows, len(ids)))
+                for d, place in zip(dims, places, strict=True):
+                    gap = part.column(f"a_{d}").to_numpy(zero_copy_only=False)[:, None] - place[None, :]
+                    d2 += gap * gap
+                if not itself:
+                    d2[part.column("a_pid").to_numpy(zero_copy_only=False)[:, None] == ids[None, :]] = np.nan
+                d2[np.isnan(d2)] = np.inf
+                least = np.partition(d2, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1] if len(ids) else np.zeros(0)
+                row, j = np.nonzero((d2 <= least[:, None]) & (d2 < np.inf)) if len(ids) else (np.zeros(0, int), np.zeros(0, int))
+                order = np.lexsort((j, d2[row, j], row))  # candidates are in the order of their pids
+                row, j = row[order], j[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+                row, j, rank = row[rank <= k], j[rank <= k], rank[rank <= k]
+                mine, theirs = part.take(pa.array(row)), other.take(pa.array(j)).combine_chunks()
+                columns = [*mine.columns, *(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in theirs.columns), pa.array(d2[row, j]), pa.array(rank.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, [*mine.schema.names, *theirs.schema.names, "d2", "rank"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (*left.schema.fields, *right.schema.fields))
+    return left.mapInArrow(run, f"{schema}, d2 double, rank int")
+
+
 def nearest(a: DataFrame, b: DataFrame, k: int, dims: Sequence[str] = XYZ, extra: Sequence[str] = (), itself: bool = False, extra_a: Sequence[str] | None = None, few: int = FEW) -> DataFrame:
     """(a_pid, b_pid, d2, rank, ...): each point's ``k`` nearest, ties by pid; without ``itself`` a point of equal pid is left out."""
     own = F.lit(True) if itself else F.col("a_pid") != F.col("b_pid")
     size = b.count()
     if size <= few:
-        left, right = _side(a, "a", dims, extra if extra_a is None else extra_a), _side(b, "b", dims, extra)
-        return _nearest(left.join(F.broadcast(right), own).withColumn("d2", distance2("a_", "b_", dims)), k)
+        return _nearest_of_few(_side(a, "a", dims, extra if extra_a is None else extra_a), _side(b, "b", dims, extra), k, dims, itself)
     box = b.agg(*[f(d).alias(f"{n}{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
     both = a.select(*dims).unionByName(b.select(*dims)).agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims]).first()
     extents = [max(float(box[f"hi{d}"] - box[f"lo{d}"]), 1e-9) for d in dims]

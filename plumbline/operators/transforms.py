@@ -190,7 +190,7 @@ def straighten(df: DataFrame, polyline: Sequence[Sequence[float]], offset: float
             options.append(F.when(inside, F.struct(F.lit(0.0).alias("d"), F.lit(k).alias("k"), (t * ux - y * uy + ax).alias("X"), (t * uy + y * ux + ay).alias("Y"), (z + t / length * dz + az).alias("Z"))))
         else:
             t = F.least(F.greatest((x - ax) * ux + (y - ay) * uy, F.lit(0.0)), F.lit(length))
-            d = F.pow(x - ax - t * ux, 2) + F.pow(y - ay - t * uy, 2)
+            d = F.round(F.pow(x - ax - t * ux, 2) + F.pow(y - ay - t * uy, 2), 9)  # at a corner both segments are as near: the first one counts
             options.append(F.struct(d.alias("d"), F.lit(k).alias("k"), (t + station).alias("X"), ((y - ay) * ux - (x - ax) * uy).alias("Y"), (z - az - t / length * dz).alias("Z")))
     best = F.array_min(F.array(*options))
     return df.withColumn("__s", best).withColumns({d: F.col(f"__s.{d}") for d in geo.XYZ}).drop("__s")

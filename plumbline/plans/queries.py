@@ -42,11 +42,13 @@ n AS (SELECT depth, nx, ny, nz, ((depth::BIGINT << 57) | (nx << 38) | (ny << 19)
  greatest(max("X") - min("X"), max("Y") - min("Y"), max("Z") - min("Z")) AS extent, count(*) AS point_count FROM nc GROUP BY ALL)""",
     "k": """kn AS (SELECT a.pid AS a, b.pid AS b, b."Z" AS bz, b."Classification" AS bc, a."Z" AS az, a."X" - b."X" AS dx, a."Y" - b."Y" AS dy, a."Z" - b."Z" AS dz FROM e a JOIN e b ON a.pid <> b.pid),
 k AS (SELECT a, b, bc, dx * dx + dy * dy + dz * dz AS d2, row_number() OVER (PARTITION BY a ORDER BY dx * dx + dy * dy + dz * dz, b) AS rank FROM kn)""",
+    "ki": """ki0 AS (SELECT a.pid AS a, b.pid AS b, b."X" - a."X" AS x, b."Y" - a."Y" AS y, b."Z" - a."Z" AS z FROM e a, e b),
+ki AS (SELECT *, x * x + y * y + z * z AS d2, row_number() OVER (PARTITION BY a ORDER BY x * x + y * y + z * z, b) AS rank FROM ki0)""",
     "m": """m0 AS (SELECT p.*, min("X") OVER () AS ax, max("X") OVER () AS bx, min("Y") OVER () AS ay, max("Y") OVER () AS by_, min("Z") OVER () AS az, max("Z") OVER () AS bz FROM p),
 m1 AS (SELECT *, floor(("X" - ax) * (1023.0 / greatest(bx - ax, 1e-6)))::BIGINT AS gx, floor(("Y" - ay) * (1023.0 / greatest(by_ - ay, 1e-6)))::BIGINT AS gy, floor(("Z" - az) * (1023.0 / greatest(bz - az, 1e-6)))::BIGINT AS gz FROM m0),
 m AS (SELECT *, list_sum([(((gx >> b) & 1) << (3 * b + 2)) + (((gy >> b) & 1) << (3 * b + 1)) + (((gz >> b) & 1) << (3 * b)) for b in range(10)])::BIGINT AS morton FROM m1)""",
 }
-NEEDS = {"p": (), "e": (), "n": ("p",), "k": ("e",), "m": ("p",)}
+NEEDS = {"p": (), "e": (), "n": ("p",), "k": ("e",), "ki": ("e",), "m": ("p",)}
 
 
 def _sql(body: str, columns: list[tuple[str, bool]]) -> str:
@@ -86,6 +88,45 @@ def query(columns: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: Eigenvalues e0 <= e1 <= e2 of the symmetric matrices (c0 c1 c2, c3 c4, c5) of ``cv``, by the cosines of a third of an angle.
+_EIGEN = """g1 AS (SELECT *, (c0 + c3 + c5) / 3 AS q FROM cv), g2 AS (SELECT *, sqrt(((c0 - q) ** 2 + (c3 - q) ** 2 + (c5 - q) ** 2 + 2 * (c1 * c1 + c2 * c2 + c4 * c4)) / 6) AS p FROM g1),
+g3 AS (SELECT *, CASE WHEN p = 0 THEN 0 ELSE ((c0 - q) * ((c3 - q) * (c5 - q) - c4 * c4) - c1 * (c1 * (c5 - q) - c4 * c2) + c2 * (c1 * c4 - (c3 - q) * c2)) / (2 * p * p * p) END AS r FROM g2),
+g4 AS (SELECT *, acos(greatest(-1, least(1, r))) / 3 AS phi FROM g3),
+g5 AS (SELECT *, q + 2 * p * cos(phi) AS e2, q + 2 * p * cos(phi + 2 * pi() / 3) AS e00 FROM g4),
+eg AS (SELECT *, greatest(e00, 0) AS e0, greatest(3 * q - e00 - e2, 0) AS e1 FROM g5)"""
+#: The unit vector of the least eigenvalue, as the longest product of two rows.
+_NORMAL = """h1 AS (SELECT *, c0 - e00 AS m0, c3 - e00 AS m3, c5 - e00 AS m5 FROM eg),
+h2 AS (SELECT *, [c1 * c4 - c2 * m3, c2 * c1 - m0 * c4, m0 * m3 - c1 * c1] AS u, [c1 * m5 - c2 * c4, c2 * c2 - m0 * m5, m0 * c4 - c1 * c2] AS v, [m3 * m5 - c4 * c4, c4 * c2 - c1 * m5, c1 * c4 - m3 * c2] AS w FROM h1),
+h3 AS (SELECT *, CASE WHEN list_dot_product(u, u) >= list_dot_product(v, v) AND list_dot_product(u, u) >= list_dot_product(w, w) THEN u WHEN list_dot_product(v, v) >= list_dot_product(w, w) THEN v ELSE w END AS t FROM h2),
+nm AS (SELECT *, t[1] / sqrt(list_dot_product(t, t)) AS nx, t[2] / sqrt(list_dot_product(t, t)) AS ny, t[3] / sqrt(list_dot_product(t, t)) AS nz FROM h3)"""
+
+
+def _cov(group: str, source: str, by: str = "greatest(count(*) - 1, 1)") -> str:
+    """``cv``: covariances of offsets x, y, z by group."""
+    pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
+    return f"cv AS (SELECT {group}, " + ", ".join(f"(sum({a} * {b}) - count(*) * avg({a}) * avg({b})) / {by} AS c{k}" for k, (a, b) in enumerate(pairs)) + f", avg(x) AS mx, avg(y) AS my, avg(z) AS mz, sqrt(max(d2)) AS reach FROM {source} GROUP BY {group})"
+
+
+def _greedy(order: str, near: str, source: str = "e", n: str = "") -> str:
+    """``gr``: the pids that a scan of the source in the order keeps, as none kept before is ``near`` (of a, b)."""
+    return f"""go{n} AS (SELECT *, row_number() OVER (ORDER BY {order}) AS i FROM {source}), gc{n} AS (SELECT a.i, a.pid, coalesce(list(b.pid) FILTER (b.pid IS NOT NULL), []) AS conflicts FROM go{n} a LEFT JOIN go{n} b ON b.i < a.i AND {near} GROUP BY a.i, a.pid),
+gs{n}(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT c.i, CASE WHEN list_has_any(kept, conflicts) THEN kept ELSE list_append(kept, pid) END FROM gs{n} s JOIN gc{n} c ON c.i = s.i + 1),
+gr{n} AS (SELECT unnest(kept) AS pid FROM (SELECT kept FROM gs{n} ORDER BY i DESC LIMIT 1))"""
+
+
+_D2 = '(a."X" - b."X") * (a."X" - b."X") + (a."Y" - b."Y") * (a."Y" - b."Y") + (a."Z" - b."Z") * (a."Z" - b."Z")'
+_HASH = lambda seed, pid="pid": f"('0x' || substr(md5('{seed}:' || {pid}), 1, 15))::BIGINT"
+
+
+def _farthest(k: int) -> str:
+    """``f1`` to ``fk``: points of ``e`` chosen as farthest from those before, with ``fps``."""
+    parts = ['f1 AS MATERIALIZED (SELECT *, 0 AS fps FROM e ORDER BY pid LIMIT 1)', "d1 AS MATERIALIZED (SELECT e.*, (e.\"X\" - f.\"X\") * (e.\"X\" - f.\"X\") + (e.\"Y\" - f.\"Y\") * (e.\"Y\" - f.\"Y\") + (e.\"Z\" - f.\"Z\") * (e.\"Z\" - f.\"Z\") AS d FROM e, f1 f)"]
+    for n in range(2, k + 1):
+        parts.append(f'f{n} AS MATERIALIZED (SELECT * EXCLUDE (d), {n - 1} AS fps FROM d{n - 1} ORDER BY d DESC, pid LIMIT 1)')
+        parts.append(f'd{n} AS MATERIALIZED (SELECT a.* EXCLUDE (d), least(a.d, {_D2}) AS d FROM d{n - 1} a, f{n} b)')
+    return ", ".join(parts)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -373,12 +414,22 @@ def quantise_coordinates(spark: SparkSession, d: str) -> DataFrame:
     return tr.quantised(points(spark, d), 0.01)
 
 
-@query("pid Red Green Blue")
+_RAMP = {"Red": [110, 160, 245, 230], "Green": [160, 220, 235, 140], "Blue": [220, 160, 150, 110]}
+
+
+@query("pid Red Green Blue", f"""WITH b AS (SELECT min("Y") AS lo, max("Y") AS hi FROM p), k AS (SELECT pid, floor(("Y" - lo) / (hi - lo) * 255 + 0.5)::INT AS k FROM p, b), s AS (SELECT pid, least(k // 85, 2) AS s, (k - 85 * least(k // 85, 2)) / 85.0 AS f FROM k) ;;
+SELECT pid, {", ".join(f'round({v}[s + 1] + ({v}[s + 2] - {v}[s + 1]) * f)::INT AS "{c}"' for c, v in _RAMP.items())} FROM s /* FROM p */""")
 def colour_ramp(spark: SparkSession, d: str) -> DataFrame:
     return tr.colour_ramp(points(spark, d), "Y", clamp=True)
 
 
-@query("pid X* Y* Z*")
+_A, _B = 2000**0.5, 5800**0.5  # lengths of the two segments
+_STATION = lambda n, ax, ay, az, dx, dy, dz, size, at: f"""t{n} AS (SELECT pid, "X" - {ax} AS x, "Y" - {ay} AS y, "Z" - {az} AS z FROM p), u{n} AS (SELECT *, least(greatest((x * {dx} + y * {dy}) / {size!r}, 0), {size!r}) AS t FROM t{n}),
+v{n} AS (SELECT pid, round((x - t * {dx} / {size!r}) ** 2 + (y - t * {dy} / {size!r}) ** 2, 9) AS d, {n} AS n, t + {at!r} AS "X", (y * {dx} - x * {dy}) / {size!r} AS "Y", z - t / {size!r} * {dz} AS "Z" FROM u{n})"""
+
+
+@query("pid X* Y* Z*", f"""WITH {_STATION(0, 0, 0, 0, 20, 40, 1, _A, 0.0)}, {_STATION(1, 20, 40, 1, 30, 70, 2, _B, _A)}, w AS (SELECT * FROM v0 UNION ALL SELECT * FROM v1) ;;
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, n) AS rn FROM w) WHERE rn = 1 /* FROM p */""")
 def straighten(spark: SparkSession, d: str) -> DataFrame:
     return tr.straighten(points(spark, d), [(0, 0, 0), (20, 40, 1), (50, 110, 3)])
 
@@ -487,7 +538,7 @@ def scan_lines(spark: SparkSession, d: str) -> DataFrame:
     return agg.separate_scan_lines(df, 3)
 
 
-@query("chips points smallest", None)
+@query("chips points smallest", "SELECT (2 ** ceil(log2(count(*) / 2000.0)))::BIGINT AS chips, count(*) AS points, true AS smallest FROM p")
 def chipper(spark: SparkSession, d: str) -> DataFrame:
     sizes = agg.chip(points(spark, d), 2000).groupBy("chip").agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(F.count(F.lit(1)).alias("chips"), F.sum("n").alias("points"), (F.max("n") <= 2000).alias("smallest"))
@@ -526,19 +577,18 @@ def stac_properties(spark: SparkSession, d: str) -> DataFrame:
 # --- orders and sets ---------------------------------------------------------------
 
 
-@query("pid Z* Y*", 'SELECT * FROM p ORDER BY "Z" DESC, "Y", pid LIMIT 500')
-def sort_multi(spark: SparkSession, d: str) -> DataFrame:
-    return sorting.sort(points(spark, d), "Z DESC, Y").limit(500)
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """(pid, ordinal): the place of each row in the whole frame, by the rows of the partitions before its own and those before it there."""
+    at = stored(df.select(PID, F.monotonically_increasing_id().alias("at")), name)
+    part = F.shiftright("at", 33)
+    sizes = at.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row a partition
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return at.join(F.broadcast(before), part == F.col("part")).select(PID, (F.col("at") - F.shiftleft("part", 33) + F.col("before")).alias("ordinal"))
 
 
 @query("pid ordinal", 'SELECT pid, row_number() OVER (ORDER BY "Z" DESC, "Y", pid) - 1 AS ordinal FROM p')
-def sort_all(spark: SparkSession, d: str) -> DataFrame:
-    """The place of each row in the whole sorted frame: rows of the partitions before its own, and those before it there."""
-    placed = stored(sorting.sort(points(spark, d), "Z DESC, Y").select(PID, F.monotonically_increasing_id().alias("at")), "sort_all")
-    part = F.shiftright("at", 33)
-    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row a partition
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return placed.join(F.broadcast(before), part == F.col("part")).select(PID, (F.col("at") - F.shiftleft("part", 33) + F.col("before")).alias("ordinal"))
+def sort_multi(spark: SparkSession, d: str) -> DataFrame:
+    return placed(sorting.sort(points(spark, d), "Z DESC, Y"), "sort_multi")
 
 
 @query("n pids", 'SELECT count(*) AS n, count(DISTINCT pid) AS pids FROM (SELECT pid FROM p WHERE "X" > 20 UNION ALL SELECT pid FROM p WHERE "Y" > 50)')
@@ -553,22 +603,31 @@ def label_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return sorting.label_duplicates(points(spark, d), "X, Z, Classification, PointSourceId")
 
 
-@query("n pids")
+@query("pid ordinal", f"SELECT pid, row_number() OVER (ORDER BY {_HASH(7)}, pid) - 1 AS ordinal FROM p")
 def randomize(spark: SparkSession, d: str) -> DataFrame:
-    return sorting.randomize(points(spark, d), 7).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(PID).alias("pids"))
+    return placed(sorting.randomize(points(spark, d), 7), "randomize")
 
 
-@query("pid")
+@query("pid", f"""WITH RECURSIVE {_greedy(_HASH(1) + ", pid", _D2 + " <= 0.06::DOUBLE * 0.06::DOUBLE")} ;; SELECT pid FROM gr /* FROM e */""")
 def poisson_sample(spark: SparkSession, d: str) -> DataFrame:
     return sorting.poisson_sample(cloud(spark, d), 0.06)
 
 
-@query("n")
+def _darts(count: int, radii: list[float]) -> str:
+    """``kd``: each radius adds the points that a scan keeps of those not within it of any before, as long as there are fewer than ``count``."""
+    parts = ["dk0 AS (SELECT * FROM e WHERE false)"]
+    for n, r in enumerate(radii, 1):
+        near = f"{_D2} <= {r!r}::DOUBLE * {r!r}::DOUBLE"
+        parts += [f"do{n} AS (SELECT * FROM e a WHERE (SELECT count(*) FROM dk{n - 1}) < {count} AND NOT EXISTS (SELECT 1 FROM dk{n - 1} b WHERE {near}))", _greedy(_HASH(1) + ", pid", near, f"do{n}", str(n)), f"dk{n} AS (SELECT * FROM dk{n - 1} UNION ALL SELECT * FROM e WHERE pid IN (SELECT pid FROM gr{n}))"]
+    return ", ".join([*parts, f"kd AS (SELECT * FROM dk{len(radii)})"])
+
+
+@query("pid", f"""WITH RECURSIVE {_darts(40, [0.2 * 0.8**k for k in range(7)])} ;; SELECT pid FROM kd ORDER BY {_HASH(1)}, pid LIMIT 40 /* FROM e */""")
 def dart_throwing(spark: SparkSession, d: str) -> DataFrame:
-    return sorting.dart_throwing(cloud(spark, d), 40, 0.2, 0.05).agg(F.count(F.lit(1)).alias("n"))
+    return sorting.dart_throwing(cloud(spark, d), 40, 0.2, 0.05)
 
 
-@query("pid fps")
+@query("pid fps", f"""WITH {_farthest(12)} ;; {" UNION ALL ".join(f"SELECT pid, fps FROM f{n}" for n in range(1, 13))} /* FROM e */""")
 def farthest_points(spark: SparkSession, d: str) -> DataFrame:
     return sorting.farthest_points(cloud(spark, d), 12)
 
@@ -609,25 +668,29 @@ def surface_cloud(spark: SparkSession, d: str) -> DataFrame:
     return df.select(PID, (F.col("X") * 1.0).alias("X"), (F.col("PointSourceId") % 50 * 1.0).alias("Y"), F.when(F.col("Y") > 60, F.col("X") * 0.05 + 8).otherwise(F.col("X") * 0.05).alias("Z"), F.lit(1).alias("Classification"))
 
 
-@query("Classification n")
+_SURFACE = """s AS (SELECT pid, "X", ("PointSourceId" % 50)::DOUBLE AS "Y", CASE WHEN "Y" > 60 THEN "X" * 0.05::DOUBLE + 8 ELSE "X" * 0.05::DOUBLE END AS "Z" FROM p)"""
+_OPENED = lambda n, m, r: f"""o{m} AS (SELECT a.i, a.j, min(b.h) AS h FROM g{n} a JOIN g{n} b ON abs(a.i - b.i) <= {r} AND abs(a.j - b.j) <= {r} GROUP BY a.i, a.j), g{m} AS (SELECT a.i, a.j, max(b.h) AS h FROM o{m} a JOIN o{m} b ON abs(a.i - b.i) <= {r} AND abs(a.j - b.j) <= {r} GROUP BY a.i, a.j)"""
+
+
+@query("pid Classification", f"""WITH {_SURFACE}, c AS (SELECT *, floor("X" / 2)::BIGINT AS i, floor("Y" / 2)::BIGINT AS j FROM s), g0 AS (SELECT i, j, min("Z") AS h FROM c GROUP BY i, j), {_OPENED(0, 1, 1)}, {_OPENED(1, 2, 2)} ;;
+SELECT pid, CASE WHEN "Z" - g1.h < 0.15::DOUBLE AND "Z" - g2.h < 2.5::DOUBLE THEN 2 ELSE 1 END AS "Classification" FROM c JOIN g1 USING (i, j) JOIN g2 USING (i, j) /* FROM p */""")
 def ground_pmf(spark: SparkSession, d: str) -> DataFrame:
-    return surfaces.pmf(surface_cloud(spark, d), 2.0, 5).groupBy("Classification").agg(F.count(F.lit(1)).alias("n"))
+    return surfaces.pmf(surface_cloud(spark, d), 2.0, 5)
 
 
-@query("Classification n")
+@query("pid Classification")
 def ground_smrf(spark: SparkSession, d: str) -> DataFrame:
-    return surfaces.smrf(surface_cloud(spark, d), 2.0, window=6.0).groupBy("Classification").agg(F.count(F.lit(1)).alias("n"))
+    return surfaces.smrf(surface_cloud(spark, d), 2.0, window=6.0)
 
 
-@query("Classification n")
+@query("pid Classification")
 def ground_csf(spark: SparkSession, d: str) -> DataFrame:
-    return surfaces.csf(surface_cloud(spark, d), 2.0).groupBy("Classification").agg(F.count(F.lit(1)).alias("n"))
+    return surfaces.csf(surface_cloud(spark, d), 2.0)
 
 
-@query("Classification n")
+@query("pid Classification", f"""WITH RECURSIVE {_greedy('"Z", pid', '(a."X" - b."X") * (a."X" - b."X") + (a."Y" - b."Y") * (a."Y" - b."Y") <= 0.05::DOUBLE * 0.05::DOUBLE')} ;; SELECT e.pid, CASE WHEN gr.pid IS NULL THEN 1 ELSE 2 END AS "Classification" FROM e LEFT JOIN gr USING (pid)""")
 def sparse_surface(spark: SparkSession, d: str) -> DataFrame:
-    df = cloud(spark, d).withColumn("Classification", F.lit(2))
-    return surfaces.sparse_surface(df, 0.05).groupBy("Classification").agg(F.count(F.lit(1)).alias("n"))
+    return surfaces.sparse_surface(cloud(spark, d).withColumn("Classification", F.lit(2)), 0.05)
 
 
 @query("a b c")
@@ -731,7 +794,17 @@ def hag_nn(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.height_over_ground(cloud(spark, d), 3)
 
 
-@query("pid HeightAboveGround*")
+@query(
+    "pid HeightAboveGround*",
+    """WITH n0 AS (SELECT a.pid, a."Z" AS az, b."X" - a."X" AS x, b."Y" - a."Y" AS y, b."Z" AS z, b.pid AS bp FROM e a JOIN e b ON b."Classification" = 2 AND a."Classification" <> 2),
+n1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY x * x + y * y, bp) AS r FROM n0) WHERE r <= 8),
+t AS (SELECT a.pid, a.az, a.x AS x1, a.y AS y1, a.z AS z1, b.x AS x2, b.y AS y2, b.z AS z2, c.x AS x3, c.y AS y3, c.z AS z3, a.r AS r1, b.r AS r2, c.r AS r3, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS area FROM n1 a JOIN n1 b ON a.pid = b.pid AND a.r < b.r JOIN n1 c ON c.pid = a.pid AND b.r < c.r),
+u AS (SELECT *, (x2 * y3 - y2 * x3) / area AS l1, (x3 * y1 - y3 * x1) / area AS l2, (x1 * y2 - y1 * x2) / area AS l3 FROM t WHERE area <> 0),
+v AS (SELECT * FROM u WHERE l1 >= -1e-12 AND l2 >= -1e-12 AND l3 >= -1e-12),
+w AS (SELECT v.pid, any_value(v.az - (l1 * z1 + l2 * z2 + l3 * z3)) AS h, r1, r2, r3 FROM v JOIN n1 d ON d.pid = v.pid GROUP BY v.pid, r1, r2, r3 HAVING max(CASE WHEN d.r IN (r1, r2, r3) THEN -1 ELSE sign(area) * ((x1 - d.x) * ((y2 - d.y) * ((x3 - d.x) ** 2 + (y3 - d.y) ** 2) - (y3 - d.y) * ((x2 - d.x) ** 2 + (y2 - d.y) ** 2))
+ - (y1 - d.y) * ((x2 - d.x) * ((x3 - d.x) ** 2 + (y3 - d.y) ** 2) - (x3 - d.x) * ((x2 - d.x) ** 2 + (y2 - d.y) ** 2)) + ((x1 - d.x) ** 2 + (y1 - d.y) ** 2) * ((x2 - d.x) * (y3 - d.y) - (x3 - d.x) * (y2 - d.y))) END) <= 0),
+f AS (SELECT pid, az - z AS h FROM n1 WHERE r = 1) ;; SELECT pid, 0.0::DOUBLE AS "HeightAboveGround" FROM e WHERE "Classification" = 2 UNION ALL SELECT f.pid, coalesce(any_value(w.h), any_value(f.h)) FROM f LEFT JOIN w USING (pid) GROUP BY f.pid""",
+)
 def hag_delaunay(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.height_over_triangles(cloud(spark, d), 8)
 
@@ -779,41 +852,81 @@ def eigen_trace(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.eigenvalues(cloud(spark, d), 8).agg(F.sum(F.col("Eigenvalue0") + F.col("Eigenvalue1") + F.col("Eigenvalue2")).alias("trace"))
 
 
-@query("pid Linearity* Planarity* Scattering* Anisotropy* Eigenentropy*")
+@query("pid Eigenvalue0* Eigenvalue1* Eigenvalue2*", f'WITH k8 AS (SELECT * FROM ki WHERE rank <= 8), {_cov("a", "k8")}, {_EIGEN} ;; SELECT a AS pid, e0 AS "Eigenvalue0", e1 AS "Eigenvalue1", e2 AS "Eigenvalue2" FROM eg /* FROM ki */')
+def eigenvalues(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.eigenvalues(cloud(spark, d), 8)
+
+
+@query("pid Linearity* Planarity* Scattering* Anisotropy* Eigenentropy*", f"""WITH k10 AS (SELECT * FROM ki WHERE rank <= 10), {_cov("a", "k10")}, {_EIGEN}, v AS (SELECT a, sqrt(e0) AS v2, sqrt(e1) AS v1, sqrt(e2) AS v0 FROM eg), w AS (SELECT *, v0 / (v0 + v1 + v2) AS s0, v1 / (v0 + v1 + v2) AS s1, v2 / (v0 + v1 + v2) AS s2 FROM v) ;;
+SELECT a AS pid, (v0 - v1) / v0 AS "Linearity", (v1 - v2) / v0 AS "Planarity", v2 / v0 AS "Scattering", (v0 - v2) / v0 AS "Anisotropy", -(s0 * ln(s0) + s1 * ln(s1) + CASE WHEN s2 > 0 THEN s2 * ln(s2) ELSE 0 END) AS "Eigenentropy" FROM w /* FROM ki */""")
 def eigen_features(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.covariance_features(cloud(spark, d), 10)
 
 
-@query("pid Curvature*")
+@query("pid NormalX* NormalY* NormalZ* Curvature*", f"""WITH k8 AS (SELECT * FROM ki WHERE rank <= 8), {_cov("a", "k8")}, {_EIGEN}, {_NORMAL} ;;
+SELECT a AS pid, CASE WHEN nz < 0 THEN -nx ELSE nx END AS "NormalX", CASE WHEN nz < 0 THEN -ny ELSE ny END AS "NormalY", abs(nz) AS "NormalZ", e0 / (e0 + e1 + e2) AS "Curvature" FROM nm /* FROM ki */""")
 def normals(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.normals(cloud(spark, d), 8)
 
 
-@query("pid Coplanar")
+@query("pid Coplanar", f'WITH k8 AS (SELECT * FROM ki WHERE rank <= 8), {_cov("a", "k8")}, {_EIGEN} ;; SELECT a AS pid, (e1 > e0 * 25 AND e1 * 6 > e2)::INT AS "Coplanar" FROM eg /* FROM ki */')
 def coplanar(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.coplanar(cloud(spark, d), 8)
 
 
-@query("pid Rank")
+@query("pid Rank", f'WITH k8 AS (SELECT * FROM ki WHERE rank <= 8), {_cov("a", "k8")}, {_EIGEN} ;; SELECT a AS pid, (e0 > 0.002)::INT + (e1 > 0.002)::INT + (e2 > 0.002)::INT AS "Rank" FROM eg /* FROM ki */')
 def estimate_rank(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.estimate_rank(cloud(spark, d), 8, 0.002)
 
 
-@query("pid PlaneFit*")
+@query("pid PlaneFit*", f"""WITH k8 AS (SELECT a, -dx AS x, -dy AS y, -dz AS z, dx * dx + dy * dy + dz * dz AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dx * dx + dy * dy + dz * dz, b) AS rank FROM kn) WHERE rank <= 8), {_cov("a", "k8", "count(*)")}, {_EIGEN}, {_NORMAL},
+o AS (SELECT a, abs(mx * nx + my * ny + mz * nz) AS own FROM nm), w AS (SELECT k8.a, avg(abs((x - mx) * nx + (y - my) * ny + (z - mz) * nz)) AS away FROM k8 JOIN nm ON nm.a = k8.a GROUP BY k8.a) ;; SELECT o.a AS pid, own / (own + away) AS "PlaneFit" FROM o JOIN w ON w.a = o.a /* FROM k */""")
 def plane_fit(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.plane_fit(cloud(spark, d), 8)
 
 
-@query("pid Miniball*")
+#: Smallest ball: of those through two, three or four of the points that hold all the smallest.
+@query(
+    "pid Miniball*",
+    """WITH q AS (SELECT a, rank AS r, -dx AS x, -dy AS y, -dz AS z FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dx * dx + dy * dy + dz * dz, b) AS rank FROM kn) WHERE rank <= 8),
+b2 AS (SELECT p.a, p.x + (q.x - p.x) / 2 AS x, p.y + (q.y - p.y) / 2 AS y, p.z + (q.z - p.z) / 2 AS z, sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2 + (q.z - p.z) ** 2) / 2 AS s FROM q p JOIN q ON q.a = p.a AND p.r < q.r),
+v AS (SELECT p.a, p.r, q.r AS r2, s.r AS r3, p.x AS px, p.y AS py, p.z AS pz, q.x - p.x AS ax, q.y - p.y AS ay, q.z - p.z AS az, s.x - p.x AS bx, s.y - p.y AS by_, s.z - p.z AS bz FROM q p JOIN q ON q.a = p.a AND p.r < q.r JOIN q s ON s.a = p.a AND q.r < s.r),
+v1 AS (SELECT *, ay * bz - az * by_ AS cx, az * bx - ax * bz AS cy, ax * by_ - ay * bx AS cz, ax * ax + ay * ay + az * az AS aa, bx * bx + by_ * by_ + bz * bz AS bb FROM v),
+v2 AS (SELECT *, cx * cx + cy * cy + cz * cz AS cc FROM v1),
+b3 AS (SELECT a, px, py, pz, (bb * (cy * az - cz * ay) + aa * (by_ * cz - bz * cy)) / (2 * cc) AS ux, (bb * (cz * ax - cx * az) + aa * (bz * cx - bx * cz)) / (2 * cc) AS uy, (bb * (cx * ay - cy * ax) + aa * (bx * cy - by_ * cx)) / (2 * cc) AS uz FROM v2 WHERE cc > 1e-24),
+w AS (SELECT v2.*, s.x - px AS dx, s.y - py AS dy, s.z - pz AS dz FROM v2 JOIN q s ON s.a = v2.a AND s.r > r3),
+w1 AS (SELECT *, dx * dx + dy * dy + dz * dz AS dd, 2 * (cx * dx + cy * dy + cz * dz) AS det FROM w),
+b4 AS (SELECT a, px, py, pz, (aa * (by_ * dz - bz * dy) + bb * (dy * az - dz * ay) + dd * cx) / det AS ux, (aa * (bz * dx - bx * dz) + bb * (dz * ax - dx * az) + dd * cy) / det AS uy, (aa * (bx * dy - by_ * dx) + bb * (dx * ay - dy * ax) + dd * cz) / det AS uz FROM w1 WHERE abs(det) > 1e-18),
+balls AS (SELECT * FROM b2 UNION ALL SELECT a, px + ux, py + uy, pz + uz, sqrt(ux * ux + uy * uy + uz * uz) FROM b3 UNION ALL SELECT a, px + ux, py + uy, pz + uz, sqrt(ux * ux + uy * uy + uz * uz) FROM b4),
+h AS (SELECT c.a, c.x, c.y, c.z, c.s FROM balls c JOIN q ON q.a = c.a GROUP BY ALL HAVING max(sqrt((q.x - c.x) ** 2 + (q.y - c.y) ** 2 + (q.z - c.z) ** 2) - c.s) <= 1e-9),
+m AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s) AS rn FROM h) ;; SELECT a AS pid, sqrt(x * x + y * y + z * z) / (sqrt(x * x + y * y + z * z) + 2 * s / sqrt(3)) AS "Miniball" FROM m WHERE rn = 1 /* FROM k */""",
+)
 def miniball(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.miniball(cloud(spark, d), 8)
 
 
-@query("pid OptimalKNN OptimalRadius*")
+@query("pid OptimalKNN OptimalRadius*", f"""WITH g AS (SELECT a, x, y, z, d2, k FROM ki JOIN (SELECT unnest([8, 9, 10, 11, 12]) AS k) ON rank <= k), {_cov("a, k", "g", "count(*)")}, {_EIGEN}, v AS (SELECT a, k, reach, e0 / (e0 + e1 + e2) AS s0, e1 / (e0 + e1 + e2) AS s1, e2 / (e0 + e1 + e2) AS s2 FROM eg),
+w AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY -(s1 * ln(s1) + s2 * ln(s2) + CASE WHEN s0 > 0 THEN s0 * ln(s0) ELSE 0 END), k) AS rn FROM v) ;; SELECT a AS pid, k::BIGINT AS "OptimalKNN", reach AS "OptimalRadius" FROM w WHERE rn = 1 /* FROM ki */""")
 def optimal_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.optimal_neighbourhood(cloud(spark, d), 8, 12)
 
 
+_NEAR_LATTICE = """c AS (SELECT pid, "X" + dx AS "X", "Z" + dz AS "Z", "Y" AS y, dx * dx + dz * dz AS f2 FROM p, (SELECT unnest(range(-3, 4)) AS dx), (SELECT unnest(range(-3, 4)) AS dz)),
+s AS (SELECT c.pid, p.pid AS b, p."Intensity" AS t, f2 + (c.y - p."Y") * (c.y - p."Y") AS d2 FROM c JOIN p ON c."X" = p."X" AND c."Z" = p."Z" AND p."Y" BETWEEN c.y - 3 AND c.y + 3 WHERE c.pid <> p.pid),
+q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(d2, 9), b) AS rn FROM s) WHERE rn <= 8)"""
+
+
+@query("pid NNDistance*", f'WITH {_NEAR_LATTICE} ;; SELECT pid, max(sqrt(d2)) AS "NNDistance" FROM q GROUP BY pid /* FROM p */')
+def knn_points(spark: SparkSession, d: str) -> DataFrame:
+    """Eighth neighbour of every point of a cloud that no task could hold, by doubling radius joins."""
+    return neighbours.nn_distance(points(spark, d).select(PID, *geo.XYZ), 8)
+
+
+@query("pid n*", f'WITH {_NEAR_LATTICE} ;; SELECT pid, avg(sqrt(d2)) AS n FROM q GROUP BY pid /* FROM p */')
+def knn_points_mean(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nn_distance(points(spark, d).select(PID, *geo.XYZ), 8, "average").withColumnRenamed("NNDistance", "n")
+
+
 # --- clusters ----------------------------------------------------------------------------
 
 @query("pid ClusterID", "WITH RECURSIVE l AS (SELECT a.pid AS a, b.pid AS b FROM e a JOIN e b ON (a.\"X\" - b.\"X\") * (a.\"X\" - b.\"X\") + (a.\"Y\" - b.\"Y\") * (a.\"Y\" - b.\"Y\") + (a.\"Z\" - b.\"Z\") * (a.\"Z\" - b.\"Z\") <= 0.04 * 0.04), w(a, b) AS (SELECT pid, pid FROM e UNION SELECT w.a, l.b FROM w JOIN l ON l.a = w.b), c AS (SELECT a AS pid, min(b) AS root FROM w GROUP BY a), s AS (SELECT root, row_number() OVER (ORDER BY root) AS id FROM c GROUP BY root HAVING count(*) >= 2) ;; SELECT pid, coalesce(id, 0)::BIGINT AS \"ClusterID\" FROM c LEFT JOIN s USING (root) /* FROM e */")
@@ -821,12 +934,23 @@ def cluster(spark: SparkSession, d: str) -> DataFrame:
     return clusters.euclidean(cloud(spark, d), 0.04, 2)
 
 
-@query("pid ClusterID")
+@query("pid ClusterID", f"""WITH RECURSIVE l AS (SELECT a.pid AS a, b.pid AS b, {_D2} AS d2 FROM e a JOIN e b ON {_D2} <= 0.07::DOUBLE * 0.07::DOUBLE), c AS (SELECT a FROM l GROUP BY a HAVING count(*) >= 4), i AS (SELECT l.a, l.b FROM l JOIN c x ON x.a = l.a JOIN c y ON y.a = l.b),
+w(a, b) AS (SELECT a, a FROM c UNION SELECT w.a, i.b FROM w JOIN i ON i.a = w.b), r AS (SELECT a, min(b) AS root FROM w GROUP BY a), n AS (SELECT root, row_number() OVER (ORDER BY root) AS id FROM (SELECT DISTINCT root FROM r)),
+t AS (SELECT l.a, r.root, row_number() OVER (PARTITION BY l.a ORDER BY l.d2, l.b) AS rn FROM l JOIN r ON r.a = l.b) ;; SELECT e.pid, coalesce(n.id, -1) AS "ClusterID" FROM e LEFT JOIN t ON t.a = e.pid AND rn = 1 LEFT JOIN n ON n.root = t.root""")
 def dbscan(spark: SparkSession, d: str) -> DataFrame:
     return clusters.dbscan(cloud(spark, d), 4, 0.07)
 
 
-@query("pid ClusterID")
+def _lloyd(rounds: int) -> str:
+    """``c0`` to ``c<rounds>``: centres after each round; ``a<n>``: points with their nearest centre of ``cn``."""
+    nearest = lambda n: f'a{n} AS MATERIALIZED (SELECT * FROM (SELECT a.*, b.i, row_number() OVER (PARTITION BY a.pid ORDER BY {_D2}, b.i) AS rn FROM e a, c{n} b) WHERE rn = 1)'
+    parts = ["c0 AS MATERIALIZED (" + " UNION ALL ".join(f'SELECT fps AS i, "X", "Y", "Z" FROM f{n}' for n in range(1, 6)) + ")"]
+    for n in range(rounds):
+        parts += [nearest(n), f'c{n + 1} AS MATERIALIZED (SELECT i, avg("X") AS "X", avg("Y") AS "Y", avg("Z") AS "Z" FROM a{n} GROUP BY i)']
+    return ", ".join([*parts, nearest(rounds)])
+
+
+@query("pid ClusterID", f"""WITH {_farthest(5)}, {_lloyd(10)} ;; SELECT pid, i::BIGINT AS "ClusterID" FROM a10 /* FROM e */""")
 def kmeans(spark: SparkSession, d: str) -> DataFrame:
     return clusters.kmeans(cloud(spark, d), 5)
 
@@ -919,12 +1043,22 @@ def level_cells(spark: SparkSession, d: str) -> DataFrame:
     return detail.cells_at(points(spark, d), 3, 64.0).withColumn("level", detail.distance_level(F.col("n")))
 
 
-@query("level n")
+_STEP = lambda n: f"""t{n + 1} AS (SELECT * EXCLUDE (level), CASE WHEN level IS NULL AND row_number() OVER (PARTITION BY level IS NULL, floor(x / (side / {64 * 2**n})), floor(y / (side / {64 * 2**n})), floor(z / (side / {64 * 2**n})) ORDER BY pid) = 1 THEN {n} ELSE level END AS level FROM t{n})"""
+
+
+@query("pid level", f"""WITH b AS (SELECT min("X") AS ax, min("Y") AS ay, min("Z") AS az, greatest(max("X") - min("X"), max("Y") - min("Y"), max("Z") - min("Z")) * 1.000001::DOUBLE AS side FROM p), t0 AS (SELECT pid, "X" - ax AS x, "Y" - ay AS y, "Z" - az AS z, side, NULL::INT AS level FROM p, b), {", ".join(map(_STEP, range(4)))} ;;
+SELECT pid, coalesce(level, 4) AS level FROM t4 /* FROM p */""")
 def octree_levels(spark: SparkSession, d: str) -> DataFrame:
-    return detail.octree(points(spark, d), 4).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return detail.octree(points(spark, d), 4)
 
 
-@query("cluster ord id")
+@query(
+    "cluster ord id",
+    """WITH RECURSIVE o AS (SELECT id, point_count * 17 AS size, row_number() OVER (ORDER BY depth, id) - 1 AS k FROM n), f AS (SELECT *, coalesce(sum(size + CASE WHEN k % 5 = 4 THEN 300000 ELSE 1000 END) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM o),
+s(k, cluster, ord, begin_, end_, id) AS (SELECT 0::BIGINT, 0, 0, off, off + size, id FROM f WHERE k = 0 UNION ALL
+ SELECT k, CASE WHEN near THEN cluster ELSE cluster + 1 END, CASE WHEN near THEN ord + 1 ELSE 0 END, CASE WHEN near THEN begin_ ELSE off END, CASE WHEN near THEN greatest(end_, off + size) ELSE off + size END, fid
+ FROM (SELECT f.k, cluster, ord, begin_, end_, f.id AS fid, f.off, f.size, f.off - end_ <= 262144 AND ord < 7 AND greatest(end_, f.off + f.size) - begin_ <= 16777216 AS near FROM s JOIN f ON f.k = s.k + 1)) ;; SELECT cluster, ord, id FROM s /* FROM n */""",
+)
 def prefetch_clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = nodes(spark, d).orderBy("depth", "id").select("id", "point_count").collect()  # metadata: a row a node
     offset, items = 0, []

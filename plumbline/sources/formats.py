@@ -94,9 +94,11 @@ def estimate_points(size: int, sample: str) -> int | None:
 
 
 def las_points(header: bytes) -> int:
-    """The point count of a LAS header: 32 bits at 107, or 64 bits at 247 from minor version 4 on."""
+    """The point count of a LAS header: 64 bits at 247 from minor version 4 on, unless they are 0, else 32 bits at 107."""
+    if header[:4] != b"LASF":
+        raise ValueError("not a LAS file")
     legacy = struct.unpack_from("<I", header, 107)[0]
-    return struct.unpack_from("<Q", header, 247)[0] if header[25] >= 4 and len(header) >= 255 else legacy
+    return (struct.unpack_from("<Q", header, 247)[0] if header[25] >= 4 and len(header) >= 255 else 0) or legacy
 
 
 def peek(spark: SparkSession, path: str, lines: int = 64) -> str:
