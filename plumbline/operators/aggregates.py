@@ -36,8 +36,13 @@ def sample_kurtosis(v: Column) -> Column:
 def statistics(df: DataFrame, dims: Sequence[str], advanced: bool = False, robust: bool = False) -> DataFrame:
     """A row a dimension: position, name, count, minimum, maximum, average, sample stddev and variance, in one pass.
 
-    ``advanced`` adds skewness and kurtosis, ``robust`` median and MAD.  NaN is left out.
+    ``advanced`` adds skewness and kurtosis, ``robust`` median and MAD, which take further
+    passes over a stored copy of the dimensions.  NaN is left out.
     """
+    if robust:
+        from plumbline.operators.materialise import stored
+
+        df = stored(df.select(*dims), "statistics")
     rows = []
     for k, d in enumerate(dims):
         v = F.when(~F.isnan(F.col(d).cast("double")), F.col(d).cast("double"))
