@@ -33,7 +33,20 @@ def small_batches(df: DataFrame) -> DataFrame:
     given = str(df.sparkSession.conf.get(name)).rstrip("bB")
     if not given.isdigit() or int(given) > BATCH_BYTES:
         df.sparkSession.conf.set(name, str(BATCH_BYTES))
-    return df
+    return spread(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``; rows read from fewer files and splits than there are cores are dealt to all of them, as Python is what takes time here.
+
+    A table of many splits, as any large one has, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not 0 < len(df.inputFiles()) < cores or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    if df.rdd.getNumPartitions() > cores:
+        return df
+    return df.repartition(cores, F.xxhash64(*[F.col(c) for c in df.columns]))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
