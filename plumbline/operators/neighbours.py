@@ -90,10 +90,14 @@ def nearest(a: DataFrame, b: DataFrame, k: int, dims: Sequence[str] = XYZ, extra
     size = b.count()
     if size <= few:
         return _nearest_of_few(_side(a, "a", dims, extra if extra_a is None else extra_a), _side(b, "b", dims, extra), k, dims, itself)
+    same, mine = a is b, list(dict.fromkeys([PID, *dims, *(extra if extra_a is None else extra_a)]))
+    a = stored(a.select(*mine), "nearest-a")  # read in every round
+    theirs = list(dict.fromkeys([PID, *dims, *extra]))
+    b = a if same and set(theirs) <= set(mine) else stored(b.select(*theirs), "nearest-b")
     box = b.agg(*[f(d).alias(f"{n}{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
     both = a.select(*dims).unionByName(b.select(*dims)).agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims]).first()
     extents = [max(float(box[f"hi{d}"] - box[f"lo{d}"]), 1e-9) for d in dims]
-    radius = float(np.prod([e ** (1 / len(dims)) for e in extents])) * (2 * (k + 1) / size) ** (1 / len(dims))
+    radius = float(np.prod([e ** (1 / len(dims)) for e in extents])) * (0.5 * (k + 1) / size) ** (1 / len(dims))  # a ball of it holds about twice the wanted where points are spread evenly
     most = float(np.sqrt(sum(float(both[d] or 0) ** 2 for d in dims))) * 1.001 + 1e-9
     found, open_ = None, a
     while True:

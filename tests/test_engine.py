@@ -17,18 +17,14 @@ from plumbline.sources import formats
 from plumbline.types import packed_layout, schema_summary
 
 
-def lcg(n=3000):
-    """A seeded cloud of n points in a box of side 10."""
-    s, out = 0x5EED5EED, []
-    for _ in range(3 * n):
-        s = (s * 6364136223846793005 + 1442695040888963407) % 2**64
-        out.append((s >> 11) / 2**53 * 10)
-    return np.array(out).reshape(n, 3)
+def scattered(n):
+    """A seeded cloud of n points in a box of side 8."""
+    return np.random.default_rng(77).uniform(0, 8, (n, 3))
 
 
 @pytest.fixture(scope="module")
 def cloud(spark):
-    p = lcg(1200) + [1000.5, -250.25, 42.0]
+    p = scattered(1200) + [512.25, -96.5, 17.0]
     rows = [(k + 1, *map(float, v), k % 4) for k, v in enumerate(p)]
     df = spark.createDataFrame(rows, "pid long, X double, Y double, Z double, Classification int")
     df.cache().count()
