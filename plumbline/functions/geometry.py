@@ -36,6 +36,22 @@ def box_wkt(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
     return F.concat(F.lit("POLYGON (("), ring, F.lit("))"))
 
 
+def box_grown(low: Sequence[float], high: Sequence[float], by: float) -> tuple[list[float], list[float]]:
+    return [v - by for v in low], [v + by for v in high]
+
+
+def box_clipped(low: Sequence[float], high: Sequence[float], to_low: Sequence[float], to_high: Sequence[float]) -> tuple[list[float], list[float]] | None:
+    """The common part of two boxes, None where they have none."""
+    a, b = [max(p) for p in zip(low, to_low, strict=True)], [min(p) for p in zip(high, to_high, strict=True)]
+    return (a, b) if all(p <= q for p, q in zip(a, b, strict=True)) else None
+
+
+def box_geojson(low: Sequence[float], high: Sequence[float]) -> dict:
+    """The box in the plane as a GeoJSON polygon."""
+    (x0, y0), (x1, y1) = low[:2], high[:2]
+    return {"type": "Polygon", "coordinates": [[[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]]}
+
+
 def apply_matrix(m: Sequence[float], xyz: Sequence[Column]) -> list[Column]:
     """A row-major 4x4 matrix on a point; divided by w only where the last row asks for it."""
     m = [float(v) for v in m]

@@ -53,11 +53,25 @@ def raster(df: DataFrame, resolution: float, radius: float | None = None, power:
 
 
 def around(cells: DataFrame, radius: int, value: str, how, round_: bool = False) -> DataFrame:
-    """(i, j, value): ``how`` over the cells at most ``radius`` away, for cells that exist."""
-    steps = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if not round_ or a * a + b * b <= radius * radius]
-    offsets = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a, b in steps])
-    spread = cells.select("i", "j", value, F.explode(offsets).alias("o")).select((F.col("i") + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"), value)
-    return spread.groupBy("i", "j").agg(how(value).alias(value)).join(cells.select("i", "j"), ["i", "j"], "left_semi")
+    """(i, j, value): ``how`` (least or largest) over the cells at most ``radius`` away, for cells that exist.
+
+    A square goes axis by axis, so a cell is copied twice its width, not its
+    area; a disc is a run of cells in every row of it.
+    """
+
+    def along(df: DataFrame, axis: str, reach: int) -> DataFrame:
+        moved = df.withColumn(axis, F.explode(F.sequence(F.col(axis) - reach, F.col(axis) + reach)))
+        return moved.groupBy("i", "j").agg(how(value).alias(value))
+
+    own = cells.select("i", "j", value)
+    if not round_:
+        spread = along(along(own, "i", radius), "j", radius)
+    else:
+        steps = [(a, int((radius * radius - a * a) ** 0.5)) for a in range(-radius, radius + 1)]
+        runs = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(w).alias("w")) for a, w in steps])
+        rows = own.withColumn("o", F.explode(runs)).groupBy((F.col("i") + F.col("o.di")).alias("i"), "j", F.col("o.w").alias("w")).agg(how(value).alias(value))
+        spread = rows.withColumn("j", F.explode(F.sequence(F.col("j") - F.col("w"), F.col("j") + F.col("w")))).groupBy("i", "j").agg(how(value).alias(value))
+    return spread.join(cells.select("i", "j"), ["i", "j"], "left_semi")
 
 
 def opened(cells: DataFrame, radius: int, value: str, round_: bool = False) -> DataFrame:

@@ -59,17 +59,69 @@ def transform(df: DataFrame, matrix: str | Sequence[float], invert: bool = False
 EARTH = 6378137.0
 
 
+# The ellipsoid of EPSG:4326, and scale, false easting and northing of its zones of six degrees.
+FLATTENING, UTM_SCALE, UTM_EAST, UTM_SOUTH = 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
+
+
+def _third(f: float) -> tuple[float, float, list[float], list[float], list[float]]:
+    """Excentricity, radius of the rectifying sphere, and the series of the transverse Mercator projection to the fourth order (Karney 2011)."""
+    n = f / (2 - f)
+    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
+    return 2 * math.sqrt(n) / (1 + n), EARTH / (1 + n) * (1 + n**2 / 4 + n**4 / 64), alpha, beta, delta
+
+
+def _to_utm(x: Column, y: Column, zone: int, south: bool) -> tuple[Column, Column]:
+    e, radius, alpha, _, _ = _third(FLATTENING)
+    sine, turn = F.sin(F.radians(y)), F.radians(x) - math.radians(zone * 6 - 183)
+    t = F.sinh(F.atanh(sine) - F.atanh(sine * e) * e)
+    north, east = F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
+    n = sum((F.sin(north * (2 * k)) * F.cosh(east * (2 * k)) * a for k, a in enumerate(alpha, 1)), north)
+    m = sum((F.cos(north * (2 * k)) * F.sinh(east * (2 * k)) * a for k, a in enumerate(alpha, 1)), east)
+    return m * (radius * UTM_SCALE) + UTM_EAST, n * (radius * UTM_SCALE) + (UTM_SOUTH if south else 0.0)
+
+
+def _from_utm(x: Column, y: Column, zone: int, south: bool) -> tuple[Column, Column]:
+    _, radius, _, beta, delta = _third(FLATTENING)
+    north, east = (y - (UTM_SOUTH if south else 0.0)) / (radius * UTM_SCALE), (x - UTM_EAST) / (radius * UTM_SCALE)
+    n = north - sum((F.sin(north * (2 * k)) * F.cosh(east * (2 * k)) * b for k, b in enumerate(beta, 1)), F.lit(0.0))
+    m = east - sum((F.cos(north * (2 * k)) * F.sinh(east * (2 * k)) * b for k, b in enumerate(beta, 1)), F.lit(0.0))
+    chi = F.asin(F.sin(n) / F.cosh(m))
+    latitude = sum((F.sin(chi * (2 * k)) * d for k, d in enumerate(delta, 1)), chi)
+    return F.degrees(F.atan2(F.sinh(m), F.cos(n))) + float(zone * 6 - 183), F.degrees(latitude)
+
+
 @stage("filters.reprojection")
 def reproject(df: DataFrame, in_srs: str, out_srs: str) -> DataFrame:
-    """Between EPSG:4326 (degrees) and EPSG:3857 (spherical Mercator)."""
-    pair = (in_srs.upper(), out_srs.upper())
-    if pair[0] == pair[1]:
+    """Between EPSG:4326 (degrees), EPSG:3857 (spherical Mercator) and the zones EPSG:32601 to 32660 (north), 32701 to 32760 (south)."""
+    source, target = in_srs.upper(), out_srs.upper()
+    if source == target:
         return df
-    if pair == ("EPSG:4326", "EPSG:3857"):
-        return df.withColumns({"X": F.radians("X") * EARTH, "Y": F.ln(F.tan(F.radians("Y") / 2 + math.pi / 4)) * EARTH})
-    if pair == ("EPSG:3857", "EPSG:4326"):
-        return df.withColumns({"X": F.degrees(F.col("X") / EARTH), "Y": F.degrees(F.atan(F.exp(F.col("Y") / EARTH)) * 2 - math.pi / 2)})
-    raise ValueError(f"no closed form from {in_srs} to {out_srs}")
+    for srs, steps in ((source, (_degrees_of,)), (target, (_of_degrees,))):
+        if srs == "EPSG:4326":
+            continue
+        code = int(srs.removeprefix("EPSG:")) if srs.removeprefix("EPSG:").isdigit() else 0
+        if code != 3857 and not 32601 <= code <= 32660 and not 32701 <= code <= 32760:
+            raise ValueError(f"no closed form from {in_srs} to {out_srs}")
+        for step in steps:
+            x, y = step(code)
+            df = df.withColumns({"X": x, "Y": y})
+    return df
+
+
+def _degrees_of(code: int) -> tuple[Column, Column]:
+    x, y = F.col("X"), F.col("Y")
+    if code == 3857:
+        return F.degrees(x / EARTH), F.degrees(F.atan(F.exp(y / EARTH)) * 2 - math.pi / 2)
+    return _from_utm(x, y, code % 100, code >= 32700)
+
+
+def _of_degrees(code: int) -> tuple[Column, Column]:
+    x, y = F.col("X"), F.col("Y")
+    if code == 3857:
+        return F.radians(x) * EARTH, F.ln(F.tan(F.radians(y) / 2 + math.pi / 4)) * EARTH
+    return _to_utm(x, y, code % 100, code >= 32700)
 
 
 def reprojects(out_srs: str, extension: str, source_srs: str | None) -> bool:

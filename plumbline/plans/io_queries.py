@@ -362,3 +362,53 @@ def polygon_relations(spark: SparkSession, d: str) -> DataFrame:
     square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
     pairs = {"far": (square(0, 0, 1), square(5, 5, 1)), "over": (square(0, 0, 2), square(1, 1, 2)), "within": (square(1, 1, 1), square(0, 0, 4))}
     return first_of(spark, "pair string, meet boolean, apart boolean, inside boolean", *[(k, geo.intersects(a, b), geo.disjoint(a, b), geo.within(a, b)) for k, (a, b) in pairs.items()])
+
+
+# --- projections, overlays, functions ------------------------------------------------------
+
+_E, _RADIUS, _ALPHA, _, _ = tr._third(tr.FLATTENING)
+_UTM = f"""t AS (SELECT pid, radians("X" - 15) AS l, sinh(atanh(sin(radians("Y"))) - {_E!r} * atanh({_E!r} * sin(radians("Y")))) AS t FROM p WHERE "X" BETWEEN 9 AND 21 AND "Y" < 80),
+u AS (SELECT pid, atan2(t, cos(l)) AS n, atanh(sin(l) / sqrt(1 + t * t)) AS m FROM t)"""
+
+
+@query("pid x_km* y_km*", f"""WITH {_UTM} ;; SELECT pid, (500000 + {0.9996 * _RADIUS!r} * (m + {" + ".join(f"{a!r} * cos({2 * k} * n) * sinh({2 * k} * m)" for k, a in enumerate(_ALPHA, 1))})) / 1000 AS x_km, {0.9996 * _RADIUS!r} * (n + {" + ".join(f"{a!r} * sin({2 * k} * n) * cosh({2 * k} * m)" for k, a in enumerate(_ALPHA, 1))}) / 1000 AS y_km FROM u /* FROM p */""")
+def reproject_zone(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees to zone 33, as far as it is used, in kilometres."""
+    out = tr.reproject(points(spark, d).where("X BETWEEN 9 AND 21 AND Y < 80"), "EPSG:4326", "EPSG:32633")
+    return out.select(PID, (F.col("X") / 1000).alias("x_km"), (F.col("Y") / 1000).alias("y_km"))
+
+
+@query("pid X* Y*", 'SELECT pid, "X", "Y" FROM p WHERE "X" BETWEEN 9 AND 21 AND "Y" < 80')
+def reproject_back(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees to a zone of the south, to Mercator, to a zone of the north, to degrees."""
+    out = points(spark, d).where("X BETWEEN 9 AND 21 AND Y < 80")
+    for a, b in (("EPSG:4326", "EPSG:32733"), ("EPSG:32733", "EPSG:3857"), ("EPSG:3857", "EPSG:32633"), ("EPSG:32633", "EPSG:4326")):
+        out = tr.reproject(out, a, b)
+    return out
+
+
+@query("pid zone", """SELECT pid, coalesce((SELECT min(k) FROM (SELECT unnest(range(40)) AS k) WHERE p."X" BETWEEN 4 * (k % 8) + 0.5 AND 4 * (k % 8) + 6.5 AND p."Y" BETWEEN 10 * (k // 8) + 0.3 AND 10 * (k // 8) + 14.3
+ AND abs(p."X" - (4 * (k % 8) + 3.5)) / 3 + abs(p."Y" - (10 * (k // 8) + 7.3)) / 7 < 1), -1)::INT AS zone FROM p""")
+def overlay_many(spark: SparkSession, d: str) -> DataFrame:
+    """Forty diamonds that overlap; the first that holds a point gives its number."""
+    polygons = []
+    for k in range(40):
+        x, y = 4 * (k % 8) + 3.5, 10 * (k // 8) + 7.3
+        polygons.append({"ring": [(x - 3, y), (x, y - 7), (x + 3, y), (x, y + 7)], "zone": k})
+    from plumbline.operators import neighbours
+
+    return neighbours.overlay(points(spark, d).withColumn("zone", F.lit(-1)), polygons, "zone", "zone")
+
+
+_MATHS = {"a": ("abs(X - 25)", 'abs("X" - 25)'), "b": ("ceil(Y)", 'ceil("Y")'), "c": ("floor(Y)", 'floor("Y")'), "f": ("sqrt(X)", 'sqrt("X")'), "g": ("exp(Z / 10)", 'exp("Z" / 10)'), "h": ("log(X)", 'ln("X")'), "i": ("log10(X)", 'log10("X")'), "j": ("sin(X) + cos(Y) * tan(Z)", 'sin("X") + cos("Y") * tan("Z")'), "k": ("asin(X / 60) - acos(X / 60)", 'asin("X" / 60) - acos("X" / 60)'), "l": ("atan(Y) - -Z", 'atan("Y") + "Z"')}
+
+
+@query("pid " + " ".join(f"{c}*" for c in _MATHS), "SELECT pid, " + ", ".join(f"{v} AS {c}" for c, (_, v) in _MATHS.items()) + " FROM p")
+def expr_functions(spark: SparkSession, d: str) -> DataFrame:
+    return tr.assign(points(spark, d), [f"{c} = {v}" for c, (v, _) in _MATHS.items()])
+
+
+@query("case box", "SELECT * FROM (VALUES ('grown', '[[-1.0, 0.0], [4.0, 6.0]]'), ('clipped', '[[1.0, 1.0], [3.0, 2.0]]'), ('apart', 'null'), ('ring', '[[0, 1], [3, 1], [3, 5], [0, 5], [0, 1]]')) AS t(\"case\", box)")
+def box_functions(spark: SparkSession, d: str) -> DataFrame:
+    found = {"grown": geo.box_grown([0.0, 1.0], [3.0, 5.0], 1.0), "clipped": geo.box_clipped([0.0, 1.0], [3.0, 5.0], [1.0, 0.0], [9.0, 2.0]), "apart": geo.box_clipped([0.0, 1.0], [3.0, 5.0], [4.0, 0.0], [9.0, 2.0]), "ring": geo.box_geojson([0, 1], [3, 5])["coordinates"][0]}
+    return first_of(spark, "`case` string, box string", *[(k, json.dumps(v)) for k, v in found.items()])

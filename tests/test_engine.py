@@ -580,3 +580,45 @@ def test_filters_reach_the_scan(spark, cloud, tmp_path):
     df = filters.keep_ranges(spark.read.parquet(str(tmp_path / "p")), "X[1:2]").select("Z")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(X,1.0)" in plan and "ReadSchema: struct<X:double,Z:double>" in plan
+
+
+def test_nearest_of_few_and_by_cells_are_the_same(spark, cloud):
+    for itself in (False, True):
+        few, cells = (neighbours.nearest(cloud, cloud, 5, extra=["Classification"], itself=itself, few=n) for n in (5000, 0))
+        columns = ["a_pid", "b_pid", "d2", "rank", "b_Classification"]
+        assert sorted(map(tuple, few.select(columns).collect())) == sorted(map(tuple, cells.select(columns).collect()))
+
+
+def test_openings_by_axis(spark):
+    rows = [(i, j, float((i * 7 + j * 13) % 11)) for i in range(12) for j in range(12) if (i + j) % 5]
+    df, known = spark.createDataFrame(rows, "i long, j long, h double"), {(i, j): h for i, j, h in rows}
+    for round_ in (False, True):
+        for how, plain in ((F.min, min), (F.max, max)):
+            got = {(r.i, r.j): r.h for r in surfaces.around(df, 2, "h", how, round_).collect()}
+            assert got == {(i, j): plain(v for (a, b), v in known.items() if abs(a - i) <= 2 and abs(b - j) <= 2 and (not round_ or (a - i) ** 2 + (b - j) ** 2 <= 4)) for i, j in known}
+
+
+def test_las_counts():
+    head = bytearray(375)
+    head[:4], head[25] = b"LASF", 4
+    head[107:111] = (77).to_bytes(4, "little")
+    assert formats.las_points(bytes(head)) == 77
+    head[247:255] = (2**33).to_bytes(8, "little")
+    assert formats.las_points(bytes(head)) == 2**33
+    with pytest.raises(ValueError):
+        formats.las_points(b"NOPE" + bytes(head[4:]))
+
+
+def test_overlay_joins_many_polygons(spark, cloud):
+    r = np.random.default_rng(4)
+    polygons = [{"ring": [(x, y), (x + w, y), (x + w / 2, y + w)], "zone": k} for k, (x, y, w) in enumerate(zip(r.uniform(512, 520, 30), r.uniform(-97, -88, 30), r.uniform(0.1, 3, 30), strict=True))]
+    one, many = (neighbours.overlay(cloud.withColumn("zone", F.lit(-1)), polygons, "zone", "zone", cases=n) for n in (100, 1))
+    assert values(one, "zone") == values(many, "zone") and len(set(values(one, "zone"))) > 5
+
+
+def test_zone_coordinates(spark):
+    places = [("EPSG:32631", 2.2945, 48.8582, 448252.0, 5411932.0), ("EPSG:32756", 151.2153, -33.8568, 334897.0, 6252270.0)]
+    for srs, x, y, east, north in places:
+        df = tr.reproject(spark.createDataFrame([(1, x, y, 0.0)], "pid long, X double, Y double, Z double"), "EPSG:4326", srs)
+        got = df.first()
+        assert abs(got.X - east) < 60 and abs(got.Y - north) < 60
