@@ -248,7 +248,7 @@ def test_enclosing_ball():
 def test_registration(spark, cloud):
     some = cloud.limit(400)
     m = [0.9998, -0.02, 0, 20.2, 0.02, 0.9998, 0, -20.1, 0, 0, 1, 0.05, 0, 0, 0, 1]
-    moved = neighbours.register(tr.transform(some.select("pid", *[(F.col(d) - c).alias(d) for d, c in zip(geo.XYZ, (1005, -245, 47), strict=True)]), [*m[:3], 0.1, *m[4:7], -0.1, *m[8:]]), some.select("pid", *[(F.col(d) - c).alias(d) for d, c in zip(geo.XYZ, (1005, -245, 47), strict=True)]), 30)
+    moved = neighbours.register(tr.transform(some.select("pid", *[(F.col(d) - c).alias(d) for d, c in zip(geo.XYZ, (516, -92, 21), strict=True)]), [*m[:3], 0.1, *m[4:7], -0.1, *m[8:]]), some.select("pid", *[(F.col(d) - c).alias(d) for d, c in zip(geo.XYZ, (516, -92, 21), strict=True)]), 30)
     assert moved.first().icp_rmse < 1e-3
 
 
@@ -368,7 +368,7 @@ def test_raster_fills_holes(spark):
 
 
 def test_polygon_of_many_corners(spark, cloud, monkeypatch):
-    ring = [(1005 + 4 * math.cos(k / 50 * math.pi), -245 + 3 * math.sin(k / 50 * math.pi)) for k in range(100)]
+    ring = [(516 + 3 * math.cos(k / 50 * math.pi), -92 + 3 * math.sin(k / 50 * math.pi)) for k in range(100)]
     few = values(filters.crop(cloud, polygon=ring), "pid")
     monkeypatch.setattr(geo, "MOST_TERMS", 10)
     assert values(filters.crop(cloud, polygon=ring), "pid") == few and 100 < len(few) < 1200
