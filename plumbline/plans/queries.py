@@ -912,8 +912,10 @@ def optimal_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NEAR_LATTICE = """c AS (SELECT pid, "X" + dx AS "X", "Z" + dz AS "Z", "Y" AS y, dx * dx + dz * dz AS f2 FROM p, (SELECT unnest(range(-3, 4)) AS dx), (SELECT unnest(range(-3, 4)) AS dz)),
-s AS (SELECT c.pid, p.pid AS b, p."Intensity" AS t, f2 + (c.y - p."Y") * (c.y - p."Y") AS d2 FROM c JOIN p ON c."X" = p."X" AND c."Z" = p."Z" AND p."Y" BETWEEN c.y - 3 AND c.y + 3 WHERE c.pid <> p.pid),
-q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(d2, 9), b) AS rn FROM s) WHERE rn <= 8)"""
+s AS (SELECT c.pid, p.pid AS b, f2 + (c.y - p."Y") * (c.y - p."Y") AS d2 FROM c JOIN p ON c."X" = p."X" AND c."Z" = p."Z" AND p."Y" BETWEEN c.y - 3 AND c.y + 3 WHERE c.pid <> p.pid AND d2 <= 9),
+g AS (SELECT pid FROM s GROUP BY pid HAVING count(*) >= 8), r AS (SELECT * FROM p ANTI JOIN g USING (pid)),
+t AS (SELECT * FROM s SEMI JOIN g USING (pid) UNION ALL SELECT r.pid, p.pid, (r."X" - p."X") ** 2 + (r."Y" - p."Y") ** 2 + (r."Z" - p."Z") ** 2 FROM r JOIN p ON r.pid <> p.pid),
+q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(d2, 9), b) AS rn FROM t) WHERE rn <= 8)"""
 
 
 @query("pid NNDistance*", f'WITH {_NEAR_LATTICE} ;; SELECT pid, max(sqrt(d2)) AS "NNDistance" FROM q GROUP BY pid /* FROM p */')
