@@ -957,10 +957,16 @@ def kmeans(spark: SparkSession, d: str) -> DataFrame:
     return clusters.kmeans(cloud(spark, d), 5)
 
 
-@query("pid ClusterID")
+@query(
+    "pid ClusterID",
+    """WITH RECURSIVE t AS (SELECT pid, "X" * 100 AS x, "Y" * 100 AS y, ("Z" + 0.6::DOUBLE) * 20 AS h FROM e), o AS (SELECT * FROM t WHERE h >= 3),
+j AS (SELECT a.pid, b.pid AS up, row_number() OVER (PARTITION BY a.pid ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.h DESC, b.pid) AS rn FROM o a JOIN o b ON (b.h > a.h OR (b.h = a.h AND b.pid < a.pid)) AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= CASE WHEN a.h > 15 THEN 4.0 ELSE 2.25 END),
+w(pid, top) AS (SELECT pid, pid FROM o WHERE pid NOT IN (SELECT pid FROM j) UNION ALL SELECT j.pid, w.top FROM w JOIN j ON j.up = w.pid AND j.rn = 1),
+n AS (SELECT top, row_number() OVER (ORDER BY top) AS id FROM w GROUP BY top HAVING count(*) >= 2) ;; SELECT e.pid, coalesce(n.id, 0) AS "ClusterID" FROM e LEFT JOIN w USING (pid) LEFT JOIN n USING (top)""",
+)
 def li_trees(spark: SparkSession, d: str) -> DataFrame:
     df = cloud(spark, d).select(PID, (F.col("X") * 100).alias("X"), (F.col("Y") * 100).alias("Y"), "Z", ((F.col("Z") + 0.6) * 20).alias("HeightAboveGround"))
-    return clusters.trees(df, 2, 3.0, tile=20.0, halo=5.0)
+    return clusters.trees(df, 2, 3.0)
 
 
 @query("pid ClusterID")

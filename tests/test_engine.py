@@ -622,3 +622,23 @@ def test_zone_coordinates(spark):
         df = tr.reproject(spark.createDataFrame([(1, x, y, 0.0)], "pid long, X double, Y double, Z double"), "EPSG:4326", srs)
         got = df.first()
         assert abs(got.X - east) < 60 and abs(got.Y - north) < 60
+
+
+def test_trees_equal_the_scan(spark):
+    r = np.random.default_rng(6)
+    p = [(k, float(x), float(y), float(h)) for k, (x, y, h) in enumerate(zip(r.uniform(0, 25, 300), r.uniform(0, 25, 300), r.uniform(0, 25, 300).round(), strict=True))]
+    of, members = {}, []
+    for k, x, y, h in sorted(p, key=lambda t: (-t[3], t[0])):
+        if h < 3:
+            break
+        d = [min(((x - a) ** 2 + (y - b) ** 2) ** 0.5 for _, a, b, _ in m) for m in members]
+        best = min(range(len(d)), key=d.__getitem__, default=None)
+        if best is None or d[best] > (2.0 if h > 15 else 1.5):
+            members.append([])
+            best = len(members) - 1
+        members[best].append((k, x, y, h))
+    tops = sorted((m[0][0], [t[0] for t in m]) for m in members if len(m) >= 3)
+    for n, (_, tree) in enumerate(tops, 1):
+        of |= dict.fromkeys(tree, n)
+    df = spark.createDataFrame([(k, x, y, 0.0, h) for k, x, y, h in p], "pid long, X double, Y double, Z double, HeightAboveGround double")
+    assert values(clusters.trees(df, 3), "ClusterID") == [(of.get(k, 0),) for k in range(300)]
