@@ -693,12 +693,29 @@ def sparse_surface(spark: SparkSession, d: str) -> DataFrame:
     return surfaces.sparse_surface(cloud(spark, d).withColumn("Classification", F.lit(2)), 0.05)
 
 
-@query("a b c")
+#: Faces by edges: the centres of the circles through an edge and a third point lie on a line; an edge with room between the last centre of
+#: the points on its right and the first of those on its left is in the mesh, with these two points.
+_MESH = """w AS (SELECT a.pid AS a, b.pid AS b, c.pid AS c, b."X" - a."X" AS bx, b."Y" - a."Y" AS by_, c."X" - a."X" AS cx, c."Y" - a."Y" AS cy FROM e a JOIN e b ON a.pid < b.pid JOIN e c ON c.pid <> a.pid AND c.pid <> b.pid),
+t AS (SELECT a, b, c, bx * cy - by_ * cx AS side, (cx * cx + cy * cy - bx * cx - by_ * cy) / (2 * (bx * cy - by_ * cx)) AS t FROM w WHERE bx * cy <> by_ * cx),
+g AS (SELECT a, b, min(t) FILTER (side > 0) AS l, arg_min(c, t) FILTER (side > 0) AS lc, max(t) FILTER (side < 0) AS r, arg_max(c, t) FILTER (side < 0) AS rc FROM t GROUP BY a, b),
+m AS (SELECT a, b, unnest([lc, rc]) AS c FROM g WHERE l IS NULL OR r IS NULL OR r <= l),
+f AS (SELECT DISTINCT least(a, b, c) AS a, a + b + c - least(a, b, c) - greatest(a, b, c) AS b, greatest(a, b, c) AS c FROM m WHERE c IS NOT NULL)"""
+
+
+@query("a b c", f"WITH {_MESH} ;; SELECT a, b, c FROM f /* FROM e */")
 def delaunay_faces(spark: SparkSession, d: str) -> DataFrame:
-    return surfaces.delaunay(cloud(spark, d), 0.1)
+    corners = F.array_sort(F.array("a", "b", "c"))
+    return surfaces.delaunay(cloud(spark, d), 0.1).select(*[F.element_at(corners, k + 1).alias(n) for k, n in enumerate("abc")])
 
 
-@query("i j z*")
+@query(
+    "i j z*",
+    f"""WITH {_MESH}, q AS (SELECT p."X" AS ax, p."Y" AS ay, p."Z" AS az, q."X" AS bx, q."Y" AS by_, q."Z" AS bz, r."X" AS cx, r."Y" AS cy, r."Z" AS cz FROM f JOIN e p ON p.pid = f.a JOIN e q ON q.pid = f.b JOIN e r ON r.pid = f.c),
+u AS (SELECT *, unnest(range(ceil(least(ax, bx, cx) / 0.02::DOUBLE - 0.5)::BIGINT, floor(greatest(ax, bx, cx) / 0.02::DOUBLE - 0.5)::BIGINT + 1)) AS i FROM q), v AS (SELECT *, unnest(range(ceil(least(ay, by_, cy) / 0.02::DOUBLE - 0.5)::BIGINT, floor(greatest(ay, by_, cy) / 0.02::DOUBLE - 0.5)::BIGINT + 1)) AS j FROM u),
+x AS (SELECT *, (i + 0.5) * 0.02::DOUBLE AS x, (j + 0.5) * 0.02::DOUBLE AS y, (by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy) AS det FROM v),
+y AS (SELECT *, ((by_ - cy) * (x - cx) + (cx - bx) * (y - cy)) / det AS l1, ((cy - ay) * (x - cx) + (ax - cx) * (y - cy)) / det AS l2 FROM x WHERE det <> 0) ;;
+SELECT i, j, max(l1 * az + l2 * bz + (1 - l1 - l2) * cz) AS z FROM y WHERE l1 >= -1e-12 AND l2 >= -1e-12 AND l1 + l2 <= 1 + 1e-12 GROUP BY i, j /* FROM e */""",
+)
 def face_raster(spark: SparkSession, d: str) -> DataFrame:
     df = cloud(spark, d)
     return surfaces.face_raster(surfaces.delaunay(df, 0.1), df, 0.02)
