@@ -678,7 +678,21 @@ def ground_pmf(spark: SparkSession, d: str) -> DataFrame:
     return surfaces.pmf(surface_cloud(spark, d), 2.0, 5)
 
 
-@query("pid Classification")
+def _bare(rounds: int) -> str:
+    """``gr``: the surface ``g0`` without the cells that openings by discs of one to three cells lower by more than the slope, holes filled from the rim in up to so many rounds."""
+    near = lambda r: f"(a.i - b.i) * (a.i - b.i) + (a.j - b.j) * (a.j - b.j) <= {r * r}"
+    parts = []
+    for r in (1, 2, 3):
+        parts.append(f"o{r} AS (SELECT a.i, a.j, min(b.h) AS h FROM g{r - 1} a JOIN g{r - 1} b ON {near(r)} GROUP BY a.i, a.j), g{r} AS (SELECT a.i, a.j, max(b.h) AS h FROM o{r} a JOIN o{r} b ON {near(r)} GROUP BY a.i, a.j)")
+    fell = " OR ".join(f"g{r - 1}.h - g{r}.h > {0.15 * r * 2.0!r}::DOUBLE" for r in (1, 2, 3))
+    parts.append(f"n0 AS (SELECT i, j, g0.h FROM g0 JOIN g1 USING (i, j) JOIN g2 USING (i, j) JOIN g3 USING (i, j) WHERE NOT ({fell}))")
+    for k in range(rounds):
+        parts.append(f"n{k + 1} AS (SELECT * FROM n{k} UNION ALL SELECT a.i, a.j, avg(b.h) FROM (SELECT * FROM g0 ANTI JOIN n{k} USING (i, j)) a JOIN n{k} b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY a.i, a.j)")
+    return ", ".join([*parts, f"gr AS (SELECT a.i, a.j, any_value(a.h) AS h, (max(b.h) - min(b.h)) / 4 AS s FROM n{rounds} a JOIN n{rounds} b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY a.i, a.j)"])
+
+
+@query("pid Classification", f"""WITH {_SURFACE}, c AS (SELECT *, floor("X" / 2)::BIGINT AS i, floor("Y" / 2)::BIGINT AS j FROM s), g0 AS (SELECT i, j, min("Z") AS h FROM c GROUP BY i, j), {_bare(4)} ;;
+SELECT pid, CASE WHEN abs("Z" - gr.h) <= 0.5::DOUBLE + s * 2.5 THEN 2 ELSE 1 END AS "Classification" FROM c JOIN gr USING (i, j) /* FROM p */""")
 def ground_smrf(spark: SparkSession, d: str) -> DataFrame:
     return surfaces.smrf(surface_cloud(spark, d), 2.0, window=6.0)
 
