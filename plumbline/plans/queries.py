@@ -1000,7 +1000,18 @@ def li_trees(spark: SparkSession, d: str) -> DataFrame:
     return clusters.trees(df, 2, 3.0)
 
 
-@query("pid ClusterID")
+def _patches(rounds: int, size: float) -> str:
+    """``p<rounds>``: points with the patch ``l`` that each round gives them, from voxels of the size on."""
+    parts = [f"""p0 AS MATERIALIZED (SELECT e.pid, "X" AS x, "Y" AS y, "Z" AS z, CASE WHEN nz < 0 THEN -nx ELSE nx END AS nx, CASE WHEN nz < 0 THEN -ny ELSE ny END AS ny, abs(nz) AS nz, dense_rank() OVER (ORDER BY floor("X" / {size}::DOUBLE), floor("Y" / {size}::DOUBLE), floor("Z" / {size}::DOUBLE)) AS l FROM e JOIN nm ON nm.a = e.pid)"""]
+    for k in range(rounds):
+        parts.append(f"""c{k} AS MATERIALIZED (SELECT l, avg(x) AS x, avg(y) AS y, avg(z) AS z, sum(nx) / sqrt(sum(nx) ** 2 + sum(ny) ** 2 + sum(nz) ** 2) AS nx, sum(ny) / sqrt(sum(nx) ** 2 + sum(ny) ** 2 + sum(nz) ** 2) AS ny, sum(nz) / sqrt(sum(nx) ** 2 + sum(ny) ** 2 + sum(nz) ** 2) AS nz FROM p{k} GROUP BY l),
+d{k} AS (SELECT p.pid, c.l, sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2 + (p.z - c.z) ** 2) AS d, abs(p.nx * c.nx + p.ny * c.ny + p.nz * c.nz) AS f FROM p{k} p, c{k} c),
+p{k + 1} AS MATERIALIZED (SELECT p.* EXCLUDE (l), q.l FROM p{k} p JOIN (SELECT pid, l, row_number() OVER (PARTITION BY pid ORDER BY 0.4::DOUBLE * d / {size}::DOUBLE + 1 - f, l) AS rn FROM d{k} WHERE d <= {2 * size}::DOUBLE) q ON q.pid = p.pid AND rn = 1)""")
+    return ", ".join(parts)
+
+
+@query("pid ClusterID", f"""WITH k8 AS (SELECT * FROM ki WHERE rank <= 8), {_cov("a", "k8")}, {_EIGEN}, {_NORMAL}, {_patches(5, 0.1)}, r AS (SELECT pid, min(pid) OVER (PARTITION BY l) AS root FROM p5) ;;
+SELECT pid, dense_rank() OVER (ORDER BY root) AS "ClusterID" FROM r /* FROM ki */""")
 def supervoxels(spark: SparkSession, d: str) -> DataFrame:
     return clusters.supervoxels(cloud(spark, d), 0.1, tile=0.4)
 
