@@ -870,11 +870,36 @@ def delta_summary(spark: SparkSession, d: str) -> DataFrame:
     return kernels.delta(*halves(spark, d))
 
 
-@query("pid icp_rmse*")
+def _registered(rounds: int, turn: list[float]) -> str:
+    """``er``: the mean squared distance before each round; a rotation is the orthogonal factor of the products' matrix, by Newton's steps X -> (X + inverse of X transposed) / 2."""
+    at = lambda r: " + ".join(f"{turn[4 * r + k]!r}::DOUBLE * {c}" for k, c in enumerate(('"X"', '"Y"', '"Z"'))) + f" + {turn[4 * r + 3]!r}::DOUBLE"
+    ij = [(i, j) for i in range(3) for j in range(3)]
+    axes = "xyz"
+    parts = [f"m0 AS MATERIALIZED (SELECT pid, {at(0)} AS x, {at(1)} AS y, {at(2)} AS z FROM e)"]
+    for k in range(rounds):
+        parts.append(f"""n{k} AS MATERIALIZED (SELECT * FROM (SELECT m.x AS ax, m.y AS ay, m.z AS az, e."X" AS bx, e."Y" AS by_, e."Z" AS bz, (m.x - e."X") ** 2 + (m.y - e."Y") ** 2 + (m.z - e."Z") ** 2 AS d2, row_number() OVER (PARTITION BY m.pid ORDER BY (m.x - e."X") * (m.x - e."X") + (m.y - e."Y") * (m.y - e."Y") + (m.z - e."Z") * (m.z - e."Z"), e.pid) AS rn FROM m{k} m, e) WHERE rn = 1)""")
+        b = {"x": "bx", "y": "by_", "z": "bz"}
+        means = ", ".join(f"avg(a{c}) AS ma{c}, avg({b[c]}) AS mb{c}" for c in axes)
+        products = ", ".join(f"avg({b[axes[i]]} * a{axes[j]}) - avg({b[axes[i]]}) * avg(a{axes[j]}) AS x{i}{j}" for i, j in ij)
+        parts.append(f"s{k}_0 AS MATERIALIZED (SELECT avg(d2) AS err, {means}, {products} FROM n{k})")
+        cof = {(i, j): f"(x{(i + 1) % 3}{(j + 1) % 3} * x{(i + 2) % 3}{(j + 2) % 3} - x{(i + 1) % 3}{(j + 2) % 3} * x{(i + 2) % 3}{(j + 1) % 3})" for i, j in ij}
+        det = " + ".join(f"x0{j} * {cof[0, j]}" for j in range(3))
+        keep = "err, " + ", ".join(f"ma{c}, mb{c}" for c in axes)
+        for n in range(14):
+            parts.append(f"s{k}_{n + 1} AS MATERIALIZED (SELECT {keep}, " + ", ".join(f"(x{i}{j} + {cof[i, j]} / ({det})) / 2 AS x{i}{j}" for i, j in ij) + f" FROM s{k}_{n})")
+        rows = ", ".join(f"x{i}0 * (m.x - max_) + x{i}1 * (m.y - may) + x{i}2 * (m.z - maz) + mb{axes[i]} AS {axes[i]}" for i in range(3)).replace("max_", "s.max")
+        parts.append(f"m{k + 1} AS MATERIALIZED (SELECT pid, {rows} FROM m{k} m, s{k}_14 s)")
+    every = " UNION ALL ".join(f"SELECT {k} AS k, err FROM s{k}_0" for k in range(rounds))
+    return ", ".join([*parts, f"er AS (SELECT *, lag(err) OVER (ORDER BY k) AS last FROM ({every}))"])
+
+
+_TURN = [0.9998, -0.02, 0.0, 0.01, 0.02, 0.9998, 0.0, -0.01, 0.0, 0.0, 1.0, 0.005, 0.0, 0.0, 0.0, 1.0]
+
+
+@query("pid icp_rmse*", f"""WITH {_registered(6, _TURN)} ;; SELECT pid, sqrt(coalesce((SELECT last FROM er WHERE abs(last - err) <= 1e-8 ORDER BY k LIMIT 1), (SELECT err FROM er WHERE k = 5))) AS icp_rmse FROM e""")
 def icp(spark: SparkSession, d: str) -> DataFrame:
     fixed = cloud(spark, d)
-    turn = [0.9998, -0.02, 0.0, 0.01, 0.02, 0.9998, 0.0, -0.01, 0.0, 0.0, 1.0, 0.005, 0.0, 0.0, 0.0, 1.0]
-    return neighbours.register(tr.transform(fixed, turn), fixed, 6)
+    return neighbours.register(tr.transform(fixed, _TURN), fixed, 6)
 
 
 @query("trace*", """WITH g AS (SELECT a.pid, b."X" - a."X" AS x, b."Y" - a."Y" AS y, b."Z" - a."Z" AS z, row_number() OVER (PARTITION BY a.pid ORDER BY (a."X" - b."X") * (a."X" - b."X") + (a."Y" - b."Y") * (a."Y" - b."Y") + (a."Z" - b."Z") * (a."Z" - b."Z"), b.pid) AS rn FROM e a, e b),
