@@ -42,7 +42,7 @@ def spread(df: DataFrame) -> DataFrame:
     A table of many splits, as any large one has, stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if not 0 < len(df.inputFiles()) < cores or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if not 0 < len(df._jdf.inputFiles()) < cores or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df
     if df.rdd.getNumPartitions() > cores:
         return df
