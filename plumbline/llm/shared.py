@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_parts(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """Frames of one schema, one at least, written one after another to one folder, and read back as one."""
+    path = None
+    for df in parts:
+        path = path or f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and written inside leave no shuffle files behind; else these stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    given = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if given is None else spark.conf.set(name, given)
+
+
 #: Up to so many links one task finishes the components; more are first contracted by rounds of joins.
 ONE_TASK_LINKS = 500_000
 

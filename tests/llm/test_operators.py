@@ -589,6 +589,31 @@ def test_embedding_links(spark, cell, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_embedding_disk(spark, monkeypatch, tmp_path):
+    """Scattered vectors visit many cells; what is stored stays near the size of the vectors, and no link is lost between waves."""
+    monkeypatch.setattr(embedding_dedup, "CELL", 50)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
+    monkeypatch.setattr(embedding_dedup, "WAVE", 30_000)
+    ran = []
+    monkeypatch.setattr(embedding_dedup, "waves", lambda moved, limit, f=embedding_dedup.waves: ran.extend(f(moved, limit)) or f(moved, limit))
+    r = np.random.default_rng(4)
+    x = r.normal(size=(3000, 64))
+    x[2500:] = x[:500] + r.normal(size=(500, 64)) * 0.1
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(shared, "shared_folder", lambda spark: f"file://{tmp_path}")
+    got = {row.vec_id: row.n_links for row in embedding_dedup.embedding_dedup(df).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    assert got == dict(enumerate(((u @ u.T >= 0.98).sum(1) - 1).tolist())) and sum(got.values()) >= 900
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet") if p.is_file()) < 2 * x.nbytes
+    assert len(ran) > 2
+
+
+def test_waves():
+    assert embedding_dedup.waves({0: 4, 1: 5, 2: 3, 3: 25, 4: 1, 5: 9}, 10) == [([0, 1], 1), ([2], 1), ([3], 3), ([4, 5], 1)]
+    assert embedding_dedup.waves({}, 10) == []
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(k, k + 1) for k in range(0, 60)] + [(r.randint(100, 300), r.randint(100, 300)) for _ in range(150)] + [(1000, k) for k in range(1001, 1400)]
