@@ -130,9 +130,9 @@ def sum_to_depth(sums: Sequence[int] | None, depth: int) -> int | None:
     return 0 if depth < 0 else sums[min(depth, len(sums) - 1)]
 
 
-def size_histogram(nodes: DataFrame, buckets: int = 22) -> DataFrame:
-    """(bucket, nodes, cumulative percent, share of points by the buckets' middles) by powers of two of the points."""
-    bucket = F.least(F.floor(F.log2(F.greatest("point_count", F.lit(1)))), F.lit(buckets - 1)).cast("int")
+def size_histogram(nodes: DataFrame) -> DataFrame:
+    """(bucket, nodes, cumulative percent, share of points by the buckets' middles) by powers of two of the points, as many as there are."""
+    bucket = F.length(F.bin(F.greatest("point_count", F.lit(1)))) - 1
     rows = nodes.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("nodes"))
     w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy()

@@ -642,3 +642,9 @@ def test_trees_equal_the_scan(spark):
         of |= dict.fromkeys(tree, n)
     df = spark.createDataFrame([(k, x, y, 0.0, h) for k, x, y, h in p], "pid long, X double, Y double, Z double, HeightAboveGround double")
     assert values(clusters.trees(df, 3), "ClusterID") == [(of.get(k, 0),) for k in range(300)]
+
+
+def test_size_histogram_of_large_nodes(spark):
+    sizes = [1, 7, 8, (1 << 21) - 1, 1 << 22, 36_000_000, 1 << 40]
+    df = spark.createDataFrame([(n,) for n in sizes], "point_count long")
+    assert [(r.bucket, r.nodes) for r in detail.size_histogram(df).orderBy("bucket").collect()] == [(0, 1), (2, 1), (3, 1), (20, 1), (22, 1), (25, 1), (40, 1)]
