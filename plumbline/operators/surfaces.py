@@ -401,26 +401,28 @@ def mesh_triangles(mesh: dict) -> list[list[list[float]]]:
     return out
 
 
+def _crossing(p: np.ndarray, q: np.ndarray, y: Column, z: Column) -> Column | None:
+    """Whether a way in +Y crosses the edge as seen along X; both triangles of an edge compute the same, so none takes a point of it twice."""
+    (y1, z1), (y2, z2) = sorted([tuple(map(float, p[1:])), tuple(map(float, q[1:]))])
+    return None if z1 == z2 else ((F.lit(z1) > z) != (F.lit(z2) > z)) & (y < (y2 - y1) * (z - z1) / (z2 - z1) + y1)
+
+
 def inside_mesh(mesh: dict, origin: Sequence[float] = (0.0, 0.0, 0.0)) -> Column:
-    """Whether a point is in a closed mesh: within its box, an odd number of triangles on its way in +X (Möller and Trumbore 1997)."""
+    """Whether a point is in a closed mesh: within its box, an odd number of triangles on its way in +X; a side of the box parallel to X isn't inside."""
     verts = np.array(mesh["verts"], float) + np.array(origin, float)
-    box = reduce(lambda a, b: a & b, [F.col(d).between(float(verts[:, k].min()), float(verts[:, k].max())) for k, d in enumerate(XYZ)])
+    low, high = verts.min(0).tolist(), verts.max(0).tolist()
+    box = F.col("X").between(low[0], high[0]) & reduce(lambda a, b: a & b, [(F.col(d) > low[k]) & (F.col(d) < high[k]) for k, d in enumerate(XYZ) if k])
     if len(mesh_triangles(mesh)) > geometry.MOST_TERMS:
         tri = np.array(mesh_triangles(mesh), float) + np.array(origin, float)
         return box & F.coalesce(F.when(box, _mesh_udf(tri)(*[F.col(d).cast("double") for d in XYZ])), F.lit(False))
-    eps, hits = 1e-9, []
+    hits = []
     for a, b, c in (np.array(t, float) + np.array(origin, float) for t in mesh_triangles(mesh)):
-        e1, e2 = b - a, c - a
-        p = np.array([0.0, -e2[2], e2[1]])  # (1, 0, 0) x e2
-        det = float(e1 @ p)
-        if abs(det) < eps:
+        n = np.cross(b - a, c - a)
+        if abs(n[0]) < 1e-9:
             continue
-        t = [F.col(d) - float(a[k]) for k, d in enumerate(XYZ)]
-        u = (t[1] * float(p[1]) + t[2] * float(p[2])) / det
-        q = [t[1] * float(e1[2]) - t[2] * float(e1[1]), t[2] * float(e1[0]) - t[0] * float(e1[2]), t[0] * float(e1[1]) - t[1] * float(e1[0])]
-        v = q[0] / det
-        far = (q[0] * float(e2[0]) + q[1] * float(e2[1]) + q[2] * float(e2[2])) / det
-        hits.append(((u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1) & (far > eps)).cast("int"))
+        crossed = [t.cast("int") for t in (_crossing(p, q, F.col("Y"), F.col("Z")) for p, q in ((a, b), (b, c), (c, a))) if t is not None]
+        ahead = float(a[0]) - ((F.col("Y") - float(a[1])) * float(n[1]) + (F.col("Z") - float(a[2])) * float(n[2])) / float(n[0]) - F.col("X")
+        hits.append(((reduce(lambda x, y: x + y, crossed) % 2 == 1) & (ahead > 1e-9)).cast("int"))
     return box & (reduce(lambda x, y: x + y, hits, F.lit(0)) % 2 == 1)
 
 
@@ -439,16 +441,15 @@ def _mesh_udf(tri: np.ndarray):
         p = np.column_stack([np.nan_to_num(c.to_numpy(zero_copy_only=False).astype(float), nan=1e300) for c in (x, y, z)])
         odd = np.zeros(len(p), bool)
         for a, b, c in tri:
-            e1, e2 = b - a, c - a
-            w = np.array([0.0, -e2[2], e2[1]])
-            det = e1 @ w
-            if abs(det) < 1e-9:
+            n = np.cross(b - a, c - a)
+            if abs(n[0]) < 1e-9:
                 continue
-            d = p - a
-            u = d @ w / det
-            q = np.cross(d, e1)
-            v = q[:, 0] / det
-            odd ^= (u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1) & (q @ e2 / det > 1e-9)
+            crossed = np.zeros(len(p), bool)
+            for q, r in ((a, b), (b, c), (c, a)):
+                (y1, z1), (y2, z2) = sorted([tuple(map(float, q[1:])), tuple(map(float, r[1:]))])
+                if z1 != z2:
+                    crossed ^= ((z1 > p[:, 2]) != (z2 > p[:, 2])) & (p[:, 1] < (y2 - y1) * (p[:, 2] - z1) / (z2 - z1) + y1)
+            odd ^= crossed & (a[0] - ((p[:, 1] - a[1]) * n[1] + (p[:, 2] - a[2]) * n[2]) / n[0] - p[:, 0] > 1e-9)
         return pa.array(odd)
 
     inside.__annotations__ = {"x": pa.Array, "y": pa.Array, "z": pa.Array, "return": pa.Array}

@@ -290,8 +290,8 @@ INNER_MESH = {"verts": [[x, y, z] for x in (14.5, 20.5) for y in (30.2, 50.7) fo
     """SELECT * FROM p WHERE "X" >= 10.25 AND "X" <= 30.25 AND "Y" > 20.0003 AND "Y" < 60.0003 AND "Z" > -1 AND "Z" < 6.5 AND NOT ("X" > 14.5 AND "X" < 20.5 AND "Y" > 30.2001 AND "Y" < 50.7001 AND "Z" > 0.5 AND "Z" < 3.5)""",
 )
 def mesh_carve_box(spark: SparkSession, d: str) -> DataFrame:
-    outer = {"verts": [[v[0] + 0.25, v[1] + 0.0003, v[2] if v[2] < 0 else 6.5] for v in BOX_MESH["verts"]], "faces": BOX_MESH["faces"], "op": "intersect"}
-    inner = {**INNER_MESH, "verts": [[v[0], v[1] + 0.0001, v[2]] for v in INNER_MESH["verts"]]}
+    outer = {"verts": [[v[0] + 0.25, round(v[1] + 0.0003, 4), v[2] if v[2] < 0 else 6.5] for v in BOX_MESH["verts"]], "faces": BOX_MESH["faces"], "op": "intersect"}
+    inner = {**INNER_MESH, "verts": [[v[0], round(v[1] + 0.0001, 4), v[2]] for v in INNER_MESH["verts"]]}
     return surfaces.carve(points(spark, d), [outer, inner])
 
 

@@ -11,6 +11,7 @@ from plumbline.functions import geometry as geo
 from plumbline.operators import aggregates as agg
 from plumbline.operators import clusters, detail, filters, neighbours, order, sorting, surfaces
 from plumbline.operators import transforms as tr
+from plumbline.plans import queries
 from plumbline.plans.pipeline import Cancelled, CannotInferDriver, ConvertOptions, DriverNotRegistered, Pipeline, PipelineEncodingFailed, PointFrame, Stage, convert
 from plumbline.plans.registry import WRITERS
 from plumbline.sources import formats
@@ -648,3 +649,15 @@ def test_size_histogram_of_large_nodes(spark):
     sizes = [1, 7, 8, (1 << 21) - 1, 1 << 22, 36_000_000, 1 << 40]
     df = spark.createDataFrame([(n,) for n in sizes], "point_count long")
     assert [(r.bucket, r.nodes) for r in detail.size_histogram(df).orderBy("bucket").collect()] == [(0, 1), (2, 1), (3, 1), (20, 1), (22, 1), (25, 1), (40, 1)]
+
+
+def test_carve_on_edges_of_triangles(spark, monkeypatch):
+    p = [(x, y, z) for x in (10.0, 11.0, 31.0) for y in (20.0003, 25.3336333, 36.0003, 52.0003, 60.0003, 40.4501, 50.7001) for z in (0.0, 1.0, 2.0, 5.0)]
+    p += [(15.0, y, z) for y in (20.5, 30.2001, 37.03343333, 40.4501, 50.7001) for z in (1.0, 2.0)]
+    df = spark.createDataFrame([(k, *v) for k, v in enumerate(p)], "pid long, X double, Y double, Z double")
+    solid = lambda x, y, z, op: {**queries.BOX_MESH, "verts": [[a, b, c] for a in x for b in y for c in z], "op": op}
+    meshes = [solid((10.25, 30.25), (20.0003, 60.0003), (-1, 6.5), "intersect"), solid((14.5, 20.5), (30.2001, 50.7001), (0.5, 3.5), "subtract")]
+    want = [k for k, (x, y, z) in enumerate(p) if 10.25 <= x <= 30.25 and 20.0003 < y < 60.0003 and not (14.5 < x < 20.5 and 30.2001 < y < 50.7001 and 0.5 < z < 3.5)]
+    assert [r.pid for r in surfaces.carve(df, meshes).orderBy("pid").collect()] == want
+    monkeypatch.setattr(geo, "MOST_TERMS", 2)
+    assert [r.pid for r in surfaces.carve(df, meshes).orderBy("pid").collect()] == want
