@@ -234,7 +234,7 @@ def sparse_surface(df: DataFrame, radius: float = 1.0) -> DataFrame:
 
 
 def triangles(points: np.ndarray) -> list[tuple[int, int, int]]:
-    """Delaunay triangulation in the plane, point by point (Bowyer 1981, Watson 1981); of equal points the first takes part."""
+    """Delaunay triangulation in the plane, point by point (Bowyer 1981, Watson 1981), each found by a walk from a near one; of equal points the first takes part."""
     points = np.asarray(points, float)
     first = {}
     for k, p in enumerate(map(tuple, points)):
@@ -257,19 +257,58 @@ def triangles(points: np.ndarray) -> list[tuple[int, int, int]]:
         ux, uy = ((cy - ay) * b2 - (by - ay) * c2) / d, ((bx - ax) * c2 - (cx - ax) * b2) / d
         return ax + ux, ay + uy, ux * ux + uy * uy
 
-    mesh = {(n, n + 1, n + 2): circle((n, n + 1, n + 2))}
+    # a directed edge has the corner on its left and the face's circle; cells remember a near edge, from where a walk finds the face of a point
+    left: dict[tuple[int, int], tuple[int, tuple[float, float, float]]] = {}
+    xs, ys = scaled[:, 0].tolist(), scaled[:, 1].tolist()
+
+    def add(a: int, b: int, c: int) -> None:
+        round_ = circle((a, b, c))
+        left[a, b], left[b, c], left[c, a] = (c, round_), (a, round_), (b, round_)
+
+    add(n, n + 1, n + 2)
+    side = max(1, int(len(chosen) ** 0.5 / 2))
+    hints: dict[tuple[int, int], tuple[int, int]] = {}
+    last = (n, n + 1)
     for k in chosen:
-        x, y = scaled[k]
-        bad = [t for t, (cx, cy, r) in mesh.items() if (x - cx) ** 2 + (y - cy) ** 2 < r * (1 + 1e-12)]
-        rim: dict[tuple[int, int], int] = {}
-        for a, b, c in bad:
-            del mesh[a, b, c]
-            for edge in ((a, b), (b, c), (c, a)):
-                key = (min(edge), max(edge))
-                rim[key] = rim.get(key, 0) + 1
-        for (a, b), times in rim.items():
-            if times == 1:
-                mesh[a, b, k] = circle((a, b, k))
+        x, y = xs[k], ys[k]
+        cell = (int((x + 0.5) * side), int((y + 0.5) * side))
+        edge = hints.get(cell, last)
+        if edge not in left:
+            edge = last
+        for _ in range(len(left)):
+            a, b = edge
+            c = left[edge][0]
+            for u, v in ((a, b), (b, c), (c, a)):
+                if (xs[v] - xs[u]) * (y - ys[u]) - (ys[v] - ys[u]) * (x - xs[u]) < 0 and (v, u) in left:
+                    edge = (v, u)
+                    break
+            else:
+                break
+        holds = lambda r: (x - r[0]) ** 2 + (y - r[1]) ** 2 < r[2] * (1 + 1e-12)
+        if not holds(left[edge][1]):
+            edge = next(e for e, (_, r) in left.items() if holds(r))
+        bad, todo, rim = set(), [(*edge, left[edge][0])], []
+        bad.update(((edge[0], edge[1]), (edge[1], todo[0][2]), (todo[0][2], edge[0])))
+        while todo:
+            a, b, c = todo.pop()
+            for u, v in ((a, b), (b, c), (c, a)):
+                if (v, u) in bad:
+                    continue
+                beyond = left.get((v, u))
+                if beyond is not None and holds(beyond[1]):
+                    w = beyond[0]
+                    bad.update(((v, u), (u, w), (w, v)))
+                    todo.append((v, u, w))
+                else:
+                    rim.append((u, v))
+        for e in bad:
+            del left[e]
+        for u, v in rim:
+            if (v, u) not in bad:
+                add(u, v, k)
+                last = (v, k)
+        hints[cell] = last
+    mesh = [(a, b, c) for (a, b), (c, _) in left.items() if a < b and a < c]
     out = []
     for a, b, c in mesh:
         if max(a, b, c) < n:
@@ -341,8 +380,14 @@ def _tiled_mesh(flat: DataFrame, tile: float) -> DataFrame:
         r2 = ((centre - p[faces[:, 0]]) ** 2).sum(1)
         r = np.sqrt(r2)[:, None] * (1 + 1e-9)
         sure = ((centre - r >= low) & (centre + r <= high)).all(1)
-        for k in np.flatnonzero(sure):
-            sure[k] = (((p - centre[k]) ** 2).sum(1) <= r2[k] * (1 + 1e-9)).sum() == 3
+        if len(faces):  # the mesh leaves no point within a circle; one on it is in a face beside
+            start, end, corner_ = (np.concatenate([faces[:, (k + j) % 3] for k in range(3)]) for j in range(3))
+            key, back = start * len(pid) + end, end * len(pid) + start
+            order_ = np.argsort(key)
+            place = np.minimum(np.searchsorted(key[order_], back), len(key) - 1)
+            beside = order_[place]
+            near = ((p[corner_[beside]] - np.tile(centre, (3, 1))) ** 2).sum(1) <= np.tile(r2, 3) * (1 + 1e-9)
+            sure &= ~((key[beside] == back) & near).reshape(3, -1).any(0)
         # a star is closed if it has as many faces as neighbours
         spokes = np.concatenate([faces[:, [i, j]] for i in range(3) for j in range(3) if i != j])
         around = np.bincount(np.unique(spokes, axis=0)[:, 0], minlength=len(pid)) if len(faces) else np.zeros(len(pid), int)

@@ -713,3 +713,14 @@ def test_text_points_are_read_by_many_tasks(spark, tmp_path):
             assert [(r.pid, r.X, r.Y, r.Z) for r in got.orderBy("pid").collect()] == want
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_delaunay_of_many_points():
+    import time
+
+    p, began = np.random.default_rng(12).normal(size=(10_000, 2)), time.process_time()
+    faces = np.array(surfaces.triangles(p))
+    assert time.process_time() - began < 20
+    a, b, c = (p[faces[:, k]] for k in range(3))
+    hull = len({e for f in faces.tolist() for e in map(frozenset, ((f[0], f[1]), (f[1], f[2]), (f[2], f[0])))}) * 2 - 3 * len(faces)
+    assert len(faces) == 2 * len(p) - 2 - hull and (np.cross(b - a, c - a) > 0).all()
